@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from cairn.llm import quality
+from cairn.llm import quality, urls
 
 
 def queries() -> dict:
     return {
         "op3_line_quality": quality.op3_line_quality,
+        "op10_url_filter": urls.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_quality": quality.SQL,
+        "op10_url_filter": urls.SQL,
     }
