@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cairn.llm import quality, urls
+from cairn.llm import quality, substrings, urls
 
 
 def queries() -> dict:
     return {
         "op3_line_quality": quality.op3_line_quality,
+        "op4_repeated_substrings": substrings.op4_repeated_substrings,
         "op10_url_filter": urls.op10_url_filter,
     }
 
@@ -15,5 +16,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_quality": quality.SQL,
+        "op4_repeated_substrings": substrings.SQL,
         "op10_url_filter": urls.SQL,
     }
