@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cairn.llm import quality, substrings, urls
+from cairn.llm import minhash, quality, substrings, urls
 
 
 def queries() -> dict:
     return {
         "op3_line_quality": quality.op3_line_quality,
         "op4_repeated_substrings": substrings.op4_repeated_substrings,
+        "op6_near_duplicates": minhash.op6_near_duplicates,
         "op10_url_filter": urls.op10_url_filter,
     }
 
