@@ -8,10 +8,11 @@ thousands do, the nearest rows are those that share 5, 6 or all 8. One sorted or
 dealt out by ranges of (tree, values, set), which splits a region of any size, and the rows
 at the ranges' ends are scanned once more together.
 
-Links are confirmed on the full sets, in two rounds: first each set with the candidate that
-shares most with it, then all candidates that still lie in different components. What a
-round moves is the sets of its pairs, and a group of near copies is joined by one link per
-member, not by its pairs.
+Links are confirmed on the full sets, in three rounds: first each set with the candidate
+that shares most with it; then all candidates that still lie in different components; then,
+in regions with more sets than a row has neighbours, the sets outside the region's largest
+component against all its rows. What a round moves is the sets of its pairs, and a group of
+near copies is joined by about one link per member, not by its pairs.
 """
 
 from __future__ import annotations
@@ -208,6 +209,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return durable(both.filter(_alike(percent)("x", "y")).select("a", "b"), "links")
 
 
+def _apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components, with these."""
+    of = lambda end: tops.select(F.col("set_key").alias(end), F.col("top").alias(f"top_{end}"))
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter("top_a <> top_b")
+
+
+def _merged(tops: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    roots = connected_components(_apart(links, tops).select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
+    after = tops.join(roots.withColumnRenamed("node", "top"), "top", "left")
+    return durable(after.select("set_key", F.coalesce("root", "top").alias("top")), "tops")
+
+
+def _crowded(nodes: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sorted neighbours can miss: in one region, not near, not yet joined.
+
+    Of a region with more sets than a row has neighbours, the sets outside its largest
+    component are a query set against the region's rows, in blocks. A pair is given when its
+    signatures agree in as many places as a linked pair's do but for one case in 200,000.
+    """
+    share = percent / 100
+    enough = int(TREES * DEPTH * (share - 4.5 * np.sqrt(share * (1 - share) / (TREES * DEPTH))))
+    rows = nodes.join(tops, "set_key").select("set_key", "top", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.withColumn("region", F.xxhash64("tree", F.expr(f"substring(signature, tree * {2 * DEPTH} + 1, {2 * LEAST_DEPTH})")))
+    parts = rows.groupBy("region", "top").agg(F.count(F.lit(1)).alias("n"))
+    regions = parts.groupBy("region").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tops"), F.max(F.struct("n", "top"))["top"].alias("main"))
+    regions = regions.filter((F.col("n") > NEAR + 1) & (F.col("tops") > 1))
+    rows = rows.join(regions, "region").withColumn("blocks", F.ceil(F.col("n") / 2000).cast("int"))
+    rows = rows.select("region", "set_key", "top", "signature", "blocks", (F.col("top") != F.col("main")).alias("asks"))
+    one = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("block", one).withColumn("asks", F.lit(False))
+    dealt = dealt.union(rows.filter("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys, tops_, asks = table["set_key"].to_pylist(), np.array(table["top"].to_pylist(), dtype=object), np.array(table["asks"].to_pylist(), dtype=bool)
+        marks = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(keys), -1)
+        there = np.flatnonzero(~asks)
+        a, b = [], []
+        for i in np.flatnonzero(asks):
+            agree = (marks[there] == marks[i]).sum(axis=1)
+            for j in there[(agree >= enough) & (tops_[there] != tops_[i])]:
+                a.append(min(keys[i], keys[j]))
+                b.append(max(keys[i], keys[j]))
+        return pa.table([binary(a), binary(b)], names=["a", "b"])
+
+    return dealt.select("region", "block", "set_key", "top", "signature", "asks").groupBy("region", "block").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The component of near copies of every document.
 
@@ -228,29 +277,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     candidates = _candidates(signed)
 
     ends = candidates.select(F.col("a").alias("set_key")).union(candidates.select(F.col("b").alias("set_key"))).distinct()
-    wanted = durable(signed.select("set_key", "text_key").join(ends, "set_key").groupBy("set_key").agg(F.min("text_key").alias("text_key")), "wanted")
-    sets = _sets_of(d, wanted, shingle, power_of_two(input_bytes(df, 1 << 30) / 100, 18, 29))
+    nodes = signed.join(ends, "set_key").groupBy("set_key").agg(F.max(F.struct("text_key", "signature")).alias("x"))
+    nodes = durable(nodes.select("set_key", "x.text_key", "x.signature"), "nodes")
+    sets = _sets_of(d, nodes.select("set_key", "text_key"), shingle, power_of_two(input_bytes(df, 1 << 30) / 100, 18, 29))
 
     # Round 1: each set with the candidate that shares most with it.
     turned = candidates.union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = turned.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     best = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    links = _confirmed(best, sets, percent)
-    roots = durable(connected_components(links), "roots")
-
-    # Round 2: every other candidate whose ends don't meet yet.
-    rest = candidates.select("a", "b").join(best, ["a", "b"], "left_anti")
-    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "ab"}).filter("root_a <> root_b")
-    rest = durable(rest, "rest")
-    more = _confirmed(rest, sets, percent).join(rest, ["a", "b"])
-    joined = durable(connected_components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "joined")
-
-    final = signed.select("_id", "n_shingles", "set_key").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
-    final = final.withColumn("root", F.coalesce("root", "set_key"))
-    final = final.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    final = final.select("_id", "n_shingles", F.coalesce("top", "root").alias("top"))
+    tops = _merged(nodes.select("set_key", F.col("set_key").alias("top")), _confirmed(best, sets, percent))
+    # Round 2: the other candidates, round 3: what crowded regions hide, as far as still apart.
+    rest = _apart(candidates.join(best, ["a", "b"], "left_anti"), tops)
+    tops = _merged(tops, _confirmed(rest, sets, percent))
+    rest = _crowded(nodes.select("set_key", "signature"), tops, percent).join(candidates, ["a", "b"], "left_anti")
+    tops = _merged(tops, _confirmed(rest, sets, percent))
+
+    final = signed.select("_id", "n_shingles", "set_key").join(tops, "set_key", "left")
+    final = final.select("_id", "n_shingles", F.coalesce("top", "set_key").alias("top"))
     least = final.filter("top is not null").groupBy("top").agg(F.min("_id").alias("least"))
     final = final.join(least, "top", "left")
     component = F.when(F.col("top").isNull(), F.col("_id")).otherwise(F.col("least"))
