@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.llm import minhash, quality, substrings, urls
+from cairn.llm import minhash, packing, quality, substrings, urls
 
 
 def queries() -> dict:
     return {
+        "op2_packed_sequences": packing.op2_packed_sequences,
         "op3_line_quality": quality.op3_line_quality,
         "op4_repeated_substrings": substrings.op4_repeated_substrings,
         "op6_near_duplicates": minhash.op6_near_duplicates,
