@@ -120,19 +120,13 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     d = d.withColumn("n_repeat_words", repeated).drop("_sorted")
     d = d.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent))
     lost = F.col("word_chars") - F.length(_without(F.col("clean_text"), SPACE))
-    return d.select(
-        F.col("_id").alias(id_col),
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        (~F.col("base_failed") & (lost * 100 <= F.col("word_chars") * rules.max_lost_percent)).alias("kept"),
-        "lines_removed",
-        "clean_text",
-        *[F.col(f"_carry_{k}").alias(k) for k in carry],
-    )
+    kept = ~F.col("base_failed") & (lost * 100 <= F.col("word_chars") * rules.max_lost_percent)
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    # A generator of one row: a filter on ``kept`` stays above it. Pushed below, it would put
+    # the steps into each other, and windows would be cut anew for every word.
+    one = F.inline(F.array(F.struct(*figures, kept.alias("kept"), "lines_removed", "clean_text")))
+    d = d.select(*kept_on, one)
+    return d.select(F.col("_id").alias(id_col), *figures, "kept", "lines_removed", "clean_text", *[F.col(f"_carry_{k}").alias(k) for k in carry])
 
 
 def op3_line_quality(spark, sf_dir: str) -> DataFrame:
