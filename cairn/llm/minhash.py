@@ -17,6 +17,8 @@ near copies is joined by about one link per member, not by its pairs.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -80,7 +82,7 @@ def _sign(k: int):
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     binary([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]),
-                    binary([xxhash.xxh3_128_digest(v or b"") for v in values]),
+                    binary([hashlib.md5(v or b"").digest() for v in values]),
                     binary([next(rows).astype(">u2").tobytes() if len(s) else None for s in sets]),
                 ],
                 names=["_id", "n_shingles", "set_key", "text_key", "signature"],
@@ -173,7 +175,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, cell_bits: int) -> Data
         seen, given = np.frombuffer(bits.value, np.uint8), set()
         for batch in batches:
             values = texts(batch, "_text")
-            keys = [xxhash.xxh3_128_digest(v or b"") for v in values]
+            keys = [hashlib.md5(v or b"").digest() for v in values]
             hit = has(seen, _key_cells(keys, cell_bits)).all(axis=1) if keys else []
             some = {x: v for x, v, ok in zip(keys, values, hit, strict=True) if ok and x not in given}
             if len(given) < 1_000_000:  # copies that a task has given already needn't be moved again
@@ -260,7 +262,7 @@ def _crowded(nodes: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The component of near copies of every document.
 
-    Columns: ``id_col``, n_shingles, component_id, kept. Two documents are linked when
+    Columns: ``id_col``, n_shingles, component_id, kept, text_key (MD5 of the text). Two documents are linked when
     100 * intersection >= percent * union of their shingle sets; component_id is the least
     id that links reach, and kept says that the document has it.
 
@@ -292,14 +294,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = _crowded(nodes.select("set_key", "signature"), tops, percent).join(candidates, ["a", "b"], "left_anti")
     tops = _merged(tops, _confirmed(rest, sets, percent))
 
-    final = signed.select("_id", "n_shingles", "set_key").join(tops, "set_key", "left")
-    final = final.select("_id", "n_shingles", F.coalesce("top", "set_key").alias("top"))
+    final = signed.select("_id", "n_shingles", "set_key", "text_key").join(tops, "set_key", "left")
+    final = final.select("_id", "n_shingles", "text_key", F.coalesce("top", "set_key").alias("top"))
     least = final.filter("top is not null").groupBy("top").agg(F.min("_id").alias("least"))
     final = final.join(least, "top", "left")
     component = F.when(F.col("top").isNull(), F.col("_id")).otherwise(F.col("least"))
-    return final.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    return final.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), "text_key")
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Components of documents that share 80 in 100 of their four-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("text_key")
