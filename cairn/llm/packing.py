@@ -46,9 +46,11 @@ class WordTokens:
         self.memo: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
+        pieces = [w for w in dict.fromkeys(words) if w not in self.memo]
         if len(self.memo) + len(pieces) > MEMO:
             self.memo.clear()
+            pieces = list(dict.fromkeys(words))
         if len(self.parts) > MEMO:
             self.parts.clear()
         made, unknown = [], {}
@@ -70,7 +72,7 @@ class WordTokens:
         try:
             return b"".join([memo[w] for w in words])
         except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in memo])
+            self._learn(words)
             return b"".join([self.memo[w] for w in words])
 
 
