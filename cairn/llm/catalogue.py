@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, minhash, packing, quality, substrings, urls
+from cairn.llm import bpe, minhash, packing, quality, simhash, substrings, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_line_quality": quality.op3_line_quality,
         "op4_repeated_substrings": substrings.op4_repeated_substrings,
         "op6_near_duplicates": minhash.op6_near_duplicates,
+        "op7_simhash": simhash.op7_simhash,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
         "op10_url_filter": urls.op10_url_filter,
     }
