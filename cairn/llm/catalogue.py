@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, minhash, packing, quality, simhash, substrings, urls
+from cairn.llm import bpe, minhash, packing, quality, sharding, simhash, substrings, urls
 
 
 def queries() -> dict:
     return {
+        "op1_balanced_shards": sharding.op1_balanced_shards,
         "op2_packed_sequences": packing.op2_packed_sequences,
         "op3_line_quality": quality.op3_line_quality,
         "op4_repeated_substrings": substrings.op4_repeated_substrings,
