@@ -40,13 +40,19 @@ def _propagate(linked: DataFrame, members: DataFrame, shards: int, quota: float,
         load = _loads(state)
         room = [max(0.0, quota - load.get(s, 0)) for s in range(shards)]
         has_room = F.element_at(F.array(*[F.lit(r > FULL * quota) for r in room]), F.col("label") + 1)
-        votes = members.join(state, "uid").groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+        roomy = [i for i in range(shards) if room[i] > FULL * quota]
+        votes = members.join(state, "uid").groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
         # Of a hub at most a row per shard; the fullest with room, the least of several.
-        best = votes.filter(has_room).groupBy("hub").agg(F.max(F.struct("n", (-F.col("label")).alias("to"))).alias("best"))
+        offered = F.max(F.when(has_room, F.struct("n", (-F.col("label")).alias("to")))).alias("best")
+        best = votes.groupBy("hub").agg(offered, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        # A small hub between full shards moves as a whole to one with room.
+        aside = F.element_at(F.array(*[F.lit(i) for i in roomy or [0]]), F.pmod(F.xxhash64("hub"), F.lit(len(roomy) or 1)).cast("int") + 1)
+        small = F.when((F.col("bytes") <= FULL * quota) & F.lit(bool(roomy)), F.struct("n", (-aside).alias("to")))
+        best = best.select("hub", F.coalesce("best", small).alias("best")).filter("best is not null")
         here = votes.select("hub", "label", F.col("n").alias("mine"))
         offers = members.join(state, "uid").join(here, ["hub", "label"]).join(best, "hub")
         offers = offers.select("uid", "size", "label", (-F.col("best.to")).alias("to"), (F.col("best.n") - F.col("mine")).alias("gain"))
-        offers = offers.filter((F.col("to") != F.col("label")) & ((F.col("gain") > 0) | ((F.col("gain") == 0) & (F.col("to") < F.col("label")))))
+        offers = offers.filter((F.col("to") != F.col("label")) & ((F.col("gain") > 0) | ((F.col("gain") == 0) & ((F.col("to") < F.col("label")) | ~has_room))))
         wants = offers.groupBy("uid").agg(F.max(F.struct("gain", (-F.col("to")).alias("to"), "size")).alias("w")).select("uid", (-F.col("w.to")).alias("to"), F.col("w.size").alias("size"))
         wants = durable(wants, "wants")
         demand = {r[0]: int(r[1]) for r in wants.groupBy("to").agg(F.sum("size")).collect()}
