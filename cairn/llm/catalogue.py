@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, minhash, packing, quality, sharding, simhash, substrings, urls
+from cairn.llm import bpe, html, minhash, packing, quality, sharding, simhash, substrings, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_repeated_substrings": substrings.op4_repeated_substrings,
         "op6_near_duplicates": minhash.op6_near_duplicates,
         "op7_simhash": simhash.op7_simhash,
+        "op8_main_text": html.op8_main_text,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
         "op10_url_filter": urls.op10_url_filter,
     }
