@@ -42,6 +42,12 @@ def power_of_two(x: float, least: int, most: int) -> int:
     return min(most, max(least, int(np.ceil(np.log2(max(1.0, x))))))
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 SLICE_BITS = 18  # a slice of a bitmap has so many cells; it is what one merging step holds
 
 

@@ -11,29 +11,36 @@ or moving a token. A task's memory is its open windows, whatever it reads.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.arrays import as_bytes, binary, texts
+from cairn.llm.arrays import as_bytes, binary, spread
 from cairn.plans.durable import durable, pick
 
-MEMO = 600_000  # remembered words of a worker
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+MEMO = 400_000  # remembered parts of a worker, twice
+AT_ONCE = 8 << 20  # bytes of text that are cut at a time
+# Pieces of other characters are asked for whole. In the rest only ASCII marks end a part;
+# not where a part may be a contraction or a text may hold an added token.
+OTHER = r"[^!-~À-ÖØ-öø-įı-ɏ]|'|<\|"
+MARKS = r"([!-/:-@\[-`{-~]+)"
 
 
 class WordTokens:
-    """Ids of white-space separated pieces, as packed little-endian 32-bit values.
+    """Ids of texts, for tokenizers that drop white space and never look across it.
 
-    For tokenizers that drop white space and never look across it, so that a text's ids are
-    those of its pieces one after another. Pieces are remembered up to a fixed number; a
-    word followed by punctuation is asked for as its letters and its marks.
+    A text's ids are those of its pieces one after another, and a piece's those of its
+    letters and its marks, in lower case. So only distinct parts are asked for: texts are
+    cut and counted in Arrow, parts are remembered up to a fixed number, and the ids put
+    together in numpy.
     """
 
     def __init__(self, path: str):
@@ -43,37 +50,55 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        pieces = [w for w in dict.fromkeys(words) if w not in self.memo]
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo.clear()
-            pieces = list(dict.fromkeys(words))
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        made, unknown = [], {}
-        for piece in pieces:
-            text = piece.decode()
-            simple = SIMPLE.fullmatch(text)
-            parts = [x for x in (simple[1].lower(), simple[2]) if x] if simple else [text]
-            made.append((piece, parts))
-            unknown.update((x, None) for x in parts if x not in self.parts)
-        ask = list(unknown)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        ask = []
+        for x in parts:
+            if x not in memo:
+                if x in older:
+                    memo[x] = older[x]
+                else:
+                    ask.append(x)
         for x, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            self.parts[x] = np.array(e.ids, "<u4").tobytes()
-        for piece, parts in made:
-            self.memo[piece] = b"".join([self.parts[x] for x in parts])
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            self._learn(words)
-            return b"".join([self.memo[w] for w in words])
+            memo[x] = array("I", e.ids).tobytes()
+        return [memo[x] for x in parts]
+
+    def _encode(self, values: pa.Array) -> list[np.ndarray]:
+        words = pc.ascii_split_whitespace(values)
+        cut = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy(), coded.dictionary
+        whole = pc.match_substring_regex(pieces, OTHER)
+        split = pc.replace_substring_regex(pc.ascii_lower(pieces), MARKS, r" \1 ")
+        parts = pc.ascii_split_whitespace(pc.if_else(whole, pieces, split))
+        part_cut = parts.offsets.to_numpy().astype(np.int64)
+        part_coded = parts.flatten().dictionary_encode()
+        part_code, ids = part_coded.indices.to_numpy(), self._ids(part_coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, count=len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        # Words to parts to ids.
+        of_word = part_code[spread(part_cut[:-1][code], np.diff(part_cut)[code])]
+        out = flat[spread(starts[of_word], sizes[of_word])]
+        of_piece = np.diff(np.r_[0, np.cumsum(sizes[part_code])][part_cut])
+        ends = np.r_[0, np.cumsum(of_piece[code])][cut]
+        return [out[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def encode(self, values: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each of some texts (binary, UTF-8); null is empty."""
+        values = values.cast(pa.binary()).fill_null(b"")
+        sizes = np.cumsum(pc.binary_length(values).to_numpy())
+        at = 0
+        while at < len(values):
+            before = sizes[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(sizes, before + AT_ONCE, side="right")))
+            yield from self._encode(values.slice(at, upto - at).cast(pa.string()))
+            at = upto
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -137,7 +162,7 @@ MERGED = 1 << 20  # numbers of merging groups begin here; no task's number comes
 
 
 def _pack(path: str, end_id: int, size: int, count: int, least_cut: int, with_ids: bool):
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
 
     def pack(batches):
         tokens = word_tokens(path)
@@ -169,8 +194,8 @@ def _pack(path: str, end_id: int, size: int, count: int, least_cut: int, with_id
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for i, t in zip(batch.column(0).to_pylist(), texts(batch, "_text"), strict=True):
-                ids = tokens.encode(t or b"") + tail
+            for i, found in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1)), strict=True):
+                ids = np.append(found, tail).tobytes()
                 n = len(ids) // 4
                 held[doc] = [i, n, ids, n]
                 for window in open_.place(doc, n):
