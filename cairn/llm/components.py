@@ -12,27 +12,29 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the least node of its component.
 
     In each round every node hands its greater neighbours, then its lesser ones, to its
     least neighbour; the rounds number about the logarithm of the longest chain. A hub's
     least neighbour is found by partial aggregation and joined back, so its edges may be
     split over tasks. Loops, repeated edges and null ends are dropped; no edges give none.
+    ``rows`` is a bound of the number of edges, if known.
     """
     e = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
-    e = durable(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = durable(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     seen = _print(e)
     while seen[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = durable(large.filter("a <> b").distinct(), "large")
+        large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(least, "a")
         small = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        after = durable(small.distinct(), "edges")
-        discard(e, large)
+        # A round leaves no more edges than it found.
+        after = durable(small.distinct(), "edges", seen[0])
+        discard(e)
         e, before, seen = after, seen, _print(after)
         if seen == before:
             break

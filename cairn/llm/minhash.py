@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 
 from cairn.llm.arrays import PIECES, U, as_bytes, binary, bitmap, has, hash_words, input_bytes, merge_pieces, mixed, power_of_two, split_cells, texts, words_of
 from cairn.llm.components import connected_components
-from cairn.plans.durable import discard, durable, pick
+from cairn.plans.durable import durable, pick
 
-TREES, DEPTH, LEAST_DEPTH, NEAR = 16, 8, 4, 6
+TREES, DEPTH, LEAST_DEPTH, NEAR = 16, 8, 4, 3
 FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=U)) | U(1)
 SHIFTS = mixed(np.arange(1001, TREES * DEPTH + 1001, dtype=U))
 STEP = 200_000  # shingles that are hashed at a time
@@ -95,7 +95,7 @@ ROWS = "a binary, b binary, lcp int, tree int, prefix binary"
 
 
 def _scan(ends: bool):
-    """Pairs of near rows of a sorted order; with ``ends``, also its first and last rows."""
+    """Pairs of near rows of a sorted order; with ``ends``, its first and last rows instead."""
 
     def out(a, b, lcp, tree, prefix):
         return pa.RecordBatch.from_arrays([a, b, lcp, tree, prefix], names=["a", "b", "lcp", "tree", "prefix"])
@@ -117,7 +117,7 @@ def _scan(ends: bool):
             rows = np.frombuffer(b"".join(prefix), np.uint16).reshape(-1, DEPTH)
             keys = np.array(key, dtype=object)
             for step in range(1, NEAR + 1):
-                if len(key) <= step:
+                if ends or len(key) <= step:
                     break
                 lcp = np.cumprod(rows[step:] == rows[:-step], axis=1).sum(axis=1)
                 ok = (lcp >= LEAST_DEPTH) & (tree[step:] == tree[:-step])
@@ -138,16 +138,14 @@ def _candidates(signed: DataFrame) -> DataFrame:
     nodes = signed.filter("set_key is not null").groupBy("set_key").agg(F.first("signature").alias("signature"))
     trees = nodes.select("set_key", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     trees = trees.select("tree", F.expr(f"substring(signature, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("prefix"), "set_key")
-    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "prefix", "set_key"]
-    found = durable(trees.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_scan(True), ROWS), "neighbours")
+    dealt = trees.repartitionByRange(*order).sortWithinPartitions(*order)
+    pairs = dealt.mapInArrow(_scan(False), ROWS)
     # At most 2 * NEAR rows of each range: the ranges' number bounds them, not the data.
-    edges = found.filter("tree is not null").select("tree", "prefix", F.col("a").alias("set_key")).distinct()
+    edges = dealt.mapInArrow(_scan(True), ROWS).select("tree", "prefix", F.col("a").alias("set_key")).distinct()
     across = edges.repartitionByRange(1, *order).sortWithinPartitions(*order).mapInArrow(_scan(False), ROWS)
-    pairs = found.filter("tree is null").unionByName(across).filter("a <> b")
-    out = durable(pairs.groupBy("a", "b").agg(F.sum("lcp").alias("shared")), "candidates")
-    discard(found)
-    return out
+    both = pairs.unionByName(across).filter("a <> b")
+    return durable(both.groupBy("a", "b").agg(F.sum("lcp").alias("shared")), "candidates")
 
 
 def _key_cells(keys: list[bytes], cell_bits: int) -> np.ndarray:
@@ -208,7 +206,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("set_key").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("set_key").alias("b"), F.col("members").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return durable(both.filter(_alike(percent)("x", "y")).select("a", "b"), "links")
+    return both.filter(_alike(percent)("x", "y")).select("a", "b")
 
 
 def _apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
@@ -217,46 +215,70 @@ def _apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter("top_a <> top_b")
 
 
-def _merged(tops: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(tops: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """Components after more links."""
     roots = connected_components(_apart(links, tops).select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
     after = tops.join(roots.withColumnRenamed("node", "top"), "top", "left")
-    return durable(after.select("set_key", F.coalesce("root", "top").alias("top")), "tops")
+    return durable(after.select("set_key", F.coalesce("root", "top").alias("top")), "tops", rows)
 
 
-def _crowded(nodes: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sorted neighbours can miss: in one region, not near, not yet joined.
+GRID = 400_000  # shingles of a side of what is compared at once
 
-    Of a region with more sets than a row has neighbours, the sets outside its largest
-    component are a query set against the region's rows, in blocks. A pair is given when its
-    signatures agree in as many places as a linked pair's do but for one case in 200,000.
-    """
-    share = percent / 100
-    enough = int(TREES * DEPTH * (share - 4.5 * np.sqrt(share * (1 - share) / (TREES * DEPTH))))
-    rows = nodes.join(tops, "set_key").select("set_key", "top", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.withColumn("region", F.xxhash64("tree", F.expr(f"substring(signature, tree * {2 * DEPTH} + 1, {2 * LEAST_DEPTH})")))
-    parts = rows.groupBy("region", "top").agg(F.count(F.lit(1)).alias("n"))
-    regions = parts.groupBy("region").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tops"), F.max(F.struct("n", "top"))["top"].alias("main"))
-    regions = regions.filter((F.col("n") > NEAR + 1) & (F.col("tops") > 1))
-    rows = rows.join(regions, "region").withColumn("blocks", F.ceil(F.col("n") / 2000).cast("int"))
-    rows = rows.select("region", "set_key", "top", "signature", "blocks", (F.col("top") != F.col("main")).alias("asks"))
-    one = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("block", one).withColumn("asks", F.lit(False))
-    dealt = dealt.union(rows.filter("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
 
+def _compare(percent: int):
     def compare(table: pa.Table) -> pa.Table:
-        keys, tops_, asks = table["set_key"].to_pylist(), np.array(table["top"].to_pylist(), dtype=object), np.array(table["asks"].to_pylist(), dtype=bool)
-        marks = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(keys), -1)
+        """Exact links of the asking sets with the others, one for each component met."""
+        keys, tops, asks = table["set_key"].to_pylist(), table["top"].to_pylist(), np.array(table["asks"].to_pylist(), dtype=bool)
+        sets = [np.frombuffer(m, U) for m in table["members"].to_pylist()]
         there = np.flatnonzero(~asks)
         a, b = [], []
-        for i in np.flatnonzero(asks):
-            agree = (marks[there] == marks[i]).sum(axis=1)
-            for j in there[(agree >= enough) & (tops_[there] != tops_[i])]:
-                a.append(min(keys[i], keys[j]))
-                b.append(max(keys[i], keys[j]))
+        if len(there):
+            sizes = np.array([len(sets[i]) for i in there])
+            first = np.r_[0, np.cumsum(sizes)[:-1]]
+            known, place = np.unique(np.concatenate([sets[i] for i in there]), return_inverse=True)
+            mark = np.zeros(len(known), np.int32)
+            for i in np.flatnonzero(asks):
+                at = np.searchsorted(known, sets[i])
+                at = at[at < len(known)]
+                at = at[np.isin(known[at], sets[i])]
+                mark[at] = 1
+                common = np.add.reduceat(mark[place], first)
+                mark[at] = 0
+                met = {tops[i]}
+                for j in there[100 * common >= percent * (sizes + len(sets[i]) - common)]:
+                    if tops[j] not in met:
+                        met.add(tops[j])
+                        a.append(min(keys[i], keys[j]))
+                        b.append(max(keys[i], keys[j]))
         return pa.table([binary(a), binary(b)], names=["a", "b"])
 
-    return dealt.select("region", "block", "set_key", "top", "signature", "asks").groupBy("region", "block").applyInArrow(compare, "a binary, b binary").distinct()
+    return compare
+
+
+def _crowded(nodes: DataFrame, tops: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that sorted neighbours can miss: in one region, not near, not yet joined.
+
+    Of a region with more sets than a row has neighbours, the sets outside its largest
+    component are a query set against the region's rows. Both are dealt into blocks of a
+    bounded number of shingles; a task compares one block of each exactly, on the full
+    sets, and gives links only, never the pairs that it looked at.
+    """
+    rows = nodes.join(tops, "set_key").select("set_key", "top", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    region = F.xxhash64("tree", F.expr(f"substring(signature, tree * {2 * DEPTH} + 1, {2 * LEAST_DEPTH})"))
+    rows = rows.select("set_key", "top", "n", region.alias("region"))
+    parts = rows.groupBy("region", "top").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    main = F.max(F.struct("rows", "n", "top"))
+    regions = parts.groupBy("region").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("tops"), F.sum("n").alias("n"), main.alias("main"))
+    regions = regions.filter((F.col("rows") > NEAR + 1) & (F.col("tops") > 1))
+    blocks = lambda n: F.ceil(n / GRID).cast("int")
+    regions = regions.select("region", F.col("main.top").alias("main"), blocks(F.col("n")).alias("down"), blocks(F.col("n") - F.col("main.n")).alias("across"))
+    rows = rows.join(regions, "region")
+    own = lambda n: F.pmod(F.xxhash64("set_key"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    there = rows.select("region", own(F.col("down")).alias("block"), every(F.col("across")).alias("side"), "set_key", "top", F.lit(False).alias("asks"))
+    ask = rows.filter("top <> main").select("region", every(F.col("down")).alias("block"), own(F.col("across")).alias("side"), "set_key", "top", F.lit(True).alias("asks"))
+    dealt = there.union(ask).join(sets, "set_key")
+    return dealt.groupBy("region", "block", "side").applyInArrow(_compare(percent), "a binary, b binary").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -279,20 +301,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     candidates = _candidates(signed)
 
     ends = candidates.select(F.col("a").alias("set_key")).union(candidates.select(F.col("b").alias("set_key"))).distinct()
-    nodes = signed.join(ends, "set_key").groupBy("set_key").agg(F.max(F.struct("text_key", "signature")).alias("x"))
-    nodes = durable(nodes.select("set_key", "x.text_key", "x.signature"), "nodes")
+    nodes = signed.join(ends, "set_key").groupBy("set_key").agg(F.max(F.struct("text_key", "signature")).alias("x"), F.max("n_shingles").alias("n"))
+    rows = ends.count()
+    nodes = durable(nodes.select("set_key", "n", "x.text_key", "x.signature"), "nodes", rows)
     sets = _sets_of(d, nodes.select("set_key", "text_key"), shingle, power_of_two(input_bytes(df, 1 << 30) / 100, 18, 29))
 
     # Round 1: each set with the candidate that shares most with it.
     turned = candidates.union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = turned.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    best = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    tops = _merged(nodes.select("set_key", F.col("set_key").alias("top")), _confirmed(best, sets, percent))
+    best = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best", rows)
+    tops = _merged(nodes.select("set_key", F.col("set_key").alias("top")), _confirmed(best, sets, percent), rows)
     # Round 2: the other candidates, round 3: what crowded regions hide, as far as still apart.
     rest = _apart(candidates.join(best, ["a", "b"], "left_anti"), tops)
-    tops = _merged(tops, _confirmed(rest, sets, percent))
-    rest = _crowded(nodes.select("set_key", "signature"), tops, percent).join(candidates, ["a", "b"], "left_anti")
-    tops = _merged(tops, _confirmed(rest, sets, percent))
+    tops = _merged(tops, _confirmed(rest, sets, percent), rows)
+    tops = _merged(tops, _crowded(nodes, tops, sets, percent), rows)
 
     final = signed.select("_id", "n_shingles", "set_key", "text_key").join(tops, "set_key", "left")
     final = final.select("_id", "n_shingles", "text_key", F.coalesce("top", "set_key").alias("top"))
