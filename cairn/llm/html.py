@@ -179,11 +179,12 @@ class Page:
         return "\n".join(t for c, t, _ in self.blocks if inside[c])
 
     def main_text(self, path: str | None) -> str:
+        """The text of the container at ``path``, if it has a quarter of the own best one's."""
         own = self.best()
         if path:
             same = [c for c in range(len(self.paths)) if self.paths[c] == path]
             chosen = max(same, key=lambda c: (self.points[c], -c), default=own)
-            if 2 * self.points[chosen] >= self.points[own]:
+            if 4 * self.points[chosen] >= self.points[own]:
                 return self.text(chosen)
         return self.text(own)
 
