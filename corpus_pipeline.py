@@ -37,10 +37,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least id; of equal rows one."""
-    stay = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_of", text_key(F.coalesce(F.col("text"), F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_of"] == stay["_key"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
+    stay = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__text_key", text_key(F.coalesce(F.col("text"), F.lit(""))))
+    same = keyed["doc_id"].eqNullSafe(stay["__id"]) & (keyed["__text_key"] == stay["__key"])
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
