@@ -77,7 +77,7 @@ def contents(spark: SparkSession, root: str) -> DataFrame:
     """path, content: Spark's reader of whole files, which executors run."""
     base = open_root(root)
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base.as_uri())
-    plain = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^file:/*", "/")
+    plain = F.regexp_replace("path", "^file:/*", "/")
     return d.select(F.substring(plain, len(str(base)) + 2, 1 << 20).alias("path"), F.col("length").alias("size"), "content")
 
 
