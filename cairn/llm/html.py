@@ -28,8 +28,10 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("article body div main section td".split())
 DROPPED = frozenset("aside button datalist dialog fieldset footer form head header iframe input label legend menu nav noscript object optgroup option script select style svg template textarea title canvas audio video map math".split())
 UNWANTED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices notification alert popup modal overlay menu menus nav navbar navigation topnav breadcrumb breadcrumbs sidebar sidebars aside footer header masthead comment comments commentlist discussion disqus reply replies respond responses share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchform form pagination pager widget widgets toolbar skip contentinfo complementary dialog hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices notification alert popup modal overlay menu menus nav navbar navigation topnav breadcrumb breadcrumbs sidebar sidebars aside footer header masthead comment comments commentlist discussion disqus reply replies respond responses share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchform form pagination pager widget widgets toolbar skip contentinfo complementary dialog".split()
 )
+#: A class with one of these tells how a part is laid out, not what it is.
+LAID_OUT = frozenset("has no with without is not overflow".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
@@ -37,6 +39,19 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 NAMES = re.compile(r"[a-z]+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def unwanted(tokens: str) -> bool:
+    """Whether a class, id or role names something that isn't an article.
+
+    A token does by its first or last word: ``comment-list``, ``topNav``, not ``has-sidebar``.
+    """
+    for token in HUMP.sub("-", tokens).lower().split():
+        words = NAMES.findall(token)
+        if words and (words[0] in UNWANTED or words[-1] in UNWANTED) and LAID_OUT.isdisjoint(words):
+            return True
+    return False
 
 
 class Page:
@@ -148,15 +163,15 @@ class Page:
         gone, names = tag in DROPPED, []
         if "=" in rest or "hidden" in rest:
             for name, value in ATTRIBUTE.findall(rest):
-                name, value = name.lower(), value.strip("\"'").lower()
-                if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                name, value = name.lower(), value.strip("\"'")
+                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     gone = True
                 elif name in ("class", "id", "role") and value:
-                    words = NAMES.findall(value)
-                    gone |= tag not in ("html", "body", "main", "article") and not UNWANTED.isdisjoint(words)
+                    gone |= tag not in ("html", "body", "main", "article") and unwanted(value)
+                    words = NAMES.findall(value.lower())
                     if name == "class":
                         names += sorted(set(words))[:4]
-                    elif name == "role" and value == "main":
+                    elif name == "role" and value.lower() == "main":
                         names.append("role=main")
         return names, gone
 

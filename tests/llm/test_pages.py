@@ -105,6 +105,11 @@ SHAPES = {
 }
 
 
+@pytest.mark.parametrize(("token", "is_unwanted"), [("comment-list", True), ("topNav", True), ("ad", True), ("post-comments", True), ("cookieBanner x", True), ("content has-sidebar", False), ("overflow-hidden", False), ("adult-education", False), ("no-comments", False), ("entry-content", False)])
+def test_unwanted(token, is_unwanted):
+    assert html.unwanted(token) == is_unwanted
+
+
 @pytest.mark.parametrize("name", SHAPES)
 def test_shapes(name):
     text = [f"This is the {w} sentence of the article, long enough to be told from a menu, and it goes on." for w in ("first", "second", "third")]
