@@ -302,8 +302,8 @@ def size_distribution(chunks: DataFrame, config: ChunkerConfig) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    last = chunks.groupBy("path").agg(F.max("idx").alias("last"))
-    body = chunks.join(last, "path").filter("idx < last")
+    last = F.max("idx").over(Window.partitionBy("path"))
+    body = chunks.select("idx", "length", last.alias("last")).filter("idx < last")
     counts = body.groupBy("length").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy(F.lit(0)).orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
