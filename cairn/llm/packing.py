@@ -235,7 +235,7 @@ def _merge(size: int):
     return merge
 
 
-MERGED_AT_A_TIME = 16_384
+MERGED_AT_A_TIME = 2_048  # windows of a merging group; with ids, 32 MiB
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, size: int = 4096, open_windows: int = 64, least_cut: int = 32, with_ids: bool = False) -> DataFrame:
