@@ -78,7 +78,8 @@ def run(args: argparse.Namespace) -> int:
         return 0
     r = Repository.open(spark, store)
     if args.name == "backup":
-        s = r.backup(args.source, args.dry_run, args.max_bytes, args.skip_unreadable)
+        told = (lambda x: print("progress:", ", ".join(f"{k} {v}" for k, v in x.items()), file=sys.stderr)) if args.v else None
+        s = r.backup(args.source, args.dry_run, args.max_bytes, args.skip_unreadable, progress=told)
         n = s["stats"]
         total = n["bytes_new"] + n["bytes_deduped"]
         print("dry run: nothing was written" if args.dry_run else f"snapshot {s['id'][:16]}")

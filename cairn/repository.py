@@ -13,11 +13,12 @@ import json
 import os
 import socket
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.errors import CairnError, Kind
@@ -208,16 +209,27 @@ class Repository:
 
     # Runs.
 
-    def backup(self, source: str, dry_run: bool = False, max_bytes: int = 0, skip_unreadable: bool = False, hostname: str | None = None) -> dict:
-        """Store a tree; the snapshot, with an empty id after a dry run."""
+    def backup(self, source: str, dry_run: bool = False, max_bytes: int = 0, skip_unreadable: bool = False, hostname: str | None = None, progress: Callable[[dict], None] | None = None) -> dict:
+        """Store a tree; the snapshot, with an empty id after a dry run.
+
+        ``progress`` is told what tasks observed as they read (files, bytes, chunks), and
+        then what of it was new.
+        """
         began = time.monotonic_ns()
         tree = files.read(self.spark, source, skip_unreadable)
         listed = files.entries(self.spark, source, skip_unreadable)
         dedup.check_byte_cap(listed, max_bytes)
         # Chunked once: ids and bytes are written, so that what is hashed is what is packed.
-        chunks = durable(cdc_chunks(tree, self.config.chunker(), with_data=True), "chunks")
+        seen, cut = Observation(), Observation()
+        tree = tree.observe(seen, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+        parts = cdc_chunks(tree, self.config.chunker(), with_data=True).observe(cut, F.count(F.lit(1)).alias("chunks"))
+        chunks = durable(parts, "chunks")
         ids = chunks.drop("data")
+        if progress:
+            progress(dict(seen.get) | dict(cut.get))
         stats = dedup.run_stats(ids, self.index_table(), listed).first().asDict()
+        if progress:
+            progress({k: stats[k] for k in ("blobs_new", "blobs_deduped")})
         fresh = dedup.new_blobs(ids, self.index_table())
         plan = packs.assemble(fresh, self.config.pack_target_size, lane_digits=0)
         written = self._write_packs(plan, chunks, dry_run)

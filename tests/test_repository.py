@@ -76,6 +76,13 @@ def test_a_byte_before_stores_little(repo, tmp_path):
     assert again["bytes_new"] <= 0.05 * again["bytes_total"]
 
 
+def test_progress(repo, source):
+    told = []
+    s = repo.backup(str(source), progress=told.append)["stats"]
+    assert told[0]["files"] == len(SIZES) and told[0]["bytes"] == sum(SIZES.values())
+    assert told[1] == {"blobs_new": s["blobs_new"], "blobs_deduped": s["blobs_deduped"]}
+
+
 def test_copies_are_stored_once(repo, tmp_path):
     fill(tmp_path / "c", {"0": 1 << 20})
     for i in "123":
