@@ -14,25 +14,32 @@ import mmap
 import os
 import struct
 import tempfile
+from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.arrays import as_bytes, binary, texts
-from cairn.plans.durable import pick
+from cairn.llm.arrays import as_bytes, binary, spread, texts
+from cairn.plans.durable import discard, durable, pick
 
 # Fixed value: how the tokenizer cuts a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: White space beside white space, or at an end: such texts are cut as a whole.
-UNEVEN = regex.compile(r"\s\s|^\s|\s$")
-#: Letters whose classes are the same in every Unicode version; other words go to the tokenizer.
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space beside white space, or at an end: such texts are cut by the whole pattern.
+UNEVEN = f"{SPACE}{SPACE}|^{SPACE}|{SPACE}$"
+#: Pieces with other characters, a contraction or an added token are merged as a whole.
+OTHER = r"[^!-~À-ÖØ-öø-ɏ]|'|<\|"
+RUNS = r"([!-/:-@\[-`{-~]+|[0-9]+)"
+#: Characters whose classes are the same in every Unicode version.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ‐-›€]*")
-MEMO = 400_000
+MEMO = 200_000  # remembered words of a worker, twice
+AT_ONCE = 4 << 20  # bytes of text that are cut at a time
 
 
 class Builder:
@@ -137,7 +144,12 @@ class Lexicon:
 
 
 class Encoder:
-    """Ids of whole texts: remembered pieces, then the lexicon, then exact merges."""
+    """Ids of whole texts: remembered words, then the lexicon, then exact merges.
+
+    Where white space stands alone, no word reaches over it but for the space before it. So
+    texts are cut at spaces and line ends in Arrow, distinct pieces into runs of letters,
+    digits and marks, and only distinct words looked up; numpy puts their ids together.
+    """
 
     def __init__(self, path: str, lexicon: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -148,39 +160,92 @@ class Encoder:
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lexicon = Lexicon(lexicon)
-        self.first: dict[str, bytes] = {}  # pieces at the head of a line
-        self.later: dict[str, bytes] = {}  # pieces after a space, without it
-        self.newline = self.exact("\n")
-
-    def exact(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece(self, text: str) -> bytes:
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        memo, older, get = self.memo, self.older, self.lexicon.get
+        ask = []
+        for w in words:
+            if w not in memo:
+                ids = older.get(w)
+                if ids is None and w:
+                    ids = get(w.encode())
+                if ids is None:
+                    ask.append(w)
+                else:
+                    memo[w] = ids
+        for w, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+            memo[w] = array("I", e.ids).tobytes()
+        return [memo[w] for w in words]
+
+    def _even(self, values: pa.Array) -> list[np.ndarray]:
+        cut = pc.split_pattern(pc.replace_substring(values, "\n", " \n "), " ")
+        ends = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy(), coded.dictionary
+        line = pc.index(pieces, "\n").as_py()
+        # A piece has the space before it unless a text or a line begins there.
+        bare = code == line
+        bare[1:] |= code[:-1] == line
+        bare[ends[:-1][np.diff(ends) > 0]] = True
+        key, piece_of = _distinct(code.astype(np.int64) * 2 + ~bare, 2 * len(pieces))
+        pieces, led = pieces.take(pa.array(key >> 1)), (key & 1).astype(bool)
+        whole = pc.match_substring_regex(pieces, OTHER)
+        runs = pc.ascii_split_whitespace(pc.if_else(whole, "\0", pc.replace_substring_regex(pieces, RUNS, r" \1 ")))
+        # Marks and digits at an end leave empty strings there; they have no ids.
+        run_ends = runs.offsets.to_numpy().astype(np.int64)
+        run_coded = runs.flatten().dictionary_encode()
+        run, texts_ = run_coded.indices.to_numpy().astype(np.int64), run_coded.dictionary.to_pylist()
+        full = np.array([bool(t) for t in texts_], bool)
+        # The first run that isn't empty carries the space.
+        heads = run_ends[:-1] + ~full[run[np.minimum(run_ends[:-1], len(run) - 1)]]
+        lead = np.zeros(len(run), bool)
+        lead[heads[led & (heads < run_ends[1:])]] = True
+        word, word_of = _distinct(run * 2 + lead, 2 * len(texts_))
+        words = [" " + texts_[w >> 1] if w & 1 else texts_[w >> 1] for w in word.tolist()]
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        word_of[run_ends[at]] = len(words) + np.arange(len(at))
+        words += [" " + t if x else t for t, x in zip(pieces.take(pa.array(at)).to_pylist(), led[at].tolist(), strict=True)]
+        ids = self._ids(words)
+        sizes = np.fromiter(map(len, ids), np.int64, count=len(ids)) >> 2
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        in_text = word_of[spread(run_ends[:-1][piece_of], np.diff(run_ends)[piece_of])]
+        out = flat[spread(starts[in_text], sizes[in_text])]
+        of_piece = np.diff(np.r_[0, np.cumsum(sizes[word_of])][run_ends])
+        at = np.r_[0, np.cumsum(of_piece[piece_of])][ends]
+        return [out[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def _uneven(self, text: str) -> np.ndarray:
         if not PLAIN.fullmatch(text) or any(a in text for a in self.added):
-            return self.exact(text)
-        return b"".join([self.lexicon.get(w.encode()) or self.exact(w) for w in WORDS.findall(text)])
-
-    def encode(self, text: str) -> bytes:
-        if UNEVEN.search(text):
-            return self.piece(text)
-        lines = []
-        for line in text.split("\n"):
-            head, *tail = line.split(" ")
-            ids = self.first.get(head)
-            if ids is None:
-                if len(self.first) >= MEMO:
-                    self.first.clear()
-                ids = self.first[head] = self.piece(head)
-            try:
-                lines.append(ids + b"".join([self.later[w] for w in tail]))
-            except KeyError:
-                if len(self.later) >= MEMO:
-                    self.later.clear()
-                for w in tail:
-                    if w not in self.later:
-                        self.later[w] = self.piece(" " + w)
-                lines.append(ids + b"".join([self.later[w] for w in tail]))
-        return self.newline.join(lines)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        words = WORDS.findall(text)
+        return np.frombuffer(b"".join(self._ids(words)), "<u4")
+
+    def encode(self, values: pa.Array) -> list[np.ndarray]:
+        """The ids of each of some texts (binary, UTF-8); null is empty."""
+        values = values.cast(pa.binary()).fill_null(b"")
+        sizes = np.cumsum(pc.binary_length(values).to_numpy())
+        out: list = []
+        at = 0
+        while at < len(values):
+            before = sizes[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(sizes, before + AT_ONCE, side="right")))
+            some = values.slice(at, upto - at).cast(pa.string())
+            odd = pc.match_substring_regex(some, UNEVEN)
+            even = iter(self._even(some.filter(pc.invert(odd))))
+            out += [self._uneven(t.as_py()) if o else next(even) for t, o in zip(some, odd.to_pylist(), strict=True)]
+            at = upto
+        return out
+
+
+def _distinct(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``key`` (all under ``n``), and which of them each is."""
+    there = np.zeros(n, bool)
+    there[key] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[key]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -212,17 +277,28 @@ def frequent_words(df: DataFrame, text_col: str = "text", most: int = 65_536) ->
         for batch in batches:
             for t in texts(batch, "_text"):
                 held.update((t or b"").split())
-                if len(held) > 500_000:
+                if len(held) > 200_000:
                     yield out()
         if held:
             yield out()
 
     d = pick(df, _text=text_col).select(as_bytes("_text").alias("_text"))
-    top = d.mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
+    counts = d.mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = durable(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "counts")
+    # Steps of an eighth of a doubling, a few hundred: the words of the last step that
+    # would pass ``most`` stay out, and the driver gets ``most`` rows at the most.
+    steps = sorted(counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    least, total = 1 << 30, 0
+    for step, n in steps:
+        total += n
+        if total > most:
+            break
+        least = step
     words: Counter = Counter()
-    for row in top.collect():
+    for row in counts.filter(F.col("step") >= least).collect():
         for w in WORDS.findall(" " + bytes(row.piece).decode()):
             words[w] += row.n
+    discard(counts)
     return [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:most]]
 
 
@@ -240,15 +316,19 @@ def build_lexicon(tokenizer_path: str, words: list[str]) -> bytes:
 IDS = T.ArrayType(T.IntegerType())
 
 
+def _encoded(e: Encoder, text: pa.Array) -> pa.ListArray:
+    ids = e.encode(text)
+    ends = np.cumsum([0] + [len(x) for x in ids])
+    flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encoder(spark, tokenizer_path: str, lexicon: bytes):
     """A column function: text (as bytes) to its ids. Null and empty texts have none."""
     shared = spark.sparkContext.broadcast(lexicon)  # its size is fixed by the number of words
 
     def encode(text: pa.Array) -> pa.Array:
-        e = _encoder(tokenizer_path, shared.value)
-        packed = [e.encode(t.decode()) if t else b"" for t in text.to_pylist()]
-        ends = np.cumsum([0] + [len(p) // 4 for p in packed])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+        return _encoded(_encoder(tokenizer_path, shared.value), text)
 
     return F.arrow_udf(encode, IDS)
 
@@ -260,10 +340,10 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_vocabularies: dict[str, list[bytes]] = {}
+_vocabularies: dict[str, pa.Array] = {}
 
 
-def vocabulary(tokenizer_path: str) -> list[bytes]:
+def vocabulary(tokenizer_path: str) -> pa.Array:
     """The bytes of every id, added tokens included."""
     if tokenizer_path not in _vocabularies:
         with open(tokenizer_path, encoding="utf-8") as f:
@@ -273,21 +353,30 @@ def vocabulary(tokenizer_path: str) -> list[bytes]:
         out = [b""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             out[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        _vocabularies[tokenizer_path] = out
+        _vocabularies[tokenizer_path] = binary(out)
     return _vocabularies[tokenizer_path]
 
 
+TEXTS = 1_000  # texts that are put together at a time
+
+
+def _decoded(known: pa.Array, ids: pa.ListArray) -> pa.Array:
+    ids = ids.fill_null([]) if ids.null_count else ids
+    ends = np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())].astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), known.take(ids.flatten())), b"")
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+
+
 def decoder(tokenizer_path: str):
     """A column function: ids to text; bytes that aren't UTF-8 become U+FFFD."""
 
     def decode(ids: pa.Array) -> pa.Array:
         known = vocabulary(tokenizer_path)
-        ids = ids.fill_null([]) if ids.null_count else ids
-        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        out = []
-        for i, j in zip(ends[:-1], ends[1:], strict=True):
-            out.append(b"".join([known[x] for x in flat[i:j].tolist()]).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        parts = [_decoded(known, ids.slice(i, TEXTS)) for i in range(0, len(ids), TEXTS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return F.arrow_udf(decode, T.StringType())
 
@@ -299,11 +388,21 @@ def encode_and_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     give a row; null ids pass through; an empty table gives an empty table; other columns
     don't matter. Texts are taken whole, and the tokenizer's truncation and padding are off.
     """
-    d = pick(df, _id=id_col, _text=text_col)
+    d = pick(df, _id=id_col, _text=text_col).withColumn("_text", as_bytes("_text"))
+    kind = d.schema["_id"].dataType.simpleString()
     lexicon = build_lexicon(tokenizer_path, frequent_words(df, text_col, lexicon_words))
-    ids = encoder(df.sparkSession, tokenizer_path, lexicon)(F.col("_text").cast("string").cast("binary"))
-    d = d.select(F.col("_id").alias(id_col), ids.alias("ids"))
-    return d.withColumn("decoded", decoder(tokenizer_path)("ids"))
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # its size is fixed by the number of words
+
+    def both(batches):
+        # Given on a few texts at a time: ids are longer than the texts that they are of.
+        e, known = _encoder(tokenizer_path, shared.value), vocabulary(tokenizer_path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(i, TEXTS)
+                ids = _encoded(e, some.column(1))
+                yield pa.RecordBatch.from_arrays([some.column(0), ids, _decoded(known, ids)], names=["_id", "ids", "decoded"])
+
+    return d.mapInArrow(both, f"_id {kind}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
 def byte_bpe() -> str:
