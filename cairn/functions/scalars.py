@@ -132,11 +132,11 @@ def snapshot_problem(kind: Column, block_size: Column, files: Column, blocks: Co
     no = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     return (
         F.when(~F.coalesce(kind, F.lit("")).isin("files", "blocks"), "unknown kind")
-        .when((kind == "files") & ~no(blocks), "a files snapshot lists blocks")
-        .when((kind == "blocks") & ~no(files), "a blocks snapshot lists files")
-        .when((kind == "blocks") & (F.coalesce(block_size, F.lit(0)) <= 0), "no block size")
-        .when(F.exists(files, lambda f: F.coalesce(f["path"], F.lit("")) == ""), "a file has no path")
-        .when(F.exists(files, lambda f: f["size"] < 0), "a file has a negative size")
-        .when(F.exists(blocks, lambda b: b["index"] < 0), "a block has a negative index")
-        .when(F.exists(blocks, lambda b: is_zero(b["blob"])), "a block has a zero id")
+        .when((kind == "files") & ~no(blocks), "blocks among files")
+        .when((kind == "blocks") & ~no(files), "files among blocks")
+        .when((kind == "blocks") & (F.coalesce(block_size, F.lit(0)) <= 0), "block size missing")
+        .when(F.exists(files, lambda f: F.coalesce(f["path"], F.lit("")) == ""), "file without path")
+        .when(F.exists(files, lambda f: f["size"] < 0), "file of negative size")
+        .when(F.exists(blocks, lambda b: b["index"] < 0), "block of negative index")
+        .when(F.exists(blocks, lambda b: is_zero(b["blob"])), "block without id")
     )

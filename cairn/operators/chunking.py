@@ -65,11 +65,11 @@ class ChunkerConfig:
             raise CairnError(Kind.INVALID, "chunker config", why)
 
         if self.min_size <= 0:
-            refuse("min size must be positive")
+            refuse("min must be 1 at least")
         if not self.min_size < self.avg_size <= self.max_size:
             refuse("sizes must be min < avg <= max")
         if self.avg_size & (self.avg_size - 1):
-            refuse("avg size must be a power of two")
+            refuse("avg must be a power of two")
         if not 0 <= self.normalization <= 3:
             refuse("normalization must be from 0 to 3")
 

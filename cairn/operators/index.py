@@ -72,16 +72,16 @@ def load(data: bytes) -> list[tuple[str, str, int, int]]:
         raise CairnError(Kind.CORRUPT, "index", why)
 
     if len(data) < 16:
-        corrupt("truncated header")
+        corrupt("header cut short")
     if data[:8] != MAGIC:
         corrupt("bad magic")
     (count,) = struct.unpack_from("<Q", data, 8)
     if count > MOST_ENTRIES:
         corrupt(f"{count} entries exceed the limit")
     if len(data) < 16 + count * ENTRY.size:
-        corrupt("truncated entries")
+        corrupt("entries cut short")
     if len(data) > 16 + count * ENTRY.size:
-        corrupt("trailing bytes")
+        corrupt("bytes after the last entry")
     out: dict[str, tuple] = {}
     for b, p, o, n in ENTRY.iter_unpack(data[16:]):
         if o >= 1 << 63 or n >= 1 << 63:

@@ -68,7 +68,7 @@ def encode(blobs: list[tuple[str, bytes]]) -> tuple[str, bytes, list[dict]]:
             entries.append({"id": blob_id, "offset": len(body), "length": len(data)})
             body += data
     if not entries:
-        raise CairnError(Kind.INVALID, "pack", "refusing to write an empty pack")
+        raise CairnError(Kind.INVALID, "pack", "a pack needs a blob")
     header = json.dumps({"version": VERSION, "entries": entries}, separators=(",", ":")).encode()
     if len(header) > MOST_HEADER:
         raise CairnError(Kind.INVALID, "pack", f"header of {len(header)} bytes")
@@ -91,19 +91,19 @@ def parse_tail(tail: bytes, size: int) -> list[dict]:
         raise CairnError(kind, "pack", why)
 
     if len(tail) > size:
-        fail("tail longer than the pack", Kind.INVALID)
+        fail("more bytes than the pack has", Kind.INVALID)
     if len(tail) < TRAILER.size:
         raise ShortTail(TRAILER.size)
     n, magic = TRAILER.unpack(tail[-TRAILER.size :])
     if magic != MAGIC:
         fail("bad magic")
     if n == 0:
-        fail("header length is zero")
+        fail("empty header")
     if n > MOST_HEADER:
-        fail("header length exceeds the limit")
+        fail("header too long")
     need = n + TRAILER.size
     if need > size:
-        fail("header doesn't fit in the pack")
+        fail("header longer than the pack")
     if len(tail) < need:
         raise ShortTail(need)
     try:
@@ -115,7 +115,7 @@ def parse_tail(tail: bytes, size: int) -> list[dict]:
     if version != VERSION:
         fail(f"format version {version}", Kind.UNSUPPORTED)
     if not spans:
-        fail("header lists no entries")
+        fail("no entries")
     if any(o < 0 or k < 0 or o + k > size - need for o, k, _ in spans):
         fail("an entry lies outside the data")
     return entries

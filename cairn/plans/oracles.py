@@ -104,8 +104,8 @@ def oracles(size: int, target: int) -> dict[str, str]:
         "list_snapshots": f"WITH {snaps} SELECT * FROM sn ORDER BY id",
         "latest_snapshot": f"WITH {snaps} SELECT * FROM sn ORDER BY created_at DESC, id LIMIT 1",
         "resolve_prefix": f"WITH {snaps} SELECT * FROM sn WHERE starts_with(id, substr(sha256('src7'), 1, 10))",
-        "snapshot_validity": """SELECT source, CASE WHEN length(source) <> 4 AND ends_with(source, '5') THEN 'unknown kind' WHEN length(source) <> 4 THEN 'a blocks snapshot lists files'
-            WHEN bool_or(n_chars <= 20) THEN 'a file has no path' WHEN bool_or(n_chars < 10) THEN 'a file has a negative size' END AS problem FROM documents GROUP BY source""",
+        "snapshot_validity": """SELECT source, CASE WHEN length(source) <> 4 AND ends_with(source, '5') THEN 'unknown kind' WHEN length(source) <> 4 THEN 'files among blocks'
+            WHEN bool_or(n_chars <= 20) THEN 'file without path' WHEN bool_or(n_chars < 10) THEN 'file of negative size' END AS problem FROM documents GROUP BY source""",
         "verify_dangling": f"{refs}, {dangling} SELECT * FROM dg",
         "verify_missing": f"{present} SELECT pack_id FROM used ANTI JOIN pr USING (pack_id)",
         "verify_orphans": f"{present} SELECT pack_id, size FROM pr ANTI JOIN used USING (pack_id)",

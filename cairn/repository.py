@@ -54,7 +54,7 @@ class Config:
         except CairnError as e:
             raise CairnError(Kind.CORRUPT, "config", e) from e
         if self.pack_target_size <= 0:
-            raise CairnError(Kind.CORRUPT, "config", "pack target size must be positive")
+            raise CairnError(Kind.CORRUPT, "config", "pack target of no size")
         return self
 
     def chunker(self) -> ChunkerConfig:
@@ -104,7 +104,7 @@ class Repository:
     def create(cls, spark: SparkSession, store: Store, config: Config | None = None) -> Repository:
         config = (config or Config(created_at=now())).validate()
         if not store.create(CONFIG, json.dumps(asdict(config), indent=2).encode()):
-            raise CairnError(Kind.ALREADY_EXISTS, "init", "a repository already exists here")
+            raise CairnError(Kind.ALREADY_EXISTS, "init", "there is one already")
         return cls(spark, store, config, [])
 
     @classmethod
@@ -113,7 +113,7 @@ class Repository:
             data = store.get(CONFIG)
         except CairnError as e:
             if e.kind is Kind.NOT_FOUND:
-                raise CairnError(Kind.NOT_FOUND, "open", "no repository here: config is missing") from e
+                raise CairnError(Kind.NOT_FOUND, "open", "no configuration found") from e
             raise
         try:
             known = json.loads(data)
@@ -198,7 +198,7 @@ class Repository:
     def resolve(self, ref: str) -> dict:
         known = self.list_snapshots()
         if not known:
-            raise CairnError(Kind.NOT_FOUND, "snapshots", "repository has no snapshots")
+            raise CairnError(Kind.NOT_FOUND, "snapshots", "there are none")
         if ref == "latest":
             best = max(s["created_at"] for s in known)
             return next(s for s in known if s["created_at"] == best)
