@@ -2,13 +2,14 @@
 
 A capture is three records. The response (or, for a payload that another page's response
 holds, a revisit) carries the HTTP header and payload; request and metadata name it in
-WARC-Concurrent-To. Archives are plain WARC/1.1 files that Spark's text writer puts into the
-shared folder, a bounded number of records to a file; each file is read as a whole and cut
-by Content-Length, so no payload can be taken for a record.
+WARC-Concurrent-To. Archives are gzipped WARC/1.1 files that Spark's text writer puts into
+the shared folder, a bounded number of records to a file; each file is read as a whole and
+cut by Content-Length, so no payload can be taken for a record.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.urls import host_of
-from cairn.plans.durable import pick, shared_root
+from cairn.plans.durable import discard, durable, pick, shared_root
 
 LEAST_REVISIT = 1_000  # bytes of a payload that is stored once
 RECORDS_PER_FILE = 3_000
@@ -67,6 +68,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
     digests = p.select("_id", "digest", "bytes").filter(F.col("bytes") >= LEAST_REVISIT)
     largest = digests.groupBy("digest").agg(F.max("_id").alias("largest"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and largest is not null").drop("copies")
+    # Written first, so that its size is known: payloads are shuffled only if it is large.
+    largest = durable(largest, "largest")
     p = p.join(largest, "digest", "left")
     p = p.withColumn("revisit", F.col("largest").isNotNull() & (F.col("_id").isNull() | (F.col("_id") < F.col("largest"))))
     # Ids of what is kept once come from the payload, so that a revisit can name its response.
@@ -87,7 +90,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     request = _record("request", _urn(F.lit("request"), "rid"), F.col("uri"), "application/http; msgtype=request", rest, ("WARC-Concurrent-To", angle), ("WARC-IP-Address", no))
     metadata = _record("metadata", _urn(F.lit("metadata"), "rid"), F.col("uri"), "application/warc-fields", note, ("WARC-Concurrent-To", angle))
     records = p.select(F.explode(F.array(request, main, metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    discard(largest)
 
 
 class BadArchive(ValueError):
@@ -127,7 +131,7 @@ def read_records(spark, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows = []
-                for h, body in parse_records(data):
+                for h, body in parse_records(gzip.decompress(data) if data else b""):
                     kind, strip = h["warc-type"], lambda x: x.strip("<>") if x else None
                     head, payload, n, digest = None, None, None, None
                     if kind in ("response", "revisit", "request"):
@@ -145,7 +149,7 @@ def read_records(spark, path: str, payloads: bool = True) -> DataFrame:
                 types = [pa.string()] * 7 + [pa.binary(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in RECORDS.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     return files.mapInArrow(read, RECORDS)
 
 
@@ -178,7 +182,10 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     path = f"{shared_root(spark)}/cairn-tables/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, id_col, url_col, html_col)
-    captures = assemble(read_records(spark, path, payloads))
+    records = read_records(spark, path, payloads)
+    if not payloads:  # small then: the archives are parsed once, not for each kind of record
+        records = durable(records, "records")
+    captures = assemble(records)
     note = F.col("metadata.payload").cast("string")
     page = F.regexp_extract(note, r"(?:^|\n)page-id: (-?\d+)", 1)
     captures = captures.withColumn("page_id", F.when(page != "", page.cast("long")))
