@@ -28,7 +28,7 @@ from cairn.llm.arrays import PIECES, U, as_bytes, binary, bitmap, has, hash_word
 from cairn.plans.durable import discard, durable, pick
 
 GRAM = 16  # words of a gram; the longer, the rarer by chance and the more anchors
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000  # whose hashes a task holds at once
 ROWS = 2  # of the sketch
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
