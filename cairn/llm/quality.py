@@ -8,6 +8,7 @@ too much of it has gone. No row meets another, so the plan is one scan without a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ SYMBOLS = "#*$%&|<>"
 ENDINGS = [".", "!", "?", "…", ":", ";", '"', "'", ")", "]", "”", "’", "»", "。", "！", "？"]
 SEPARATORS = "|»›•·"
 NAVIGATION = r"(?i)^(home|menu|search|log ?in|sign ?in|sign ?up|subscribe|next|previous|share|read more|contact( us)?|about( us)?|back to top|skip to content)[.!:]?$"
-BOILERPLATE = r"(?i)lorem ipsum|enable javascript|cookie policy|privacy policy|terms of (use|service)|all rights reserved|licensed under|released under"
+LONGEST_NAVIGATION = 20
+BOILERPLATE = ["lorem ipsum", "enable javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "licensed under", "released under"]
 
 
 @dataclass(frozen=True)
@@ -52,13 +54,21 @@ def _count(c: Column, chars: str) -> Column:
     return F.length(c) - F.length(_without(c, chars))
 
 
-def _line_stays(line: Column, rules: LineRules) -> Column:
-    t = F.btrim(line, F.lit(SPACE))
+def _any_of(chars: str) -> str:
+    return "[" + "".join("\\" + c if c in "|^]\\-$" else c for c in chars) + "]"
+
+
+def _line_stays(t: Column, rules: LineRules) -> Column:
+    """Whether a trimmed line stays. Cheap tests stand before those that count characters."""
     pieces = _count(t, " \t") + 1
     separators = _count(t, SEPARATORS)
-    punctuated = (F.right(t, F.lit(1)).isin(ENDINGS) | (pieces >= rules.bare_words)) & (_count(t, SYMBOLS) * 100 <= F.length(t) * rules.symbol_percent)
-    menu = ((separators >= rules.min_separators) & (separators * 4 >= pieces)) | ((pieces <= 3) & t.rlike(NAVIGATION))
-    return (t == "") | (punctuated & ~menu & ~t.rlike(BOILERPLATE))
+    punctuated = F.right(t, F.lit(1)).isin(ENDINGS) | (pieces >= rules.bare_words)
+    littered = t.rlike(_any_of(SYMBOLS)) & (_count(t, SYMBOLS) * 100 > F.length(t) * rules.symbol_percent)
+    menu = t.rlike(_any_of(SEPARATORS)) & (separators >= rules.min_separators) & (separators * 4 >= pieces)
+    menu = menu | ((F.length(t) <= LONGEST_NAVIGATION) & (pieces <= 3) & t.rlike(NAVIGATION))
+    small = F.lower(t)
+    boilerplate = reduce(lambda x, y: x | y, [F.contains(small, F.lit(b)) for b in BOILERPLATE])
+    return (t == "") | (punctuated & ~littered & ~menu & ~boilerplate)
 
 
 def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules(), carry: dict[str, str] | None = None) -> DataFrame:
@@ -84,19 +94,20 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         *kept_on,
         "_text",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+")).alias("_words"),
-        F.split("_text", "\n").alias("_lines"),
+        F.transform(F.split("_text", "\n"), lambda x: F.struct(x.alias("l"), F.btrim(x, F.lit(SPACE)).alias("t"))).alias("_lines"),
     )
     n = F.size("_words")
     threes = F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
-    lined = F.filter("_lines", lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    lined = F.filter("_lines", lambda x: x["t"] != "")["l"]
+    symbols = F.when(F.col("_text").rlike(_any_of(SYMBOLS)), _count(F.col("_text"), SYMBOLS)).otherwise(0)
     d = d.select(
         *kept_on,
         n.cast("long").alias("n_words"),
-        F.length(_without(F.col("_text"), SPACE)).cast("long").alias("word_chars"),
-        _count(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        symbols.cast("long").alias("n_symbols"),
         F.size("_lines").alias("_n_lines"),
         lined.alias("_lined"),
-        F.filter("_lines", lambda x: _line_stays(x, rules)).alias("_clean"),
+        F.filter("_lines", lambda x: _line_stays(x["t"], rules))["l"].alias("_clean"),
         F.when(n >= 4, F.slice(threes, 1, n - 2)).alias("_threes"),
     )
     # Only documents with a repeated window are sorted: (window, place), then neighbours.
@@ -119,7 +130,7 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     repeated = F.when(F.col("_sorted").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(places, start, step, lambda a: a["total"]))
     d = d.withColumn("n_repeat_words", repeated).drop("_sorted")
     d = d.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent))
-    lost = F.col("word_chars") - F.length(_without(F.col("clean_text"), SPACE))
+    lost = F.when(F.col("lines_removed") == 0, 0).otherwise(F.col("word_chars") - F.length(_without(F.col("clean_text"), SPACE)))
     kept = ~F.col("base_failed") & (lost * 100 <= F.col("word_chars") * rules.max_lost_percent)
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     # A generator of one row: a filter on ``kept`` stays above it. Pushed below, it would put
@@ -146,7 +157,7 @@ def _sql(rules: LineRules = LineRules()) -> str:
         AND {count(t, symbols)} * 100 <= length({t}) * {rules.symbol_percent}
         AND NOT ({count(t, seps)} >= {rules.min_separators} AND {count(t, seps)} * 4 >= {pieces})
         AND NOT ({pieces} <= 3 AND regexp_matches({t}, '{NAVIGATION}'))
-        AND NOT regexp_matches({t}, '{BOILERPLATE}')))"""
+        AND NOT regexp_matches(lower({t}), '{'|'.join(BOILERPLATE)}')))"""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, string_split(t, chr(10)) AS lines FROM d),
