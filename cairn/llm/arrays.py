@@ -51,48 +51,58 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 SLICE_BITS = 18  # a slice of a bitmap has so many cells; it is what one merging step holds
 
 
-def split_cells(cells: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def split_cells(cells: np.ndarray, slice_bits: int = SLICE_BITS) -> list[tuple[int, np.ndarray]]:
     """Sorted cells by slice: slice number, cells within it as uint32."""
     if not len(cells):
         return []
-    k = (cells >> U(SLICE_BITS)).astype(np.int64)
+    k = (cells >> U(slice_bits)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(k)) + 1
-    low = (cells & U((1 << SLICE_BITS) - 1)).astype(np.uint32)
+    low = (cells & U((1 << slice_bits) - 1)).astype(np.uint32)
     return list(zip(k[np.r_[0, cuts]].tolist(), np.split(low, cuts), strict=True))
 
 
 PIECES = "slice int, once binary, more binary"
 
 
-def merge_pieces(pieces: DataFrame) -> dict[int, bytes]:
-    """Sum sketches of partitions, cell by cell, and give the cells that count two or more.
+def _merged(pieces: DataFrame, slice_bits: int, give, schema: str) -> DataFrame:
+    """Sum sketches of partitions, cell by cell; ``give(slice, cells)`` of those with two or more.
 
     ``pieces`` has a slice's cells that a partition met once and those it met more often.
     Each slice is merged by one task that reads its pieces one after another and keeps one
-    byte per cell, whatever their number. The answer has 2**SLICE_BITS / 8 bytes for each
-    slice that has such a cell, and the number of slices is fixed by the sketch's width.
+    byte per cell, whatever their number.
     """
 
     def merge(batches):
         at, seen = None, None
-
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), binary([np.packbits(seen >= 2, bitorder="little").tobytes()])], names=["slice", "bits"])
-
         for batch in batches:
             for k, once, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if k != at:
                     if at is not None and (seen >= 2).any():
-                        yield done()
-                    at, seen = k, np.zeros(1 << SLICE_BITS, np.uint8)
+                        yield give(at, seen >= 2)
+                    at, seen = k, np.zeros(1 << slice_bits, np.uint8)
                 cells = np.frombuffer(once, np.uint32)
                 seen[cells] = np.minimum(seen[cells] + 1, 2)
                 seen[np.frombuffer(more, np.uint32)] = 2
         if at is not None and (seen >= 2).any():
-            yield done()
+            yield give(at, seen >= 2)
+
+    return pieces.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, schema)
+
 
-    dealt = pieces.repartition("slice").sortWithinPartitions("slice")
-    return {r.slice: bytes(r.bits) for r in dealt.mapInArrow(merge, "slice int, bits binary").collect()}
+def repeated_cells(pieces: DataFrame, slice_bits: int) -> DataFrame:
+    """slice, cells (packed uint32): the cells that count two or more."""
+    give = lambda k, hit: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), binary([np.flatnonzero(hit).astype(np.uint32).tobytes()])], names=["slice", "cells"])
+    return _merged(pieces, slice_bits, give, "slice int, cells binary")
+
+
+def merge_pieces(pieces: DataFrame) -> dict[int, bytes]:
+    """The cells that count two or more as bits, by slice.
+
+    The answer has 2**SLICE_BITS / 8 bytes for each slice that has such a cell, and the
+    number of slices is fixed by the bitmap's width.
+    """
+    give = lambda k, hit: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), binary([np.packbits(hit, bitorder="little").tobytes()])], names=["slice", "bits"])
+    return {r.slice: bytes(r.bits) for r in _merged(pieces, SLICE_BITS, give, "slice int, bits binary").collect()}
 
 
 def bitmap(slices: dict[int, bytes], cell_bits: int) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.arrays import PIECES, U, as_bytes, binary, bitmap, has, hash_words, input_bytes, merge_pieces, mixed, power_of_two, split_cells, texts, words_of
+from cairn.llm.arrays import PIECES, SLICE_BITS, U, as_bytes, binary, bitmap, has, hash_words, input_bytes, merge_pieces, mixed, power_of_two, repeated_cells, split_cells, texts, words_of
 from cairn.plans.durable import discard, durable, pick
 
 GRAM = 16  # words of a gram; the longer, the rarer by chance and the more anchors
@@ -108,8 +108,18 @@ def _blocks(batches, column: str, length: int) -> Iterator[tuple[list, Block]]:
             i = j
 
 
-def _sketch(docs: DataFrame, length: int, cell_bits: int) -> bytes:
-    """Which cells of the merged sketch count two or more, as one bitmap."""
+MOST_BITS = 30  # of the broadcast bitmap: 128 MiB
+MOST_SLICE_BITS = 26  # of what a merging task holds, a byte a cell: 64 MiB
+
+
+def _sketch(docs: DataFrame, length: int, cell_bits: int) -> tuple[bytes, int]:
+    """A bitmap of the merged sketch's cells that count two or more, and its width in bits.
+
+    The sketch is as wide as the input asks for, since no task holds more than a slice of
+    it. Its repeated cells are few; hashed into a bitmap with eight bits or more for each,
+    they are what tasks need to know.
+    """
+    slice_bits = min(MOST_SLICE_BITS, max(SLICE_BITS, cell_bits - 11))
 
     def count(batches):
         for _, block in _blocks(batches, "_text", length):
@@ -118,22 +128,37 @@ def _sketch(docs: DataFrame, length: int, cell_bits: int) -> bytes:
                 order = np.argsort(cells, kind="stable")
                 cell, first = np.unique(cells[order], return_index=True)
                 many = np.add.reduceat(times[order], first) >= 2 if len(cell) else np.zeros(0, bool)
-                once, more = dict(split_cells(cell[~many])), dict(split_cells(cell[many]))
+                once, more = dict(split_cells(cell[~many], slice_bits)), dict(split_cells(cell[many], slice_bits))
                 keys = sorted({*once, *more})
                 none = np.zeros(0, np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), binary([once.get(k, none).tobytes() for k in keys]), binary([more.get(k, none).tobytes() for k in keys])], names=["slice", "once", "more"])
 
-    return bitmap(merge_pieces(docs.select("_text").mapInArrow(count, PIECES)), cell_bits + 1)
+    repeated = durable(repeated_cells(docs.select("_text").mapInArrow(count, PIECES), slice_bits), "cells")
+    n = (repeated.agg(F.sum(F.octet_length("cells"))).first()[0] or 0) // 4
+    width = power_of_two(8 * n, SLICE_BITS, MOST_BITS)
+
+    def mark(batches):
+        for batch in batches:
+            for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = split_cells(np.unique(_places((U(k) << U(slice_bits)) + np.frombuffer(cells, np.uint32).astype(U), width)))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), binary([b""] * len(found)), binary([f[1].tobytes() for f in found])], names=["slice", "once", "more"])
+
+    bits = bitmap(merge_pieces(repeated.mapInArrow(mark, PIECES)), width)
+    discard(repeated)
+    return bits, width
+
+
+def _places(cells: np.ndarray, width: int) -> np.ndarray:
+    """Where the bitmap keeps each cell of the sketch."""
+    return mixed(cells) >> U(64 - width)
 
 
 def cell_bits_for(n_bytes: int) -> int:
-    """Width of a row of the sketch, from the size of the input.
+    """Width of a row of the sketch: eight cells to an anchor or more.
 
-    About eight cells to an anchor (one in ten words, a word to four stored bytes); at most
-    2**29 cells a row, so that the broadcast bitmap has 128 MiB at most. Beyond that the
-    sketch lets more through, and the exact step has more to do; the result is the same.
+    One word in ten is an anchor, and a word is taken to be four bytes of the input.
     """
-    return power_of_two(n_bytes / 5, 18, 29)
+    return power_of_two(n_bytes / 5, 18, 42)
 
 
 HASH = np.dtype([("a", "<u8"), ("b", "<u4")])
@@ -241,14 +266,15 @@ def repeated_ranges(df: DataFrame, text_col: str = "text", length: int = 35, cel
     cell_bits = cell_bits or cell_bits_for(n_bytes)
     slices = min(MOST_SLICES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // SLICE_BYTES))
     d = pick(df, _text=text_col).select(as_bytes("_text").alias("_text"))
-    bits = spark.sparkContext.broadcast(_sketch(d, length, cell_bits))
+    sketch, width = _sketch(d, length, cell_bits)
+    bits = spark.sparkContext.broadcast(sketch)
 
     def flag(batches):
         seen = np.frombuffer(bits.value, np.uint8)
         for values, block in _blocks(batches, "_text", length):
             at = np.flatnonzero(block.starts[: len(block.least)])
             for row in range(ROWS):
-                at = at[has(seen, _cells(block.least[at], cell_bits)[row])]
+                at = at[has(seen, _places(_cells(block.least[at], cell_bits)[row], width))]
             if len(at):
                 yield _entries(block, at, values, slices)
 
