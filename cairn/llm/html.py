@@ -3,8 +3,8 @@
 Each page is cut into blocks and containers. Containers are scored by the running text in
 them, and the page votes for the path of the one that holds its article: the tags and
 classes from the root, without numbers. Spark counts the votes of each host, and every page
-is extracted again by its host's winning path; a page without such a container, or whose
-article lies elsewhere, goes by its own.
+is extracted again: what stands at its host's winning path, all of it, and what the page's
+own best container has beyond that, without what is shown to be teasers of other articles.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ DROPPED = frozenset("aside button datalist dialog fieldset footer form head head
 UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices notification alert popup modal overlay menu menus nav navbar navigation topnav breadcrumb breadcrumbs sidebar sidebars aside footer header masthead comment comments commentlist discussion disqus reply replies respond responses share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchform form pagination pager widget widgets toolbar skip contentinfo complementary dialog".split()
 )
+#: A list of other articles by its class or id, and one of them, if a block in it is all link.
+LISTS = frozenset("teasers previews excerpts".split())
+CARDS = frozenset("teaser preview excerpt".split())
 #: A class with one of these tells how a part is laid out, not what it is.
 LAID_OUT = frozenset("has no with without is not overflow".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,16 +60,17 @@ def unwanted(tokens: str) -> bool:
 class Page:
     """Blocks of text and containers of a page, read once from left to right.
 
-    ``blocks`` has (container, text, points); ``paths`` and ``parents`` are by container.
-    What belongs to dropped elements isn't read at all.
+    ``blocks`` has (container, text, points, share of the text outside links); ``paths``,
+    ``parents`` and ``words`` of class and id are by container. What belongs to dropped
+    elements isn't read at all.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[int, str, float]] = []
-        self.paths, self.parents, self.tags = [""], [-1], ["#root"]
+        self.blocks: list[tuple[int, str, float, float]] = []
+        self.paths, self.parents, self.tags, self.words = [""], [-1], ["#root"], [frozenset()]
         self._read(source)
         self.points = [0.0] * len(self.paths)  # with all that lies below
-        for c, _, points in self.blocks:
+        for c, _, points, _ in self.blocks:
             while c >= 0:
                 self.points[c] += points
                 c = self.parents[c]
@@ -84,7 +88,7 @@ class Page:
                 if text:
                     running = max(0.0, 1 - links / len(text))
                     points = (min(len(text) / 100, 30.0) + 0.2 * text.count(",")) * running
-                    self.blocks.append((open_[-1][1] if open_ else 0, text, points))
+                    self.blocks.append((open_[-1][1] if open_ else 0, text, points, running))
                 held.clear()
             links = 0
 
@@ -142,7 +146,7 @@ class Page:
                         break
                 if not dropped:
                     flush()
-            names, gone = self._names(tag, found[3])
+            names, words, gone = self._names(tag, found[3])
             holder, path = (open_[-1][1], open_[-1][2]) if open_ else (0, "")
             if tag in BLOCKS:
                 path = f"{path}/{tag}" + "".join(f".{n}" for n in names)
@@ -150,6 +154,7 @@ class Page:
                 self.paths.append(path)
                 self.parents.append(holder)
                 self.tags.append("main" if "role=main" in names else tag)
+                self.words.append(words)
                 holder = len(self.paths) - 1
             open_.append((tag, holder, path))
             in_link += tag == "a"
@@ -158,9 +163,9 @@ class Page:
         flush()
 
     @staticmethod
-    def _names(tag: str, rest: str) -> tuple[list[str], bool]:
-        """Words of the class without numbers, and whether the element is dropped."""
-        gone, names = tag in DROPPED, []
+    def _names(tag: str, rest: str) -> tuple[list[str], frozenset[str], bool]:
+        """Words of the class without numbers, those of class and id, and whether the element is dropped."""
+        gone, names, told = tag in DROPPED, [], frozenset()
         if "=" in rest or "hidden" in rest:
             for name, value in ATTRIBUTE.findall(rest):
                 name, value = name.lower(), value.strip("\"'")
@@ -169,11 +174,12 @@ class Page:
                 elif name in ("class", "id", "role") and value:
                     gone |= tag not in ("html", "body", "main", "article") and unwanted(value)
                     words = NAMES.findall(value.lower())
+                    told |= frozenset(words) if name != "role" else frozenset()
                     if name == "class":
                         names += sorted(set(words))[:4]
                     elif name == "role" and value.lower() == "main":
                         names.append("role=main")
-        return names, gone
+        return names, told, gone
 
     def best(self) -> int:
         """The container of the article.
@@ -187,21 +193,42 @@ class Page:
             return max(named, key=lambda c: (self.tags[c] == "article", self.points[c], -c))
         return max((c for c in range(len(self.paths)) if self.points[c] >= 0.75 * total), default=0)
 
-    def text(self, container: int) -> str:
+    def below(self, containers) -> list[bool]:
+        """Whether each container is one of these or lies in one."""
         inside = [False] * len(self.paths)
-        for c in range(container, len(self.paths)):  # parents come before children
-            inside[c] = c == container or (self.parents[c] >= 0 and inside[self.parents[c]])
-        return "\n".join(t for c, t, _ in self.blocks if inside[c])
+        for c in range(len(self.paths)):  # parents come before children
+            inside[c] = c in containers or (self.parents[c] >= 0 and inside[self.parents[c]])
+        return inside
+
+    def above(self, containers) -> set[int]:
+        """These containers and all around them."""
+        found = set()
+        for c in containers:
+            while c >= 0 and c not in found:
+                found.add(c)
+                c = self.parents[c]
+        return found
+
+    def teasers(self) -> set[int]:
+        """Containers whose names and links say that they hold teasers."""
+        linked = self.above({c for c, _, _, running in self.blocks if running == 0})
+        return {c for c, words in enumerate(self.words) if words & LISTS or (words & CARDS and c in linked)}
 
     def main_text(self, path: str | None) -> str:
-        """The text of the container at ``path``, if it has a quarter of the own best one's."""
+        """The text of the own best container and of all containers at the host's ``path``.
+
+        Teasers beside the path are left out if the path has a quarter of the own best
+        container's points; else the article lies elsewhere and nothing is left out.
+        """
         own = self.best()
-        if path:
-            same = [c for c in range(len(self.paths)) if self.paths[c] == path]
-            chosen = max(same, key=lambda c: (self.points[c], -c), default=own)
-            if 4 * self.points[chosen] >= self.points[own]:
-                return self.text(chosen)
-        return self.text(own)
+        same = {c for c in range(len(self.paths)) if self.paths[c] == path} if path else set()
+        inside = self.below(same)
+        top = {c for c in same if self.parents[c] < 0 or not inside[self.parents[c]]}
+        gone = set()
+        if top and 4 * sum(self.points[c] for c in top) >= self.points[own]:
+            gone = {c for c in self.teasers() - self.above(top) if not inside[c]}
+        left_out, whole = self.below(gone), self.below(same | {own})
+        return "\n".join(t for c, t, _, _ in self.blocks if whole[c] and not left_out[c])
 
 
 VOTE = T.StructType([T.StructField("path", T.StringType()), T.StructField("points", T.DoubleType())])

@@ -131,6 +131,19 @@ def test_host_consensus(spark):
     assert got[6] == " ".join(long[:200].split()) and got[0].startswith("0 Running")
 
 
+def test_all_at_the_host_path(spark):
+    """A page in several containers at the host's path, and one with more beside it, are whole."""
+    long = "Running text with commas, and more of it, to fill a chapter with something to read. " * 4
+    chapter = lambda i: f'<section class="chapter"><p>{i} {long}</p></section>'
+    page = lambda body: f'<html><body><div class="story">{body}</div></body></html>'
+    bodies = [*[chapter(i) for i in range(5)], "".join(chapter(i) for i in range(3)), chapter(0) + f'<div class="rest"><p>rest {long}</p></div>']
+    rows = [(i, f"http://book.example.com/{i}", page(b)) for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got[4] == f"4 {long}".strip()
+    assert got[5] == "\n".join(f"{i} {long}".strip() for i in range(3))
+    assert got[6] == f"0 {long}".strip() + "\n" + f"rest {long}".strip()
+
+
 def test_main_text_of_odd_pages(spark, odd_pages):
     got = html.main_texts(odd_pages).collect()
     assert len(got) == odd_pages.count() and html.main_texts(spark.createDataFrame([], PAGE)).count() == 0
