@@ -3,8 +3,9 @@
 Each page is cut into blocks and containers. Containers are scored by the running text in
 them, and the page votes for the path of the one that holds its article: the tags and
 classes from the root, without numbers. Spark counts the votes of each host, and every page
-is extracted again: what stands at its host's winning path, all of it, and what the page's
-own best container has beyond that, without what is shown to be teasers of other articles.
+is extracted again: all that stands at its host's winning path and in its own best container,
+and the running text and headings around them. Only what is mostly links, or shown to be
+teasers of other articles, is left out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ LISTS = frozenset("teasers previews excerpts".split())
 CARDS = frozenset("teaser preview excerpt".split())
 #: A class with one of these tells how a part is laid out, not what it is.
 LAID_OUT = frozenset("has no with without is not overflow".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
@@ -60,17 +62,17 @@ def unwanted(tokens: str) -> bool:
 class Page:
     """Blocks of text and containers of a page, read once from left to right.
 
-    ``blocks`` has (container, text, points, share of the text outside links); ``paths``,
-    ``parents`` and ``words`` of class and id are by container. What belongs to dropped
+    ``blocks`` has (container, text, points, share of the text outside links, whether it is a
+    heading); ``paths``, ``parents`` and ``words`` of class and id are by container. What belongs to dropped
     elements isn't read at all.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[int, str, float, float]] = []
+        self.blocks: list[tuple[int, str, float, float, bool]] = []
         self.paths, self.parents, self.tags, self.words = [""], [-1], ["#root"], [frozenset()]
         self._read(source)
         self.points = [0.0] * len(self.paths)  # with all that lies below
-        for c, _, points, _ in self.blocks:
+        for c, _, points, _, _ in self.blocks:
             while c >= 0:
                 self.points[c] += points
                 c = self.parents[c]
@@ -88,7 +90,7 @@ class Page:
                 if text:
                     running = max(0.0, 1 - links / len(text))
                     points = (min(len(text) / 100, 30.0) + 0.2 * text.count(",")) * running
-                    self.blocks.append((open_[-1][1] if open_ else 0, text, points, running))
+                    self.blocks.append((open_[-1][1] if open_ else 0, text, points, running, any(t[0] in HEADINGS for t in open_)))
                 held.clear()
             links = 0
 
@@ -182,7 +184,7 @@ class Page:
         return names, told, gone
 
     def best(self) -> int:
-        """The container of the article.
+        """The container that the article is looked for around.
 
         That of an article or main element with half of the page's running text, or else
         the innermost that holds three quarters of it.
@@ -191,7 +193,7 @@ class Page:
         named = [c for c in range(1, len(self.paths)) if self.tags[c] in ("article", "main") and self.points[c] >= 0.5 * total]
         if named and total:
             return max(named, key=lambda c: (self.tags[c] == "article", self.points[c], -c))
-        return max((c for c in range(len(self.paths)) if self.points[c] >= 0.75 * total), default=0)
+        return max((c for c in range(len(self.paths)) if self.points[c] >= 0.75 * total), default=0) if total else 0
 
     def below(self, containers) -> list[bool]:
         """Whether each container is one of these or lies in one."""
@@ -211,24 +213,44 @@ class Page:
 
     def teasers(self) -> set[int]:
         """Containers whose names and links say that they hold teasers."""
-        linked = self.above({c for c, _, _, running in self.blocks if running == 0})
+        linked = self.above({c for c, _, _, running, _ in self.blocks if running == 0})
         return {c for c, words in enumerate(self.words) if words & LISTS or (words & CARDS and c in linked)}
 
+    def mostly_text(self) -> list[bool]:
+        """Whether at least half of each container's text is outside links."""
+        all_, running = [0] * len(self.paths), [0.0] * len(self.paths)
+        for c, text, _, share, _ in self.blocks:
+            all_[c] += len(text)
+            running[c] += len(text) * share
+        for c in range(len(self.paths) - 1, 0, -1):
+            all_[self.parents[c]] += all_[c]
+            running[self.parents[c]] += running[c]
+        return [2 * r >= n for r, n in zip(running, all_, strict=True)]
+
     def main_text(self, path: str | None) -> str:
-        """The text of the own best container and of all containers at the host's ``path``.
+        """The article: the own best container, those at the host's ``path``, and the text around.
 
-        Teasers beside the path are left out if the path has a quarter of the own best
-        container's points; else the article lies elsewhere and nothing is left out.
+        The best container at the path and the own best one are taken whole, and so is every
+        container beside them that is mostly text. Of those around them and of lists of links
+        the blocks that are mostly text are taken, and a heading before such a block. Teasers
+        beside the path are left out if the path has a quarter of the own best container's
+        points; else the article lies elsewhere and nothing is left out.
         """
         own = self.best()
         same = {c for c in range(len(self.paths)) if self.paths[c] == path} if path else set()
         inside = self.below(same)
         top = {c for c in same if self.parents[c] < 0 or not inside[self.parents[c]]}
-        gone = set()
+        core, gone = {own}, set()
         if top and 4 * sum(self.points[c] for c in top) >= self.points[own]:
+            core.add(max(top, key=lambda c: (self.points[c], -c)))
             gone = {c for c in self.teasers() - self.above(top) if not inside[c]}
-        left_out, whole = self.below(gone), self.below(same | {own})
-        return "\n".join(t for c, t, _, _ in self.blocks if whole[c] and not left_out[c])
+        around, texts = self.above(core), self.mostly_text()
+        left_out, whole = self.below(gone), self.below(core | {c for c in range(len(self.paths)) if texts[c] and c not in around})
+        taken = [not left_out[c] and (whole[c] or running >= 0.5) for c, _, _, running, _ in self.blocks]
+        for i, (c, _, _, _, heading) in enumerate(self.blocks[:-1]):
+            if heading and not taken[i] and not left_out[c]:
+                taken[i] = taken[i + 1]
+        return "\n".join(b[1] for b, t in zip(self.blocks, taken, strict=True) if t)
 
 
 VOTE = T.StructType([T.StructField("path", T.StringType()), T.StructField("points", T.DoubleType())])

@@ -144,6 +144,23 @@ def test_all_at_the_host_path(spark):
     assert got[6] == f"0 {long}".strip() + "\n" + f"rest {long}".strip()
 
 
+LONG = "Running text with commas, and more of it, to fill an article with something to read."
+SPLIT = {
+    "title and lead": ("<body><div class=story><h1>Title</h1><div class=lead><p>{0}</p></div><div class=body><p>{1}</p><p>{2}</p><p>{3}</p><p>{4}</p></div></div></body>", "Title\n{0}\n{1}\n{2}\n{3}\n{4}"),
+    "two articles": ("<body><article><p>{0}</p><p>{1}</p></article><article><p>{2}</p></article></body>", "{0}\n{1}\n{2}"),
+    "article and section": ("<body><article><p>{0}</p></article><section><p>{1}</p></section></body>", "{0}\n{1}"),
+    "linked title": ("<body><div><a href=/>Home</a> <a href=/x>Topics</a></div><div class=post><h2><a href=x>Title</a></h2><div class=entry><p>{0}</p></div></div></body>", "Title\n{0}"),
+    "links only": ("<body><div><a href=/>Home</a></div><div><a href=/x>Topics</a></div></body>", "Home\nTopics"),
+}
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_split_articles(name):
+    page, want = SPLIT[name]
+    text = [f"{i} {LONG}" for i in range(5)]
+    assert html.Page(page.format(*text)).main_text(None) == want.format(*text)
+
+
 def test_main_text_of_odd_pages(spark, odd_pages):
     got = html.main_texts(odd_pages).collect()
     assert len(got) == odd_pages.count() and html.main_texts(spark.createDataFrame([], PAGE)).count() == 0
