@@ -178,7 +178,7 @@ class Page:
                     words = NAMES.findall(value.lower())
                     told |= frozenset(words) if name != "role" else frozenset()
                     if name == "class":
-                        names += sorted(set(words))[:4]
+                        names += sorted(set(words))
                     elif name == "role" and value.lower() == "main":
                         names.append("role=main")
         return names, told, gone

@@ -161,6 +161,12 @@ def test_split_articles(name):
     assert html.Page(page.format(*text)).main_text(None) == want.format(*text)
 
 
+def test_paths_have_all_class_words():
+    """Containers whose first four class words agree don't share a path."""
+    page = html.Page('<body><div class="a b c d story"><p>x</p></div><div class="a b c d tiles"><p>y</p></div></body>')
+    assert page.paths[2:] == ["/body/div.a.b.c.d.story", "/body/div.a.b.c.d.tiles"]
+
+
 def test_main_text_of_odd_pages(spark, odd_pages):
     got = html.main_texts(odd_pages).collect()
     assert len(got) == odd_pages.count() and html.main_texts(spark.createDataFrame([], PAGE)).count() == 0
