@@ -284,9 +284,11 @@ def _crowded(nodes: DataFrame, tops: DataFrame, sets: DataFrame, percent: int) -
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The component of near copies of every document.
 
-    Columns: ``id_col``, n_shingles, component_id, kept, text_key (MD5 of the text). Two documents are linked when
-    100 * intersection >= percent * union of their shingle sets; component_id is the least
-    id that links reach, and kept says that the document has it.
+    Columns: ``id_col``, n_shingles, component_id, kept, text_key (MD5 of the text), first. Two
+    documents are linked when 100 * intersection >= percent * union of their shingle sets;
+    component_id is the least id that links reach, and kept says that the document has it.
+    first is true for one (id, text) of each component: the least id, null ids last, then the
+    least text_key.
 
     Null and empty texts and texts without words have an empty set, are linked with nothing
     and are kept. Equal sets are one node, so copies cost no pairs. Rows that repeat an id
@@ -318,12 +320,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     final = signed.select("_id", "n_shingles", "set_key", "text_key").join(tops, "set_key", "left")
     final = final.select("_id", "n_shingles", "text_key", F.coalesce("top", "set_key").alias("top"))
-    least = final.filter("top is not null").groupBy("top").agg(F.min("_id").alias("least"))
+    # ``lead`` apart from ``least``: who drops ``first`` doesn't pay for it.
+    lead = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "text_key")).alias("lead")
+    least = final.filter("top is not null").groupBy("top").agg(F.min("_id").alias("least"), lead)
     final = final.join(least, "top", "left")
     component = F.when(F.col("top").isNull(), F.col("_id")).otherwise(F.col("least"))
-    return final.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), "text_key")
+    kept = F.col("_id").eqNullSafe(component)
+    first = kept & (F.col("top").isNull() | (F.col("text_key") == F.col("lead.text_key")))
+    return final.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key", first.alias("first"))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Components of documents that share 80 in 100 of their four-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("text_key")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("text_key", "first")

@@ -11,6 +11,7 @@ import corpus_pipeline
 from cairn.llm.packing import word_bpe
 from cairn.llm.quality import clean_lines
 from cairn.plans.durable import durable
+from tests.llm.conftest import DOCUMENT, words
 from tests.llm.test_documents import covered, near, split
 
 
@@ -82,3 +83,14 @@ def test_odd_rows(spark, odd, none):
     assert sum(r.doc_id == 2 for r in kept) == 0 and sum(r.doc_id == 1 for r in kept) == 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0
+
+
+def test_one_of_tied_and_null_ids(spark):
+    """Near copies that share the least id, or have none, leave one document a group."""
+    texts = {x: [words(80, x) + f" {end}" for end in ("one", "two", "three")] for x in "abc"}
+    rows = [*[(1, t) for t in texts["a"][:2]], (2, texts["a"][2]), *[(None, t) for t in texts["b"]], (None, texts["c"][0]), (9, texts["c"][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCUMENT)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    assert len(kept) == 3
+    assert Counter(r.doc_id for r in kept) == {1: 1, None: 1, 9: 1}
+    assert {x for r in kept for x in "abc" if r.text in texts[x]} == set("abc")
