@@ -28,14 +28,14 @@ def orphan_packs(refs: DataFrame, index: DataFrame, present: DataFrame) -> DataF
     return present.join(referenced_packs(refs, index), "pack_id", "left_anti")
 
 
-def broken_blobs(index: DataFrame, packs: DataFrame) -> DataFrame:
-    """Blobs whose bytes don't hash to their id: blob_id, pack_id.
+def broken_blobs(index: DataFrame, packs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blobs whose bytes don't hash to their id: blob_id, pack_id, and the index's columns of ``carry``.
 
     A pack's bytes meet its entries once; what is read is sliced and hashed in the JVM.
     """
     data = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
     both = index.join(packs.select("pack_id", "content"), "pack_id")
-    return both.filter(~is_content(data, F.col("blob_id"))).select("blob_id", "pack_id")
+    return both.filter(~is_content(data, F.col("blob_id"))).select("blob_id", "pack_id", *carry)
 
 
 def _blobs(refs: DataFrame, index: DataFrame) -> DataFrame:

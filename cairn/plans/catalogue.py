@@ -57,6 +57,13 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).select("blob_id", at.alias("pack_id"), "offset", "length")
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The packs' bytes: pack_id, content, of the index's blobs in the order of their offsets."""
+    data = _blocks(spark, d, with_data=True).select("blob_id", "data").dropDuplicates(["blob_id"])
+    parts = _index(spark, d).join(data, "blob_id").groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("p"))
+    return parts.select("pack_id", F.aggregate(F.col("p.data"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+
+
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     """What two snapshots reference: the documents', and the edited documents'."""
     now = chunking.fixed_blocks(_edited(spark, d), BLOCK).select(F.lit("s2").alias("snapshot_id"), "blob_id")
@@ -200,10 +207,12 @@ def verify_summary(spark, d):
 
 def verify_full(spark, d):
     """Blobs that no longer hash to their id after a byte is put before the French documents."""
+    # A pack a document: its bytes as they are now, its entries by the ids they were stored under.
     stored = _blocks(spark, d).select("path", "idx", "blob_id")
-    now = chunking.fixed_blocks(_edited(spark, d), BLOCK, with_data=True).select("path", "idx", "data")
-    both = stored.join(now, ["path", "idx"])
-    return both.filter(~S.is_content(F.col("data"), F.col("blob_id"))).select("path", "idx", "blob_id")
+    now = chunking.fixed_blocks(_edited(spark, d), BLOCK).select("path", "idx", "offset", "length")
+    entries = stored.join(now, ["path", "idx"]).withColumn("pack_id", F.col("path").cast("string"))
+    held = _edited(spark, d).select(F.col("path").cast("string").alias("pack_id"), "content")
+    return verify.broken_blobs(entries, held, ("path", "idx")).select("path", "idx", "blob_id")
 
 
 def gc_plan(spark, d):
@@ -217,7 +226,8 @@ def gc_plan(spark, d):
 
 def restore_files(spark, d):
     files = _files(spark, d).select("path", F.octet_length("content").cast("long").alias("size"))
-    out = restore.rebuild(files, _blocks(spark, d, with_data=True).select("path", "idx", "blob_id", "data"))
+    blobs = restore.fetch(_blocks(spark, d).select("path", "idx", "blob_id"), _index(spark, d), _stored(spark, d))
+    out = restore.rebuild(files, blobs)
     return out.select("path", "size", S.content_id(F.col("content")).alias("content_id"), "ok")
 
 

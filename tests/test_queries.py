@@ -34,3 +34,16 @@ def test_nothing_imports_the_corpus_operators():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "cairn.llm" not in f.read_text() and "corpus_pipeline" not in f.read_text(), f
+
+
+def test_restore_and_verify_read_packs(spark, data, monkeypatch):
+    """Pack bytes that are damaged, or put right, show in what restore_files and verify_full give."""
+    from pyspark.sql import functions as F
+
+    fetch, broken = catalogue.restore.fetch, catalogue.verify.broken_blobs
+    bad = lambda packs: packs.withColumn("content", F.translate(F.col("content").cast("string"), "e", "f").cast("binary"))
+    monkeypatch.setattr(catalogue.restore, "fetch", lambda refs, ix, packs: fetch(refs, ix, bad(packs)))
+    monkeypatch.setattr(catalogue.verify, "broken_blobs", lambda ix, packs, *a: broken(ix, bad(packs), *a))
+    assert catalogue.restore_files(spark, data).filter("not ok").count() > 0
+    langs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id path", "lang")
+    assert catalogue.verify_full(spark, data).join(langs, "path").filter("lang <> 'fr'").count() > 0
