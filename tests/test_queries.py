@@ -1,5 +1,7 @@
 """Every registered core query against SQL on the smallest tables."""
 
+import json
+
 import pytest
 
 from cairn.plans import catalogue
@@ -36,6 +38,27 @@ def test_nothing_imports_the_corpus_operators():
             assert "cairn.llm" not in f.read_text() and "corpus_pipeline" not in f.read_text(), f
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_without_the_corpus_operators(tmp_path, pipeline):
+    """The rest imports and registers its queries when the corpus folders are gone."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import cairn
+
+    root = Path(cairn.__file__).parents[1]
+    shutil.copytree(root / "cairn", tmp_path / "cairn", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if pipeline and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    ask = "import __spark_entry__ as e, json; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    out = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
+    names, sql = json.loads(out.stdout.splitlines()[-1])
+    assert names == sorted(catalogue.queries()) and sql == sorted(ORACLES)
+
+
 def test_restore_and_verify_read_packs(spark, data, monkeypatch):
     """Pack bytes that are damaged, or put right, show in what restore_files and verify_full give."""
     from pyspark.sql import functions as F
