@@ -164,7 +164,8 @@ def test_split_articles(name):
 def test_paths_have_all_class_words():
     """Containers whose first four class words agree don't share a path."""
     page = html.Page('<body><div class="a b c d story"><p>x</p></div><div class="a b c d tiles"><p>y</p></div></body>')
-    assert page.paths[2:] == ["/body/div.a.b.c.d.story", "/body/div.a.b.c.d.tiles"]
+    assert [page.path(c) for c in (2, 3)] == ["/body/div.a.b.c.d.story", "/body/div.a.b.c.d.tiles"]
+    assert page.keys[2] == html._path_key("/body/div.a.b.c.d.story") != page.keys[3]
 
 
 def test_main_text_of_odd_pages(spark, odd_pages):
@@ -173,3 +174,92 @@ def test_main_text_of_odd_pages(spark, odd_pages):
     assert {r.text for r in got if r.page_id in (9, 10)} == {""}
     for bad in ("<", "<p", "</", "<!--", "<a href='", "&#xFFFFFFFF;", "<svg><p>x", "</p></div>", "<p><p><p>" * 50, "<div>" * 500 + "deep"):
         html.Page(bad).main_text(None)
+
+
+ARTICLE = "<article><p>" + "Some words of the article, which go on and on. " * 7 + "</p></article>"
+INSIDE = ("Some words of the article, which go on and on. " * 7).strip()
+BADLY_CLOSED = {
+    "head left open": f"<html><head><title>x</title><meta charset=utf-8><body>{ARTICLE}",
+    "text after a head left open": f"<head><title>x</title>{INSIDE}",
+    "page in a form": f"<body><form id=page action=/><input name=state>{ARTICLE}<select><option>one<option>two</select></form></body>",
+    "page in two forms": f"<body><form><fieldset><p>{INSIDE}</p></fieldset><fieldset><p>Name and address, please.</p></fieldset></form></body>",
+    "label left open": f"<body><label>Your name <p>{INSIDE}</p></body>",
+    "button with a block": f"<body><button><div>Menu</div></button>{ARTICLE}",
+    "menu left open": f"<body><nav><ul><li>One<li>Two</ul>{ARTICLE}<footer>The end",
+    "advert left open": f"<body><div class=ad>Buy this<div class=story><p>{INSIDE}</p></div></body>",
+    "main in an overlay": f"<body><div class=menu-overlay>Menu<main><p>{INSIDE}</p></main>More</div>",
+    "search form": f"<body>{ARTICLE}<form><h1>Search</h1><p>Search these pages.</p></form>",
+    "long paragraph beside lists": "<body><div class=texts><p>" + INSIDE + "</p></div>" + "".join(f"<div class=x><a href=/{i}>A link of some length, {i}</a></div>" for i in range(40)) + "</body>",
+}
+
+
+@pytest.mark.parametrize("name", BADLY_CLOSED)
+def test_badly_closed(name):
+    assert html.Page(BADLY_CLOSED[name]).main_text(None) == INSIDE
+
+
+DEEP = ["<div>" * 60_000, "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<h1>x</h1>" * 10_000, "<label>" * 40_000, "<nav>" * 30_000 + "<p>" * 30_000, "<form>" * 40_000 + "x", "<div class=ad>" * 20_000 + "x", "<p><div>x" * 30_000, "<a b='" * 40_000, "<li><ul>" * 30_000, "&amp" * 60_000]
+
+
+@pytest.mark.parametrize("i", range(len(DEEP)))
+def test_deep_pages(i):
+    """300 KB of odd markup in a second or so and 100 MB: both in proportion to the page."""
+    import time
+    import tracemalloc
+
+    def read(source):
+        page = html.Page(source)
+        return html.Page.unpacked(page.packed()).main_text(page.path(page.best()))
+
+    began = time.perf_counter()
+    assert len(read(DEEP[i])) <= len(DEEP[i])
+    assert time.perf_counter() - began < 5
+    third = DEEP[i][: len(DEEP[i]) // 3]
+    tracemalloc.start()
+    read(third)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 33 << 20
+
+
+def test_a_long_block_keeps_its_weight():
+    """One block of 40,000 characters outweighs many of teasers: no score is capped."""
+    long = "A sentence of the article and more of it. " * 1000
+    teasers = "".join(f"<div class=box><p>{i} Another text, with some words, and commas, to be read, elsewhere.</p></div>" for i in range(80))
+    page = html.Page(f"<body><div class=wrap>{teasers}</div><div class=text><p>{long}</p></div></body>")
+    assert page.path(page.best()).endswith("div.text")
+
+
+def test_pages_without_article(spark):
+    """Hosts with templates of their own, none with an article element: by construction."""
+    import random
+
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 60))) + ", and so on."
+    links = lambda n: "".join(f'<li><a href="/{i}">{text()[:20]}</a>' for i in range(n))
+    templates = [
+        lambda body: f"<html><head><title>t</title><body><div id=menu><ul>{links(5)}</ul></div><div class='col wide'>{body}</div><div class=sidebar><p>{text()}</p></div><div id=footer>x</div>",
+        lambda body: f"<body><form action=/><table><tr><td class=left><ul>{links(6)}</ul><td class=text-12>{body}</table></form></body>",
+        lambda body: f"<body><header><h1>Site</h1></header><section class=entry>{body}<div class=comments><p>{text()}</p></div></section><div class='share buttons'>Share</div></body>",
+    ]
+    rows, want = [], {}
+    for i in range(90):
+        parts = [text() for _ in range(rng.randint(1, 6))]
+        body = "<h2>Head</h2>" + "".join(f"<p>{p}" if i % 2 else f"<p>{p}</p>" for p in parts)
+        rows.append((i, f"http://h{i % 3}.example.com/{i}", templates[i % 3](body)))
+        want[i] = "\n".join(["Head", *[" ".join(p.split()) for p in parts]])
+    got = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == want
+
+
+def test_many_hosts_are_spread(spark):
+    """Where hosts' paths aren't broadcast, a host's pages meet its path in many parts."""
+    rows = [(i, "http://one.example.com/", f"<body><div><p>{INSIDE} {i}</p></div></body>") for i in range(300)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = html.main_texts(spark.createDataFrame(rows, PAGE)).selectExpr("spark_partition_id() p", "text")
+        assert out.filter("text <> ''").count() == 300 and out.select("p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
