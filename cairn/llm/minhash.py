@@ -9,10 +9,12 @@ dealt out by ranges of (tree, values, set), which splits a region of any size, a
 at the ranges' ends are scanned once more together.
 
 Links are confirmed on the full sets, in three rounds: first each set with the candidate
-that shares most with it; then all candidates that still lie in different components; then,
-in regions with more sets than a row has neighbours, the sets outside the region's largest
-component against all its rows. What a round moves is the sets of its pairs, and a group of
-near copies is joined by about one link per member, not by its pairs.
+that shares most with it; then all candidates that still lie in different components; then
+what regions with more sets than a row has neighbours can hide. There sets of different
+components meet in shingles that are rare among the region's sets, which misses nothing, and
+texts of one template, however many, hardly meet at all. What a round moves is the sets of
+its pairs, and a group of near copies is joined by about one link per member, not by its
+pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql import types as T
 
 from cairn.llm.arrays import PIECES, U, as_bytes, binary, bitmap, has, hash_words, input_bytes, merge_pieces, mixed, power_of_two, split_cells, texts, words_of
 from cairn.llm.components import connected_components
-from cairn.plans.durable import durable, pick
+from cairn.llm.skew import join_unique
+from cairn.plans.durable import discard, durable, pick
 
 TREES, DEPTH, LEAST_DEPTH, NEAR = 16, 8, 4, 3
 FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=U)) | U(1)
@@ -215,80 +218,146 @@ def _apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter("top_a <> top_b")
 
 
-def _merged(tops: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+def _merged(tops: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links."""
     roots = connected_components(_apart(links, tops).select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
-    after = tops.join(roots.withColumnRenamed("node", "top"), "top", "left")
-    return durable(after.select("set_key", F.coalesce("root", "top").alias("top")), "tops", rows)
+    after = join_unique(tops, roots.withColumnRenamed("node", "top"), "top", tops.count())
+    return durable(after.select("set_key", F.coalesce("root", "top").alias("top")), "tops")
 
 
-GRID = 400_000  # shingles of a side of what is compared at once
+SALTS = 16
 
 
-def _compare(percent: int):
-    def compare(table: pa.Table) -> pa.Table:
-        """Exact links of the asking sets with the others, one for each component met."""
-        keys, tops, asks = table["set_key"].to_pylist(), table["top"].to_pylist(), np.array(table["asks"].to_pylist(), dtype=bool)
-        sets = [np.frombuffer(m, U) for m in table["members"].to_pylist()]
-        there = np.flatnonzero(~asks)
-        a, b = [], []
-        if len(there):
-            sizes = np.array([len(sets[i]) for i in there])
-            first = np.r_[0, np.cumsum(sizes)[:-1]]
-            known, place = np.unique(np.concatenate([sets[i] for i in there]), return_inverse=True)
-            mark = np.zeros(len(known), np.int32)
-            for i in np.flatnonzero(asks):
-                at = np.searchsorted(known, sets[i])
-                at = at[at < len(known)]
-                at = at[np.isin(known[at], sets[i])]
-                mark[at] = 1
-                common = np.add.reduceat(mark[place], first)
-                mark[at] = 0
-                met = {tops[i]}
-                for j in there[100 * common >= percent * (sizes + len(sets[i]) - common)]:
-                    if tops[j] not in met:
-                        met.add(tops[j])
-                        a.append(min(keys[i], keys[j]))
-                        b.append(max(keys[i], keys[j]))
-        return pa.table([binary(a), binary(b)], names=["a", "b"])
-
-    return compare
-
-
-def _crowded(nodes: DataFrame, tops: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that sorted neighbours can miss: in one region, not near, not yet joined.
-
-    Of a region with more sets than a row has neighbours, the sets outside its largest
-    component are a query set against the region's rows. Both are dealt into blocks of a
-    bounded number of shingles; a task compares one block of each exactly, on the full
-    sets, and gives links only, never the pairs that it looked at.
+def _crowd(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """(set_key, top, n) of the sets whose neighbours a sorted order can hide; written.
+
+    They lie in a region, the sets with one prefix of LEAST_DEPTH in one tree, that has more
+    sets than a row has neighbours, not all in one component.
     """
     rows = nodes.join(tops, "set_key").select("set_key", "top", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     region = F.xxhash64("tree", F.expr(f"substring(signature, tree * {2 * DEPTH} + 1, {2 * LEAST_DEPTH})"))
-    rows = rows.select("set_key", "top", "n", region.alias("region"))
-    parts = rows.groupBy("region", "top").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
-    main = F.max(F.struct("rows", "n", "top"))
-    regions = parts.groupBy("region").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("tops"), F.sum("n").alias("n"), main.alias("main"))
-    regions = regions.filter((F.col("rows") > NEAR + 1) & (F.col("tops") > 1))
-    blocks = lambda n: F.ceil(n / GRID).cast("int")
-    regions = regions.select("region", F.col("main.top").alias("main"), blocks(F.col("n")).alias("down"), blocks(F.col("n") - F.col("main.n")).alias("across"))
-    rows = rows.join(regions, "region")
-    own = lambda n: F.pmod(F.xxhash64("set_key"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    there = rows.select("region", own(F.col("down")).alias("block"), every(F.col("across")).alias("side"), "set_key", "top", F.lit(False).alias("asks"))
-    ask = rows.filter("top <> main").select("region", every(F.col("down")).alias("block"), own(F.col("across")).alias("side"), "set_key", "top", F.lit(True).alias("asks"))
-    dealt = there.union(ask).join(sets, "set_key")
-    return dealt.groupBy("region", "block", "side").applyInArrow(_compare(percent), "a binary, b binary").distinct()
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    rows = rows.select("set_key", "top", "n", region.alias("region"), F.pmod(F.xxhash64("set_key"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = rows.groupBy("region", "top").agg(F.count(F.lit(1)).alias("rows"))
+    regions = parts.groupBy("region").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("tops"))
+    regions = regions.filter((F.col("rows") > NEAR + 1) & (F.col("tops") > 1)).select("region", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return durable(rows.join(regions, ["region", "salt"], "left_semi").select("set_key", "top", "n").distinct(), "crowd")
+
+
+AT_ONCE = 500_000  # shingles that a task hands on at a time
+
+
+def _shingles(batches):
+    """A row for each shingle of each set."""
+    for batch in batches:
+        keys, sizes, members = batch.column(0), [], []
+        held, begun = 0, 0
+        for i, m in enumerate(batch.column(1).to_pylist()):
+            members.append(np.frombuffer(m, np.int64))
+            sizes.append(len(members[-1]))
+            held += sizes[-1]
+            if held >= AT_ONCE or i + 1 == batch.num_rows:
+                of = np.repeat(np.arange(begun, i + 1), sizes)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(np.concatenate(members))], names=["set_key", "shingle"])
+                held, begun, sizes, members = 0, i + 1, [], []
+
+
+SMALL = 256  # rows of a shingle that are compared as they are; more are dealt by sizes first
+CELL = 2_048  # rows on a side of what is compared at once
+BAND = 1.02  # sizes of a band differ by this factor at most
+
+
+def _band(n):
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+
+
+def _rare_shingles(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, set_key, top, n, place): where each set's rarest shared shingles stand in it; written.
+
+    A set's shingles are ordered by the number of crowded sets that have them, the rarest
+    first. Of two sets alike enough, the first common shingle stands early in both, with
+    enough shingles after it to make up what they must share; so only the first ones count,
+    and of these those that no other set has don't.
+    """
+    members = crowd.select("set_key").join(sets, "set_key").select("set_key", "members")
+    rows = durable(members.mapInArrow(_shingles, "set_key binary, shingle long"), "shingles")
+    counts = durable(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"), "shared-shingles")
+    total = int(crowd.agg(F.sum("n")).first()[0] or 0)
+    shared = join_unique(rows, counts, "shingle", total, inner=True)
+    ordered = shared.groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("s")).join(crowd, "set_key")
+    alone = F.col("n") - F.size("s")  # these come first, and meet nothing
+    first = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone).cast("int")
+    ordered = ordered.select("set_key", "top", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "x"))
+    out = durable(ordered.select(F.col("x.shingle").alias("shingle"), "set_key", "top", "n", (F.col("alone") + F.col("i")).cast("long").alias("place")), "rare-shingles")
+    discard(rows, counts)
+    return out
+
+
+def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Keys with sets of more than one component: rows, those outside the largest one, and that."""
+    parts = rows.groupBy(*key, "top").agg(F.count(F.lit(1)).alias("rows"))
+    groups = parts.groupBy(*key).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("tops"), F.max(F.struct("rows", "top")).alias("main"))
+    return groups.filter("tops > 1").select(*key, "rows", (F.col("rows") - F.col("main.rows")).alias("outside"), F.col("main.top").alias("main"))
+
+
+def _meet(percent: int):
+    def meet(table: pa.Table) -> pa.Table:
+        """Pairs of one shingle that can be alike enough and lie in different components."""
+        keys, asks = table["set_key"].to_pylist(), np.array(table["asks"].to_pylist(), dtype=bool)
+        _, top = np.unique(np.array(table["top"].to_pylist(), dtype=object), return_inverse=True)
+        n, place, own = (table[c].to_numpy() for c in ("n", "place", "own"))
+        split = table["low"][0].as_py() != table["high"][0].as_py()
+        there, left = np.flatnonzero(~asks), n - place
+        a, b = [], []
+        for i in np.flatnonzero(asks):
+            # Common shingles are at most those from here on, in either set.
+            least = np.minimum(left[i], left[there]) * (100 + percent) >= percent * (n[i] + n[there])
+            for j in there[least & (top[there] != top[i]) & ((own[there] != own[i]) | (not split))]:
+                a.append(min(keys[i], keys[j]))
+                b.append(max(keys[i], keys[j]))
+        return pa.table([binary(a), binary(b)], names=["a", "b"]).group_by(["a", "b"]).aggregate([])
+
+    return meet
+
+
+def _hidden(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of crowded sets in different components that can share ``percent``; none else of these is.
+
+    Sets meet in the shingles that are rare among them. Where one shingle has many, they are
+    dealt by bands of sizes, each set to the bands in which a partner may lie for its place:
+    texts made from one template, whose own words come first, then meet in none. A group's
+    sets outside its largest component are compared with all of it, in blocks of a bounded
+    number of rows of some fifty bytes, and only pairs that pass leave a task.
+    """
+    rows = _rare_shingles(crowd, sets, percent)
+    total = rows.count()
+    groups = durable(_groups(rows, ["shingle"]), "groups")
+    none = F.lit(-1)
+    few = join_unique(rows, groups.filter(F.col("rows") <= SMALL), "shingle", total, inner=True).select("*", none.alias("low"), none.alias("high"), none.alias("own"))
+    many = join_unique(rows, groups.filter(F.col("rows") > SMALL).select("shingle"), "shingle", total, inner=True)
+    least = F.ceil(F.col("n") * percent / 100)
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n"))
+    many = many.filter(least <= most).withColumn("own", _band(F.col("n"))).withColumn("other", F.explode(F.sequence(_band(least), _band(most))))
+    many = many.select("shingle", "set_key", "top", "n", "place", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
+    key = ["shingle", "low", "high"]
+    many = many.join(_groups(many, key), key)
+    blocks = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+    dealt = few.unionByName(many.select(*few.columns)).withColumn("down", blocks("rows")).withColumn("across", blocks("outside"))
+    own = lambda c: F.pmod(F.xxhash64("set_key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    light = [*key, "set_key", "top", "n", "place", "own"]
+    there = dealt.select(*light, F.lit(False).alias("asks"), own("down").alias("block"), every("across").alias("side"))
+    ask = dealt.filter("top <> main").select(*light, F.lit(True).alias("asks"), every("down").alias("block"), own("across").alias("side"))
+    return there.union(ask).groupBy(*key, "block", "side").applyInArrow(_meet(percent), "a binary, b binary").distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, leads: bool = False) -> DataFrame:
     """The component of near copies of every document.
 
-    Columns: ``id_col``, n_shingles, component_id, kept, text_key (MD5 of the text), first. Two
-    documents are linked when 100 * intersection >= percent * union of their shingle sets;
-    component_id is the least id that links reach, and kept says that the document has it.
-    first is true for one (id, text) of each component: the least id, null ids last, then the
-    least text_key.
+    Columns: ``id_col``, n_shingles, component_id, kept; with ``leads``, also text_key (MD5 of
+    the text) and first. Two documents are linked when 100 * intersection >= percent * union of
+    their shingle sets; component_id is the least id that links reach, and kept says that the
+    document has it. first is true for one (id, text) of each component: the least id, null
+    ids last, then the least text_key.
 
     Null and empty texts and texts without words have an empty set, are linked with nothing
     and are kept. Equal sets are one node, so copies cost no pairs. Rows that repeat an id
@@ -304,32 +373,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ends = candidates.select(F.col("a").alias("set_key")).union(candidates.select(F.col("b").alias("set_key"))).distinct()
     nodes = signed.join(ends, "set_key").groupBy("set_key").agg(F.max(F.struct("text_key", "signature")).alias("x"), F.max("n_shingles").alias("n"))
-    rows = ends.count()
-    nodes = durable(nodes.select("set_key", "n", "x.text_key", "x.signature"), "nodes", rows)
+    nodes = durable(nodes.select("set_key", "n", "x.text_key", "x.signature"), "nodes")
     sets = _sets_of(d, nodes.select("set_key", "text_key"), shingle, power_of_two(input_bytes(df, 1 << 30) / 100, 18, 29))
 
     # Round 1: each set with the candidate that shares most with it.
     turned = candidates.union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = turned.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    best = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best", rows)
-    tops = _merged(nodes.select("set_key", F.col("set_key").alias("top")), _confirmed(best, sets, percent), rows)
+    best = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+    tops = _merged(nodes.select("set_key", F.col("set_key").alias("top")), _confirmed(best, sets, percent))
     # Round 2: the other candidates, round 3: what crowded regions hide, as far as still apart.
     rest = _apart(candidates.join(best, ["a", "b"], "left_anti"), tops)
-    tops = _merged(tops, _confirmed(rest, sets, percent), rows)
-    tops = _merged(tops, _crowded(nodes, tops, sets, percent), rows)
-
-    final = signed.select("_id", "n_shingles", "set_key", "text_key").join(tops, "set_key", "left")
-    final = final.select("_id", "n_shingles", "text_key", F.coalesce("top", "set_key").alias("top"))
-    # ``lead`` apart from ``least``: who drops ``first`` doesn't pay for it.
-    lead = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "text_key")).alias("lead")
-    least = final.filter("top is not null").groupBy("top").agg(F.min("_id").alias("least"), lead)
-    final = final.join(least, "top", "left")
-    component = F.when(F.col("top").isNull(), F.col("_id")).otherwise(F.col("least"))
+    tops = _merged(tops, _confirmed(rest, sets, percent))
+    crowd = _crowd(nodes, tops)
+    if not crowd.isEmpty():
+        tops = _merged(tops, _confirmed(_hidden(crowd, sets, percent), sets, percent))
+
+    # Copies are one row, then components, before anything meets the documents again.
+    of = [F.min("_id").alias("least")] + ([F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "text_key")).alias("lead")] if leads else [])
+    names = [x for x in ("least", "lead") if x == "least" or leads]
+    own = durable(signed.filter("set_key is not null").groupBy("set_key").agg(*of).join(tops, "set_key", "left"), "own")
+    joined = own.filter("top is not null")
+    least = durable(joined.groupBy("top").agg(*[F.min(x).alias(x) for x in names]), "least")
+    linked = join_unique(joined.select("set_key", "top"), least, "top", joined.count(), inner=True).select("set_key", *names)
+    verdicts = durable(own.filter("top is null").select("set_key", *names).union(linked), "verdicts")
+
+    columns = ["_id", "n_shingles", "set_key"] + (["text_key"] if leads else [])
+    final = join_unique(signed.select(*columns), verdicts, "set_key", signed.count())
+    component = F.when(F.col("set_key").isNull(), F.col("_id")).otherwise(F.col("least"))
     kept = F.col("_id").eqNullSafe(component)
-    first = kept & (F.col("top").isNull() | (F.col("text_key") == F.col("lead.text_key")))
-    return final.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key", first.alias("first"))
+    out = [F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept")]
+    if leads:
+        out += ["text_key", (kept & (F.col("set_key").isNull() | (F.col("text_key") == F.col("lead.text_key")))).alias("first")]
+    return final.select(*out)
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Components of documents that share 80 in 100 of their four-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("text_key", "first")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)

@@ -314,3 +314,44 @@ def test_sharding_of_odd_rows(odd, none, clashing):
     got = sharding.shard_documents(clashing, 3).collect()
     check_shards(got, [(r.doc_id, r.text) for r in odd.collect()], 3)
     assert sharding.shard_documents(none, 3).count() == 0
+
+
+def test_template_documents(spark):
+    """20,000 texts of one template below the threshold, and some that it hides: work in proportion."""
+    import time
+
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(80)]
+    rows = [(i, " ".join(template + [f"u{i}_{k}" for k in range(24)])) for i in range(20_000)]
+    rows += [(30_000 + i, " ".join(template + [f"u{i}_{k}" for k in range(24)][: 20 + i % 3] + ["x"])) for i in range(0, 300, 3)]
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string").repartition(8)
+    began = time.perf_counter()
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    took = time.perf_counter() - began
+    assert got == {i: i - 30_000 if i >= 30_000 else i for i, _ in rows}
+    assert took < 240
+
+
+def test_hidden_pairs_are_few(spark):
+    """What crowded sets of a template are asked about is linear, not their pairs."""
+    sets, top = [], []
+    for i in range(3_000):
+        s = np.unique(np.r_[np.arange(1, 801), np.arange(10_000 + 1_000 * i, 10_000 + 1_000 * i + 180 + i % 40)]).astype(np.int64)
+        sets.append((i.to_bytes(16, "little"), bytearray(s.tobytes()), len(s)))
+    sets.append(((9_999).to_bytes(16, "little"), bytearray(np.frombuffer(bytes(sets[7][1]), np.int64)[:-40].tobytes()), sets[7][2] - 40))
+    crowd = spark.createDataFrame([(bytearray(k), bytearray(k), n) for k, _, n in sets], "set_key binary, top binary, n long")
+    held = spark.createDataFrame([(bytearray(k), m) for k, m, _ in sets], "set_key binary, members binary")
+    pairs = {(int.from_bytes(r.a, "little"), int.from_bytes(r.b, "little")) for r in minhash._hidden(crowd, held, 80).collect()}
+    assert (7, 9_999) in {tuple(sorted(p)) for p in pairs} and len(pairs) < 100
+
+
+def test_hot_keys_are_broadcast(spark):
+    from cairn.llm.skew import join_unique
+
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 99), (None, 7), (3, 8)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (5, "c")], "k long, w string")
+    want = sorted([(1, i, "a") for i in range(50)] + [(2, 99, "b"), (3, 8, None), (None, 7, None)], key=str)
+    for least in (10, 10_000):
+        assert sorted([tuple(r) for r in join_unique(left, right, "k", 53, least=least).select("k", "v", "w").collect()], key=str) == want
+        assert sorted(tuple(r) for r in join_unique(left, right, "k", 53, inner=True, least=least).select("k", "v", "w").collect()) == sorted(x for x in want if x[2])
