@@ -28,22 +28,15 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_own_root}"
 
 
-ROWS_PER_FILE = 250_000
-
-
-def durable(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    ``rows`` is a bound of its rows where one is known: a small table then makes a few
-    files, not one for each partition of the shuffle before it.
-
     What follows starts from files, so a lost executor costs only its running tasks,
     rows keep one identity however often they are read, and plans stay short. The
     folder is the cluster's to purge; ``discard`` removes a table that no plan needs.
     """
     path = f"{shared_root(df.sparkSession)}/cairn-tables/{label}-{uuid.uuid4().hex}"
-    out = df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)
-    out.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._cairn_path = path
     return back

@@ -37,7 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the least id, then the least text key; of equal rows one."""
-    stay = near_duplicates(docs).filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    stay = near_duplicates(docs, leads=True).filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     keyed = docs.withColumn("__text_key", text_key(F.coalesce(F.col("text"), F.lit(""))))
     same = keyed["doc_id"].eqNullSafe(stay["__id"]) & (keyed["__text_key"] == stay["__key"])
     return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
