@@ -292,11 +292,40 @@ def _rare_shingles(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return out
 
 
-def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Keys with sets of more than one component: rows, those outside the largest one, and that."""
-    parts = rows.groupBy(*key, "top").agg(F.count(F.lit(1)).alias("rows"))
-    groups = parts.groupBy(*key).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("tops"), F.max(F.struct("rows", "top")).alias("main"))
-    return groups.filter("tops > 1").select(*key, "rows", (F.col("rows") - F.col("main.rows")).alias("outside"), F.col("main.top").alias("main"))
+def _reaches(percent: int, partner: str):
+    """Whether a set's shingles from its place on are enough for a partner of so many."""
+    return (F.col("n") - F.col("place")) * (100 + percent) >= percent * (F.col("n") + F.col(partner))
+
+
+def _groups(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Rows in groups with sets of more than one component: with the group's size, those outside its largest component, and that.
+
+    What no partner in its group can be alike enough to is left out before: at its place the
+    set has too few shingles left even for the group's smallest, and what is in the largest
+    component meets only those outside it.
+    """
+    total = rows.count()
+
+    def grouped(d: DataFrame) -> DataFrame:
+        parts = d.groupBy(*key, "top").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+        groups = parts.groupBy(*key).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("tops"), F.max(F.struct("rows", "top")).alias("main"), F.min("least").alias("least"))
+        return groups.filter("tops > 1").select(*key, "rows", (F.col("rows") - F.col("main.rows")).alias("outside"), F.col("main.top").alias("main"), "least")
+
+    def joined(d: DataFrame, g: DataFrame) -> DataFrame:
+        if len(key) > 1:
+            return d.join(g, key)
+        return join_unique(d, g, key[0], total, inner=True)
+
+    near = joined(rows, durable(grouped(rows).select(*key, "least"), "groups")).filter(_reaches(percent, "least")).drop("least")
+    near = durable(near, "near-rows")
+    near = durable(joined(near, durable(grouped(near).drop("least"), "groups")), "near-rows")
+    reach = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
+    asking = near.filter("top <> main").groupBy(*key).agg(F.min("n").alias("least"), F.max(reach).alias("most"))
+    of_main = (F.col("n") <= F.col("most")) & _reaches(percent, "least")
+    asked = joined(near, durable(asking, "asking")).filter((F.col("top") != F.col("main")) | of_main).drop("least", "most", "rows", "outside")
+    asked = durable(asked, "near-rows")
+    sizes = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("top") != F.col("main"), 1)).alias("outside"))
+    return joined(asked, durable(sizes, "groups"))
 
 
 def _meet(percent: int):
@@ -328,18 +357,16 @@ def _hidden(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sets outside its largest component are compared with all of it, in blocks of a bounded
     number of rows of some fifty bytes, and only pairs that pass leave a task.
     """
-    rows = _rare_shingles(crowd, sets, percent)
-    total = rows.count()
-    groups = durable(_groups(rows, ["shingle"]), "groups")
+    rows = durable(_groups(_rare_shingles(crowd, sets, percent), ["shingle"], percent), "grouped")
     none = F.lit(-1)
-    few = join_unique(rows, groups.filter(F.col("rows") <= SMALL), "shingle", total, inner=True).select("*", none.alias("low"), none.alias("high"), none.alias("own"))
-    many = join_unique(rows, groups.filter(F.col("rows") > SMALL).select("shingle"), "shingle", total, inner=True)
+    few = rows.filter(F.col("rows") <= SMALL).select("*", none.alias("low"), none.alias("high"), none.alias("own"))
+    many = rows.filter(F.col("rows") > SMALL).drop("rows", "outside", "main")
     least = F.ceil(F.col("n") * percent / 100)
     most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n"))
     many = many.filter(least <= most).withColumn("own", _band(F.col("n"))).withColumn("other", F.explode(F.sequence(_band(least), _band(most))))
     many = many.select("shingle", "set_key", "top", "n", "place", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
     key = ["shingle", "low", "high"]
-    many = many.join(_groups(many, key), key)
+    many = _groups(durable(many, "banded"), key, percent)
     blocks = lambda c: F.ceil(F.col(c) / CELL).cast("int")
     dealt = few.unionByName(many.select(*few.columns)).withColumn("down", blocks("rows")).withColumn("across", blocks("outside"))
     own = lambda c: F.pmod(F.xxhash64("set_key"), F.col(c)).cast("int")
