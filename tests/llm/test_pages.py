@@ -56,10 +56,64 @@ def test_warc_of_nothing(spark):
 
 def test_warc_that_is_cut():
     good = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [b for _, b in warc.parse_records(good * 2)] == [b"abc", b"abc"]
-    for bad in (good[:-3], good[:20], b"x" + good, good.replace(b": 3", b": 2")):
-        with pytest.raises(warc.BadArchive):
-            list(warc.parse_records(bad))
+    bodies = lambda data, n: [b for _, b in warc.parse_records(data[i : i + n] for i in range(0, len(data), n))]
+    for n in (1, 7, 1000):
+        assert bodies(good * 2, n) == [b"abc", b"abc"]
+        for bad in (good[:-3], good[:20], b"x" + good, good.replace(b": 3", b": 2")):
+            with pytest.raises(warc.BadArchive):
+                bodies(bad, n)
+    packed = b"".join(warc.member(good) for _ in range(5))
+    for step in (1, 50, 1 << 20):
+        assert b"".join(warc.inflate(packed, step)) == good * 5
+    with pytest.raises(warc.BadArchive):
+        b"".join(warc.inflate(packed[:-1]))
+
+
+def test_members():
+    """A gzip member a record, each readable by itself, always with a zero byte at its end."""
+    import gzip
+
+    for n in (0, 1, 255, 70_000, (1 << 24) - 1, 1 << 24, (1 << 24) + 9):
+        assert warc.member(bytes(n))[-1] == 0 and gzip.decompress(warc.member(bytes(n))) == bytes(n)
+
+
+def test_archives_are_rolled_by_bytes(spark, tmp_path, monkeypatch):
+    """Large pages: several files, each of whole members, and a row of any size comes back."""
+    import gzip
+    import random
+
+    rows = [(i, f"http://a.example.com/{i}", random.Random(i).randbytes(25_000_000).hex()) for i in range(3)]
+    path = str(tmp_path / "w")
+    pages = spark.createDataFrame(rows, PAGE).repartition(1)
+    warc.write_archives(pages, path)
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 3 or len(files) == 2
+    assert all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: ") for f in files)
+    got = {r.payload_digest: r.payload_bytes for r in warc.read_records(spark, path, payloads=False).filter("kind = 'response'").collect()}
+    assert got == {hashlib.sha1(h.encode()).hexdigest(): 50_000_000 for _, _, h in rows}
+
+
+def test_distinct_payloads_are_spread(spark):
+    """No task gets the pages that revisit nothing, whatever the planner does later."""
+    rows = [(i, f"http://a.example.com/{i}", f"<p>{i}</p>" * 150) for i in range(600)] + [(1000 + i, "http://b.example.com/", "same " * 300) for i in range(300)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "20"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = warc.round_trip(spark.createDataFrame(rows, PAGE), payloads=False).selectExpr("spark_partition_id() p", "page_id", "record_type", "refers_to").cache()
+        sizes = [r[1] for r in out.filter("record_type = 'response'").groupBy("p").count().collect()]
+        assert sum(sizes) == 601 and max(sizes) < 150
+        assert out.filter("refers_to = 1299").count() == 299
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_control_characters_in_urls(spark):
+    rows = [(i, f"http://a.example.com/{chr(c)}x", "y") for i, c in enumerate([*range(1, 33), 127])]
+    got = {r.page_id: r.capture.response.uri for r in warc.round_trip(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {i: f"http://a.example.com/%{c:02X}x" for i, c in enumerate([*range(1, 33), 127])}
 
 
 def test_urls_of_odd_rows(spark, odd_pages):
