@@ -42,6 +42,18 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file into the shared folder, by whatever file system it is on; its path."""
+    jvm, path = spark._jvm, f"{shared_root(spark)}/cairn-files/{name}"
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(data), 0, len(data))
+    finally:
+        out.close()
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``durable``."""
     for df in tables:
