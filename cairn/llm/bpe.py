@@ -3,43 +3,127 @@
 The corpus' most frequent words are counted in Spark, and their ids compiled into a minimal
 acyclic automaton: equal suffixes share states, and every arc carries the number of words
 that it passes over, so that a path's sum is the word's number and that number's row holds
-its ids. The automaton is one flat file that workers map into memory. A word it doesn't
-have is merged exactly, by the rules of the tokenizer.
+its ids. The automaton is one flat file that Spark hands to every executor and workers map
+into memory. A word it doesn't have is merged here, pair by pair in the order of the
+vocabulary's merge list; the tokenizer library has no part in it.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import mmap
 import os
 import struct
-import tempfile
+import uuid
 from array import array
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.arrays import as_bytes, binary, spread, texts
-from cairn.plans.durable import discard, durable, pick
-
+from cairn.plans.durable import discard, durable, pick, write_bytes
+
+# Letters and numbers (first and last of a run, in hex) that the tokenizer's
+# Unicode version, 16, doesn't have yet. To it they are marks.
+NEWER = """558 558 58b 58c 88f 88f c5c c5c cdc cdc 208f 208f 209d 209f a7ce a7cf a7d2 a7d2 a7d4 a7d4 a7dd a7dd
+a7e2 a7e2 a7f1 a7f1 ab6c ab6d 107bb 107bf 10940 10959 10ec5 10ec7 10ed9 10eee 11b0a 11b0a 11db0 11ddb 11de0 11de9
+11df1 11df1 1246f 1246f 12475 1247f 12550 12686 16ea0 16eb8 16ebb 16ed3 16ff2 16ff6 187f8 187ff 18cd6 18cda 18d09 18d20
+18d80 18df2 18e00 19191 191a0 191d2 1b123 1b128 1b168 1b168 1d6a6 1d6a6 1df1f 1df24 1df2b 1df81 1df90 1df96 1dfcd 1dfff
+1e6c0 1e6de 1e6e0 1e6e2 1e6e4 1e6e5 1e6e7 1e6ed 1e6f0 1e6f4 1e6fe 1e6ff 2b73a 2b73f 2b81e 2b81e 2cea2 2cead 323b0 33479 3d000 3fc3f"""
+_newer = "".join(f"{chr(int(x, 16))}-{chr(int(y, 16))}" for x, y in zip(NEWER.split()[::2], NEWER.split()[1::2], strict=True))
+_l, _n = rf"[\p{{L}}--[{_newer}]]", rf"[\p{{N}}--[{_newer}]]"
 # Fixed value: how the tokenizer cuts a text into words.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_l}+| ?{_n}+| ?[^\s{_l}{_n}]+|\s+(?!\S)|\s+", regex.V1)
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space beside white space, or at an end: such texts are cut by the whole pattern.
 UNEVEN = f"{SPACE}{SPACE}|^{SPACE}|{SPACE}$"
-#: Pieces with other characters, a contraction or an added token are merged as a whole.
-OTHER = r"[^!-~À-ÖØ-öø-ɏ]|'|<\|"
+#: Pieces with other characters or a contraction are cut by the whole pattern too.
+OTHER = r"[^!-~À-ÖØ-öø-ɏ]|'"
 RUNS = r"([!-/:-@\[-`{-~]+|[0-9]+)"
-#: Characters whose classes are the same in every Unicode version.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ‐-›€]*")
 MEMO = 200_000  # remembered words of a worker, twice
 AT_ONCE = 4 << 20  # bytes of text that are cut at a time
+LONG = 400  # bytes of a word that are merged by a heap
+
+
+class Merges:
+    """The merge list of a byte-level vocabulary, and its added tokens."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut = spec["model"], spec["pre_tokenizer"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for k in ("lstrip", "rstrip", "single_word", "normalized") if any(t[k] for t in spec["added_tokens"])]
+        if odd or spec["normalizer"] or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut.get("use_regex", True):
+            raise ValueError(f"a byte-level vocabulary without {', '.join(odd) or 'a normalizer or prefix'} is needed")
+        ids = model["vocab"]
+        self.byte = [ids[c] for _, c in sorted((b, c) for c, b in _byte_of().items())]
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
+        for pair in model["merges"]:
+            x, y = pair.split(" ") if isinstance(pair, str) else pair
+            self.rank[ids[x], ids[y]] = len(self.made)
+            self.made.append(ids[x + y])
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"]}
+        longest = sorted(self.added, key=lambda a: (-len(a), a))
+        self.any_added = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
+
+    def ids(self, word: bytes) -> list[int]:
+        """The lowest pair in the list is merged first, of several the leftmost."""
+        if len(word) > LONG:
+            return self._long(word)
+        parts, get, none = [self.byte[b] for b in word], self.rank.get, len(self.made)
+        ranks = [get(x, none) for x in zip(parts, parts[1:])]  # noqa: B905
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            i = ranks.index(least)
+            parts[i : i + 2] = [self.made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
+        return parts
+
+    def _long(self, word: bytes) -> list[int]:
+        """The same for a long word, with a heap over a linked list."""
+        parts, n = [self.byte[b] for b in word], len(word)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        get = self.rank.get
+        heap = [(r, i) for i, x in enumerate(zip(parts, parts[1:])) if (r := get(x)) is not None]  # noqa: B905
+        heapq.heapify(heap)
+        while heap:
+            least, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j < 0 or get((parts[i], parts[j])) != least:
+                continue  # merged with something else meanwhile
+            parts[i], parts[j], after[i] = self.made[least], -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] >= 0 and (r := get((parts[k], parts[after[k]]))) is not None:
+                    heapq.heappush(heap, (r, k))
+        return [p for p in parts if p >= 0]
+
+    def pieces(self, text: str) -> list[str]:
+        """A text at its added tokens, which stand at odd places."""
+        return self.any_added.split(text) if self.any_added else [text]
+
+
+@lru_cache(maxsize=4)
+def merges(path: str) -> Merges:
+    return Merges(path)
 
 
 class Builder:
@@ -81,8 +165,9 @@ class Builder:
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """A lexicon file: header, arcs by state, ids by word number.
 
-    An arc is 12 bytes: byte and finality of its target, first arc of the target, words
-    passed over. A state's arcs lie together and the last is marked.
+    Arcs lie together by state, and so do their fields: all bytes, all flags (whether the
+    target is final, whether the arc is its state's last), first arcs of the targets, words
+    passed over.
     """
     builder, order = Builder(), sorted(w for w in words if w)
     for w in order:
@@ -94,36 +179,37 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
         below[i] = final + sum(below[t] for _, t in out)
         first[i] = arcs if out else 0
         arcs += len(out)
-    flat = bytearray(12 * arcs)
+    byte, flags = np.zeros(arcs, np.uint8), np.zeros(arcs, np.uint8)
+    target_, over = np.zeros(arcs, "<u4"), np.zeros(arcs, "<u4")
     at = 1
     for final, out in states:
         passed = int(final)
-        for k, (byte, target) in enumerate(out):
-            flags = int(states[target][0]) | (2 if k + 1 == len(out) else 0)
-            struct.pack_into("<BBHII", flat, 12 * at, byte, flags, 0, first[target], passed)
+        for k, (b, target) in enumerate(out):
+            byte[at], flags[at], target_[at], over[at] = b, int(states[target][0]) | (2 if k + 1 == len(out) else 0), first[target], passed
             passed += below[target]
             at += 1
-    ends = np.cumsum([0] + [len(words[w]) for w in order]).astype("<u4").tobytes()
-    ids = np.array([i for w in order for i in words[w]], "<u4").tobytes()
-    return struct.pack("<4sIII", b"MAL1", arcs, len(order), first[root]) + bytes(flat) + ends + ids
+    ends = np.cumsum([0] + [len(words[w]) for w in order]).astype("<u4")
+    ids = np.array([i for w in order for i in words[w]], "<u4")
+    return struct.pack("<4sIII", b"MAL2", arcs, len(order), first[root]) + b"".join(x.tobytes() for x in (byte, flags, target_, over, ends, ids))
 
 
 class Lexicon:
-    """A mapped lexicon file: bytes of a word to its packed ids, or None."""
-
-    def __init__(self, data: bytes):
-        # A file without a name, in the task's own folder: it goes when the worker goes.
-        self.file = tempfile.TemporaryFile()
-        self.file.write(data)
-        self.file.flush()
-        self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+    """A lexicon in a mapped file: bytes of a word to its packed ids, or None. Nothing of it is copied."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.map = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         magic, arcs, self.words, self.root = struct.unpack_from("<4sIII", self.map)
-        if magic != b"MAL1":
+        if magic != b"MAL2":
             raise ValueError("not a lexicon")
-        table = np.frombuffer(self.map, np.dtype([("byte", "u1"), ("flags", "u1"), ("none", "<u2"), ("next", "<u4"), ("passed", "<u4")]), arcs, 16)
-        self.byte, self.flags, self.next, self.passed = (memoryview(np.ascontiguousarray(table[c])) for c in ("byte", "flags", "next", "passed"))
-        self.ends = np.frombuffer(self.map, "<u4", self.words + 1, 16 + 12 * arcs)
-        self.ids = 16 + 12 * arcs + 4 * (self.words + 1)
+        at = 16
+        fields = []
+        for kind, count in (("B", arcs), ("B", arcs), ("I", arcs), ("I", arcs), ("I", self.words + 1)):
+            size = count * struct.calcsize(kind)
+            fields.append(self.map[at : at + size].cast(kind))
+            at += size
+        self.byte, self.flags, self.next, self.passed, self.ends = fields
+        self.ids = self.map[at:]
 
     def get(self, word: bytes) -> bytes | None:
         at, number, final = self.root, 0, False
@@ -140,7 +226,7 @@ class Lexicon:
             at = self.next[at]
         if not final:
             return None
-        return self.map[self.ids + 4 * int(self.ends[number]) : self.ids + 4 * int(self.ends[number + 1])]
+        return bytes(self.ids[4 * self.ends[number] : 4 * self.ends[number + 1]])
 
 
 class Encoder:
@@ -151,36 +237,46 @@ class Encoder:
     digits and marks, and only distinct words looked up; numpy puts their ids together.
     """
 
-    def __init__(self, path: str, lexicon: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.lexicon = Lexicon(lexicon)
+    def __init__(self, path: str, lexicon: str):
+        self.merges, self.lexicon = merges(path), Lexicon(lexicon)
+        # Added tokens with white space in them would be cut in two before they are seen.
+        self.other = "|".join([OTHER, *[pc_escape(a) for a in self.merges.added]])
+        self.uneven = "|".join([UNEVEN, *[pc_escape(a) for a in self.merges.added if regex.search(r"\s", a)]])
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words as the tokenizer cuts them."""
         if len(self.memo) > MEMO:
             self.older, self.memo = self.memo, {}
-        memo, older, get = self.memo, self.older, self.lexicon.get
-        ask = []
+        memo, older, get, merge = self.memo, self.older, self.lexicon.get, self.merges.ids
         for w in words:
             if w not in memo:
                 ids = older.get(w)
-                if ids is None and w:
-                    ids = get(w.encode())
                 if ids is None:
-                    ask.append(w)
-                else:
-                    memo[w] = ids
-        for w, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            memo[w] = array("I", e.ids).tobytes()
+                    b = w.encode()
+                    ids = get(b)
+                    if ids is None:
+                        ids = array("I", merge(b)).tobytes()
+                memo[w] = ids
         return [memo[w] for w in words]
 
+    def _whole(self, values: list[str]) -> list[bytes]:
+        """Ids of texts or pieces that the whole pattern cuts."""
+        flat, ends, added = [], [], {}
+        for v in values:
+            for i, part in enumerate(self.merges.pieces(v)):
+                if i % 2:
+                    added[len(flat)] = array("I", [self.merges.added[part]]).tobytes()
+                    flat.append("")
+                else:
+                    flat += WORDS.findall(part)
+            ends.append(len(flat))
+        ids = self._ids(flat)
+        for i, x in added.items():
+            ids[i] = x
+        return [b"".join(ids[i:j]) for i, j in zip([0, *ends], ends)]  # noqa: B905
+
     def _even(self, values: pa.Array) -> list[np.ndarray]:
         cut = pc.split_pattern(pc.replace_substring(values, "\n", " \n "), " ")
         ends = cut.offsets.to_numpy()
@@ -193,7 +289,7 @@ class Encoder:
         bare[ends[:-1][np.diff(ends) > 0]] = True
         key, piece_of = _distinct(code.astype(np.int64) * 2 + ~bare, 2 * len(pieces))
         pieces, led = pieces.take(pa.array(key >> 1)), (key & 1).astype(bool)
-        whole = pc.match_substring_regex(pieces, OTHER)
+        whole = pc.match_substring_regex(pieces, self.other)
         runs = pc.ascii_split_whitespace(pc.if_else(whole, "\0", pc.replace_substring_regex(pieces, RUNS, r" \1 ")))
         # Marks and digits at an end leave empty strings there; they have no ids.
         run_ends = runs.offsets.to_numpy().astype(np.int64)
@@ -208,8 +304,7 @@ class Encoder:
         words = [" " + texts_[w >> 1] if w & 1 else texts_[w >> 1] for w in word.tolist()]
         at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         word_of[run_ends[at]] = len(words) + np.arange(len(at))
-        words += [" " + t if x else t for t, x in zip(pieces.take(pa.array(at)).to_pylist(), led[at].tolist(), strict=True)]
-        ids = self._ids(words)
+        ids = self._ids(words) + self._whole([" " + t if x else t for t, x in zip(pieces.take(pa.array(at)).to_pylist(), led[at].tolist(), strict=True)])
         sizes = np.fromiter(map(len, ids), np.int64, count=len(ids)) >> 2
         flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         in_text = word_of[spread(run_ends[:-1][piece_of], np.diff(run_ends)[piece_of])]
@@ -218,12 +313,6 @@ class Encoder:
         at = np.r_[0, np.cumsum(of_piece[piece_of])][ends]
         return [out[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
-    def _uneven(self, text: str) -> np.ndarray:
-        if not PLAIN.fullmatch(text) or any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        words = WORDS.findall(text)
-        return np.frombuffer(b"".join(self._ids(words)), "<u4")
-
     def encode(self, values: pa.Array) -> list[np.ndarray]:
         """The ids of each of some texts (binary, UTF-8); null is empty."""
         values = values.cast(pa.binary()).fill_null(b"")
@@ -234,13 +323,18 @@ class Encoder:
             before = sizes[at - 1] if at else 0
             upto = max(at + 1, int(np.searchsorted(sizes, before + AT_ONCE, side="right")))
             some = values.slice(at, upto - at).cast(pa.string())
-            odd = pc.match_substring_regex(some, UNEVEN)
+            odd = pc.match_substring_regex(some, self.uneven)
             even = iter(self._even(some.filter(pc.invert(odd))))
-            out += [self._uneven(t.as_py()) if o else next(even) for t, o in zip(some, odd.to_pylist(), strict=True)]
+            out += [np.frombuffer(self._whole([t.as_py()])[0], "<u4") if o else next(even) for t, o in zip(some, odd.to_pylist(), strict=True)]
             at = upto
         return out
 
 
+def pc_escape(text: str) -> str:
+    """A literal for Arrow's patterns."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 def _distinct(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of ``key`` (all under ``n``), and which of them each is."""
     there = np.zeros(n, bool)
@@ -251,14 +345,25 @@ def _distinct(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str, lexicon) -> Encoder:
+def _encoder(path: str, lexicon: str) -> Encoder:
+    """The worker's encoder; ``lexicon`` is the name of a file that Spark has handed out."""
     key = (path, lexicon)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(path, lexicon)
+        _encoders[key] = Encoder(path, SparkFiles.get(lexicon))
     return _encoders[key]
 
 
+def hand_out(spark, lexicon: bytes) -> str:
+    """Have Spark give every executor the lexicon as a file, late ones and replaced ones too; its name.
+
+    The file lies in the shared folder; its size is fixed by the number of words.
+    """
+    name = f"lexicon-{uuid.uuid4().hex}"
+    spark.sparkContext.addFile(write_bytes(spark, name, lexicon))
+    return name
+
+
 def frequent_words(df: DataFrame, text_col: str = "text", most: int = 65_536) -> list[str]:
     """The ``most`` most frequent words of all texts, as the tokenizer cuts them.
 
@@ -276,9 +381,11 @@ def frequent_words(df: DataFrame, text_col: str = "text", most: int = 65_536) ->
 
         for batch in batches:
             for t in texts(batch, "_text"):
-                held.update((t or b"").split())
-                if len(held) > 200_000:
-                    yield out()
+                pieces = (t or b"").split()
+                for i in range(0, len(pieces), 100_000):
+                    held.update(pieces[i : i + 100_000])
+                    if len(held) > 200_000:
+                        yield out()
         if held:
             yield out()
 
@@ -303,14 +410,8 @@ def frequent_words(df: DataFrame, text_col: str = "text", most: int = 65_536) ->
 
 
 def build_lexicon(tokenizer_path: str, words: list[str]) -> bytes:
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    plain = [w for w in words if PLAIN.fullmatch(w)]
-    return compile_lexicon({w.encode(): e.ids for w, e in zip(plain, tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True)})
+    ids = merges(tokenizer_path).ids
+    return compile_lexicon({w.encode(): ids(w.encode()) for w in words})
 
 
 IDS = T.ArrayType(T.IntegerType())
@@ -325,10 +426,10 @@ def _encoded(e: Encoder, text: pa.Array) -> pa.ListArray:
 
 def encoder(spark, tokenizer_path: str, lexicon: bytes):
     """A column function: text (as bytes) to its ids. Null and empty texts have none."""
-    shared = spark.sparkContext.broadcast(lexicon)  # its size is fixed by the number of words
+    name = hand_out(spark, lexicon)
 
     def encode(text: pa.Array) -> pa.Array:
-        return _encoded(_encoder(tokenizer_path, shared.value), text)
+        return _encoded(_encoder(tokenizer_path, name), text)
 
     return F.arrow_udf(encode, IDS)
 
@@ -391,11 +492,11 @@ def encode_and_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     d = pick(df, _id=id_col, _text=text_col).withColumn("_text", as_bytes("_text"))
     kind = d.schema["_id"].dataType.simpleString()
     lexicon = build_lexicon(tokenizer_path, frequent_words(df, text_col, lexicon_words))
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # its size is fixed by the number of words
+    name = hand_out(df.sparkSession, lexicon)
 
     def both(batches):
         # Given on a few texts at a time: ids are longer than the texts that they are of.
-        e, known = _encoder(tokenizer_path, shared.value), vocabulary(tokenizer_path)
+        e, known = _encoder(tokenizer_path, name), vocabulary(tokenizer_path)
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(i, TEXTS)

@@ -262,13 +262,76 @@ def test_bpe(spark, data, texts, odd, none, clashing):
     assert bpe.encode_and_decode(none, bpe.byte_bpe()).count() == 0
 
 
-def test_lexicon():
+def test_lexicon(tmp_path):
     known = {b"": [], b"do": [1], b"dog": [2, 3], b"dogs": [4], b"cats": [5], b"cat": [6, 7, 8], b"\xc3\xa9s": [9]}
-    lex = bpe.Lexicon(bpe.compile_lexicon(known))
+    (tmp_path / "a").write_bytes(bpe.compile_lexicon(known))
+    (tmp_path / "b").write_bytes(bpe.compile_lexicon({}))
+    lex = bpe.Lexicon(str(tmp_path / "a"))
     for w, ids in known.items():
         assert not w or np.frombuffer(lex.get(w), "<u4").tolist() == ids
     assert lex.get(b"d") is None and lex.get(b"dogss") is None and lex.get(b"x") is None and lex.get(b"ca") is None
-    assert bpe.Lexicon(bpe.compile_lexicon({})).get(b"a") is None
+    assert bpe.Lexicon(str(tmp_path / "b")).get(b"a") is None
+
+
+@pytest.fixture(scope="module")
+def coder(tmp_path_factory):
+    """An encoder with a lexicon of few words, and the library's tokenizer."""
+    from tokenizers import Tokenizer
+
+    path = tmp_path_factory.mktemp("lexicon") / "x"
+    path.write_bytes(bpe.build_lexicon(bpe.byte_bpe(), [" the", "don", "'t", " été", "中文", "\n"]))
+    return bpe.Encoder(bpe.byte_bpe(), str(path)), Tokenizer.from_file(bpe.byte_bpe())
+
+
+def test_no_library_on_the_way(coder, monkeypatch):
+    """Ids come from the lexicon and the merge list alone."""
+    import pyarrow as pa
+    import tokenizers
+
+    e, t = coder
+    values = ["the été don't", "x" * 3000 + " abcabc" * 500, "a<|endoftext|>b <|endoftext|>", "  two\n\n spaces "]
+    want = [t.encode(v, add_special_tokens=False).ids for v in values]
+    monkeypatch.setattr(tokenizers, "Tokenizer", None)
+    assert [x.tolist() for x in e.encode(pa.array([v.encode() for v in values]))] == want
+
+
+def test_every_character(coder):
+    """Letters, numbers, spaces and marks are told apart as the library does, for each code point."""
+    import pyarrow as pa
+
+    e, t = coder
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(chars), 20_000):
+        text = "".join(f"a{c}1{c}! {c}" for c in chars[i : i + 20_000])
+        assert e.encode(pa.array([text.encode()]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_random_unicode(coder):
+    import pyarrow as pa
+
+    e, t = coder
+    rng = np.random.default_rng(4)
+    pool = ["a", "b", "the", " ", " ", " ", "\n", "\t", "  ", "'s", "'ll", "'", "9", "12", "é", "ß", "中", "文", "и", "我", "\u3000", "\u00a0", "\u200d", "🙂", "👩\u200d🚀", "<|endoftext|>", "<|", "٣", "½", "!", "...", "_", "\r\n", "\x00", "\u0301", "ab" * 300, chr(0x10940), chr(0x16FF4)]
+    values = ["".join(rng.choice(pool, size=int(rng.integers(1, 40)))) for _ in range(3_000)]
+    got = e.encode(pa.array([v.encode() for v in values]))
+    for v, x in zip(values, got, strict=True):
+        assert x.tolist() == t.encode(v, add_special_tokens=False).ids, repr(v)
+
+
+def test_long_words_merge_alike(coder):
+    e, t = coder
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 399, 400, 401, 5_000):
+        w = "".join(rng.choice(list("abcdeinrst"), size=n)).encode()
+        assert e.merges.ids(w) == e.merges._long(w) == t.encode(w.decode(), add_special_tokens=False).ids
+    assert len(e.merges.ids(b"a" * 300_000)) < 300_000
+
+
+def test_many_words_in_one_text(spark):
+    """Counts are handed on within a text, not only after it."""
+    df = spark.createDataFrame([(1, words(250_000) + " " + "w1 " * 9)], "doc_id long, text string")
+    got = bpe.frequent_words(df, most=5)
+    assert got == [" w"] or " w" in got
 
 
 def test_lexicon_shares_suffixes():
