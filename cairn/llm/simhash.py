@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.arrays import U, as_bytes, binary, hash_words, mixed, texts, words_of
+from cairn.llm.arrays import U, as_bytes, binary, hash_words, input_bytes, mixed, texts, words_of
+from cairn.llm.skew import join_unique
 from cairn.plans.durable import durable, pick
 
 BITS = 128
@@ -78,6 +79,7 @@ def _squeeze(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), binary([squeeze.compress(v or b"") for v in texts(batch, "_text")])], names=["_id", "_text"])
 
 
+RANGE_BYTES = 64 << 20  # of the input to a range of ids
 NAMES = ["_id", *[f.split()[0] for f in FIELDS.split(", ")]]
 ENDS = "part long, head binary, head_mark binary, tail binary, tail_mark binary"
 
@@ -129,7 +131,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = pick(df, _id=id_col, _text=text_col).withColumn("_text", as_bytes("_text"))
     kind = d.schema["_id"].dataType.simpleString()
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df, 1 << 30) // RANGE_BYTES)
     dealt = d.mapInArrow(_squeeze, f"_id {kind}, _text binary").repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
     done = durable(dealt.mapInArrow(_sequence, f"_id {kind}, {FIELDS}, {ENDS}"), "fingerprints")
     ends = done.filter("part is not null")
@@ -144,60 +146,103 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 CELL = 2_048  # fingerprints on a side of what is compared at once
 
 
-def within_radius(marks: DataFrame, radius: int = 3, mark_col: str = "fingerprint") -> DataFrame:
-    """Pairs (a < b) of distinct fingerprints that differ in ``radius`` bits at most: a, b, distance.
-
-    Equal fingerprints are one. A table's bucket of any size is cut into blocks, and two
-    blocks are compared by one task, which gives the pairs within the radius and no other.
-    Null fingerprints are left out; no fingerprints give no pairs.
-    """
+def _masks(radius: int) -> np.ndarray:
+    """The bits of each block, a row of two words each."""
     if not 0 < radius < 16:
         raise ValueError("radius must be from 1 to 15")
-    m = pick(marks, m=mark_col).filter("m is not null").distinct()
     cuts = np.linspace(0, BITS, radius + 2).round().astype(int).tolist()
-    # A block's bits as a string of 0 and 1 would be long; hash the bytes after masking.
-    masks = [np.packbits([cuts[k] <= i < cuts[k + 1] for i in range(BITS)]).tobytes() for k in range(radius + 1)]
+    rows = [np.packbits([cuts[k] <= i < cuts[k + 1] for i in range(BITS)]) for k in range(radius + 1)]
+    return np.stack(rows).view(U)
+
+
+def _dealt(marks: DataFrame, masks: np.ndarray, mark_col: str) -> DataFrame:
+    """The permuted tables' buckets in cells: m, table, key, own, x, y.
+
+    A bucket of any size is cut into blocks, and a cell is two blocks of it.
+    """
+    m = durable(pick(marks, m=mark_col).filter("m is not null").distinct(), "marks")
 
     def permute(batches):
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), U).reshape(-1, BITS // 64)
             for k, mask in enumerate(masks):
-                first = (rows & np.frombuffer(mask, np.uint8)).view(U)
+                first = rows & mask
                 key = mixed(first[:, 0] + U(k)) ^ mixed(first[:, 1] + U(k + 99))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64))], names=["m", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k] * len(rows), pa.int32()), pa.array(key.view(np.int64))], names=["m", "table", "key"])
 
-    tables = m.mapInArrow(permute, "m binary, key long")
-    sizes = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = tables.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int"))
+    tables = m.mapInArrow(permute, "m binary, table int, key long")
+    sizes = durable(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    total = int(sizes.agg(F.sum("n")).first()[0] or 0)
+    rows = join_unique(tables, sizes, "key", total, inner=True, counts=sizes.select("key", F.col("n").alias("__n")))
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "m", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = rows.select("key", "m", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = rows.select("key", "table", "m", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("key", "table", "m", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
+def _near(table: pa.Table, masks: np.ndarray, radius: int):
+    """Of one cell, each row with the later rows within the radius and their distances.
+
+    A pair that an earlier table has brought together too is left to that table, so every
+    pair comes once.
+    """
+    rows = np.frombuffer(b"".join(table["m"].to_pylist()), U).reshape(-1, BITS // 64)
+    own, x, y, k = table["own"].to_numpy(), table["x"][0].as_py(), table["y"][0].as_py(), table["table"][0].as_py()
+    right = np.flatnonzero(own == y)
+    for i in np.flatnonzero(own == x):
+        others = right if x != y else right[right > i]
+        apart = rows[others] ^ rows[i]
+        distance = np.bitwise_count(apart).sum(axis=1)
+        fit = distance <= radius
+        for mask in masks[:k]:
+            fit &= ((apart & mask) != 0).any(axis=1)
+        yield i, others[fit], distance[fit]
+
+
+def within_radius(marks: DataFrame, radius: int = 3, mark_col: str = "fingerprint") -> DataFrame:
+    """Pairs (a < b) of distinct fingerprints that differ in ``radius`` bits at most: a, b, distance.
+
+    Equal fingerprints are one. Two blocks of a bucket are compared by one task, which gives
+    the pairs within the radius and no other. Null fingerprints are left out; no fingerprints
+    give no pairs. Where a number is enough, ``near_marks`` gives it without the pairs.
+    """
+    masks = _masks(radius)
 
     def compare(table: pa.Table) -> pa.Table:
-        keys = table["m"].to_pylist()
-        own, x, y = table["own"].to_numpy(), table["x"][0].as_py(), table["y"][0].as_py()
-        rows = np.frombuffer(b"".join(keys), U).reshape(-1, BITS // 64)
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        a, b, apart = [], [], []
-        for i in left:
-            distance = np.bitwise_count(rows[right] ^ rows[i]).sum(axis=1)
-            for j in np.flatnonzero(distance <= radius):
-                if x != y or right[j] > i:
-                    p, q = keys[i], keys[right[j]]
-                    a.append(min(p, q))
-                    b.append(max(p, q))
-                    apart.append(int(distance[j]))
+        keys, a, b, apart = table["m"].to_pylist(), [], [], []
+        for i, others, distance in _near(table, masks, radius):
+            a += [min(keys[i], keys[j]) for j in others]
+            b += [max(keys[i], keys[j]) for j in others]
+            apart += distance.tolist()
         return pa.table([binary(a), binary(b), pa.array(apart, pa.int32())], names=["a", "b", "distance"])
 
-    return cells.groupBy("key", "x", "y").applyInArrow(compare, "a binary, b binary, distance int").distinct()
+    return _dealt(marks, masks, mark_col).groupBy("key", "table", "x", "y").applyInArrow(compare, "a binary, b binary, distance int")
+
+
+def near_marks(marks: DataFrame, radius: int = 3, mark_col: str = "fingerprint") -> DataFrame:
+    """The number of other distinct fingerprints within ``radius`` bits: fingerprint, near_marks.
+
+    Tasks count, and Spark adds their counts: at most a row per fingerprint and cell leaves
+    them. Fingerprints without any such other have no row.
+    """
+    masks = _masks(radius)
+
+    def count(table: pa.Table) -> pa.Table:
+        met = np.zeros(table.num_rows, np.int64)
+        for i, others, _ in _near(table, masks, radius):
+            met[i] += len(others)
+            met[others] += 1
+        some = np.flatnonzero(met)
+        return pa.table([table["m"].combine_chunks().take(pa.array(some)), pa.array(met[some])], names=["fingerprint", "n"])
+
+    counts = _dealt(marks, masks, mark_col).groupBy("key", "table", "x", "y").applyInArrow(count, "fingerprint binary, n long")
+    return counts.groupBy("fingerprint").agg(F.sum("n").alias("near_marks"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, and how many others lie within three bits of each."""
     done = compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    pairs = within_radius(done, radius=3)
-    both = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select(F.col("b").alias("fingerprint")))
-    near = both.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("near_marks"))
-    out = done.join(near, "fingerprint", "left")
+    near = durable(near_marks(done, radius=3), "near-marks")
+    out = join_unique(done, near, "fingerprint", done.count(), nulls=False)
     hexed = lambda c: F.lower(F.hex(c)).alias(c)
     return out.select("doc_id", "n_chars", "edited_sha256", hexed("fingerprint"), hexed("edited_fingerprint"), "near_edited", "near_next", F.coalesce("near_marks", F.lit(0)).cast("long").alias("near_marks"))
