@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.plans.durable import pick
+from cairn.llm.skew import join_unique
+from cairn.plans.durable import durable, pick
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -112,7 +113,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tu
     top = F.element_at("_stack", -1)
     best = F.max(F.struct(F.length(top["rule"]).alias("n"), (F.length(top["rule"]) - top["n"]).alias("h"), top["rule"].alias("rule"), top["verdict"].alias("verdict")))
     found = swept.groupBy("_host", "_path").agg(best.alias("_best"))
-    return u.join(found, ["_host", "_path"], "left").select(
+    # URLs without a host meet nothing, and a URL in many rows needn't move.
+    key = F.when(F.col("_host") != "", F.concat_ws("\x1f", "_host", "_path")).alias("_url_key")
+    found = durable(found.select(key, "_best"), "rules-found")
+    return join_unique(u.withColumn("_url_key", key), found, "_url_key", u.count()).select(
         *[F.col(i).alias(k) for i, k in named.items()],
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
