@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.arrays import PIECES, SLICE_BITS, U, as_bytes, binary, bitmap, has, hash_words, input_bytes, merge_pieces, mixed, power_of_two, repeated_cells, split_cells, texts, words_of
+from cairn.llm.skew import join_unique
 from cairn.plans.durable import discard, durable, pick
 
 GRAM = 16  # words of a gram; the longer, the rarer by chance and the more anchors
@@ -162,7 +163,8 @@ def cell_bits_for(n_bytes: int) -> int:
 
 
 HASH = np.dtype([("a", "<u8"), ("b", "<u4")])
-SLICE_BYTES, MOST_SLICES = 8 << 20, 20_000
+SLICE_BYTES, MOST_SLICES = 8 << 20, 20_000  # of the input to a slice; rows that a block is cut into at most
+ANSWER_BYTES = 64 << 20  # of hashes that an answering task holds, or a little more
 ENTRIES = "block binary, slice int, hashes binary, twice binary, fresh binary, place binary, firsts binary, keys binary"
 SPANS = "array<struct<start: long, end: long>>"
 
@@ -211,8 +213,30 @@ def _entries(block: Block, at: np.ndarray, values: list, slices: int) -> pa.Reco
     return pa.RecordBatch.from_arrays(cols, names=["block", "slice", "hashes", "twice", "fresh", "place", "firsts", "keys"])
 
 
+def _split(parts: int):
+    """Each block's hashes of a slice in ``parts``, by bits that the slice doesn't depend on."""
+
+    def split(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for block, k, hashes, twice in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                known = np.frombuffer(hashes, HASH)
+                part, flags = _part(known, parts), _flags(twice, len(known))
+                for p in np.unique(part).tolist():
+                    mine = part == p
+                    out.append((block, k, p, known[mine].tobytes(), _bits(flags[mine])))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([binary(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), binary(cols[3]), binary(cols[4])], names=["block", "slice", "part", "hashes", "twice"])
+
+    return split
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes["a"] % U(parts)).astype(np.int64)
+
+
 def _answer(table: pa.Table) -> pa.Table:
-    """One slice: which hashes of each block stand in two blocks, or twice in one."""
+    """A part of a slice: which hashes of each block stand in two blocks, or twice in one."""
     keys = [np.frombuffer(x, HASH) for x in table["hashes"].to_pylist()]
     twice = [_flags(x, len(k)) for x, k in zip(table["twice"].to_pylist(), keys, strict=True)]
     a, b = np.concatenate([k["a"] for k in keys]), np.concatenate([k["b"] for k in keys])
@@ -223,18 +247,23 @@ def _answer(table: pa.Table) -> pa.Table:
     good = np.empty(len(a), bool)
     good[order] = total[group] >= 2
     replies = [_bits(g) for g in np.split(good, np.cumsum([len(k) for k in keys])[:-1])]
-    return pa.table([table["block"], table["slice"], binary(replies)], names=["block", "slice", "bits"])
+    return pa.table([table["block"], table["slice"], table["part"], binary(replies)], names=["block", "slice", "part", "bits"])
 
 
-def _spans_of(length: int):
+def _spans_of(length: int, parts: int):
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
         """One block: its repeated windows as word ranges of each text."""
-        bits = dict(zip(right["slice"].to_pylist(), right["bits"].to_pylist(), strict=True))
+        bits = {(k, p): x for k, p, x in zip(*(right[c].to_pylist() for c in ("slice", "part", "bits")), strict=True)}
         at, first, keys = [np.zeros(0, np.int64)], None, b""
         for row in zip(*(left[c].to_pylist() for c in ("slice", "hashes", "fresh", "place", "firsts", "keys")), strict=True):
             place = np.frombuffer(row[3], np.uint32)
             group = np.cumsum(_flags(row[2], len(place))) - 1
-            at.append(place[_flags(bits[row[0]], len(row[1]) // HASH.itemsize)[group]].astype(np.int64))
+            part = _part(np.frombuffer(row[1], HASH), parts)
+            good = np.zeros(len(part), bool)
+            for p in np.unique(part).tolist():
+                mine = np.flatnonzero(part == p)
+                good[mine] = _flags(bits[row[0], p], len(mine))
+            at.append(place[good[group]].astype(np.int64))
             if row[4] is not None:
                 first, keys = np.frombuffer(row[4], np.int64), row[5]
         at = np.sort(np.concatenate(at))
@@ -254,7 +283,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def repeated_ranges(df: DataFrame, text_col: str = "text", length: int = 35, cell_bits: int | None = None) -> DataFrame:
+def repeated_ranges(df: DataFrame, text_col: str = "text", length: int = 35, cell_bits: int | None = None, answer_bytes: int = ANSWER_BYTES) -> DataFrame:
     """Word ranges covered by windows that start in more than one place.
 
     One row for each distinct text that has such a range: ``text_key`` (MD5 of its UTF-8)
@@ -279,9 +308,13 @@ def repeated_ranges(df: DataFrame, text_col: str = "text", length: int = 35, cel
                 yield _entries(block, at, values, slices)
 
     entries = durable(d.mapInArrow(flag, ENTRIES), "windows")
-    replies = entries.select("block", "slice", "hashes", "twice").groupBy("slice").applyInArrow(_answer, "block binary, slice int, bits binary")
+    # Slices are of the input; what came through may still be too much of one for a task.
+    most = entries.groupBy("slice").agg(F.sum(F.octet_length("hashes")).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-most // answer_bytes))
+    asked = entries.select("block", "slice", "hashes", "twice").mapInArrow(_split(parts), "block binary, slice int, part int, hashes binary, twice binary")
+    replies = asked.groupBy("slice", "part").applyInArrow(_answer, "block binary, slice int, part int, bits binary")
     mine = entries.select("block", "slice", "hashes", "fresh", "place", "firsts", "keys").groupBy("block")
-    ranges = mine.cogroup(replies.groupBy("block")).applyInArrow(_spans_of(length), f"text_key binary, ranges {SPANS}")
+    ranges = mine.cogroup(replies.groupBy("block")).applyInArrow(_spans_of(length, parts), f"text_key binary, ranges {SPANS}")
     # Copies of a text have the same ranges, from whichever block they come.
     out = durable(ranges.groupBy("text_key").agg(F.first("ranges").alias("ranges")), "ranges")
     bits.unpersist()
@@ -315,7 +348,7 @@ def _cutter(layout: bool):
     return F.arrow_udf(cut, CUT)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, layout: bool = False, carry: dict[str, str] | None = None, cell_bits: int | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, layout: bool = False, carry: dict[str, str] | None = None, cell_bits: int | None = None, answer_bytes: int = ANSWER_BYTES) -> DataFrame:
     """Take out of every text the words that windows in more than one place cover.
 
     One row out per row in: ``id_col``, n_words, n_removed, kept_text, ranges, and the
@@ -329,10 +362,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table; other columns don't matter, whatever their names.
     """
     carry = carry or {}
-    ranges = repeated_ranges(df, text_col, length, cell_bits).withColumnRenamed("text_key", "_key")
+    ranges = repeated_ranges(df, text_col, length, cell_bits, answer_bytes).withColumnRenamed("text_key", "_key")
     d = pick(df, _id=id_col, _text=text_col, **{f"_carry_{k}": v for k, v in carry.items()})
     d = d.withColumn("_text", as_bytes("_text")).withColumn("_key", text_key(F.col("_text")))
-    d = d.join(ranges, "_key", "left").withColumn("_cut", _cutter(layout)("_text", "ranges"))
+    # Copies that a third of all documents are don't meet in one task.
+    d = join_unique(d, ranges, "_key", df.count()).withColumn("_cut", _cutter(layout)("_text", "ranges"))
     return d.select(F.col("_id").alias(id_col), "_cut.n_words", "_cut.n_removed", "_cut.kept_text", "ranges", *[F.col(f"_carry_{k}").alias(k) for k in carry])
 
 

@@ -109,6 +109,14 @@ def test_crowded_sketch(spark, duck):
     assert got == sorted((i, n) for i, _, n, _ in covered(rows))
 
 
+def test_answers_in_parts(spark, duck):
+    """Slices that are too large for a task are answered in parts; the result is the same."""
+    rows = duck.sql("SELECT doc_id, text FROM documents WHERE length(text) < 3000").fetchall()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(df, answer_bytes=500).collect())
+    assert got == sorted((i, n) for i, _, n, _ in covered(rows))
+
+
 def test_layout_is_kept(spark):
     shared = words(40, "s")
     rows = [(1, f"Head one.\nHead two.\n{shared}\nTail  one."), (2, shared), (3, "left  as\nit is")]
@@ -222,6 +230,44 @@ def test_simhash(spark, data, texts):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
+def vote(text):
+    """A text's fingerprint, every term and bit by itself."""
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    w = text.encode().lower().split()
+    h = [xxhash.xxh3_64_intdigest(x) for x in w]
+    terms = [((h[i] * 3 + mix(h[i + 1])) & full, len(w[i]) + len(w[i + 1])) for i in range(len(w) - 1)] if len(w) > 1 else [(x, len(y)) for x, y in zip(h, w, strict=True)]
+    votes = [0] * 128
+    for term, weight in terms:
+        for half in range(2):
+            bits = mix((mix(term) + half) & full)
+            for k in range(64):
+                votes[64 * half + k] += weight if bits >> k & 1 else -weight
+    return int("".join("1" if v > 0 else "0" for v in votes), 2).to_bytes(16, "big").hex()
+
+
+def test_simhash_votes(spark, data, texts):
+    """Fingerprints, those of edited texts and the number of near ones, by brute force."""
+    order = sorted(texts)
+    got = {r.doc_id: r for r in simhash.op7_simhash(spark, data).collect()}
+    for n, i in enumerate(order):
+        t, x = texts[i], texts[order[(n + 1) % len(order)]]
+        assert got[i].fingerprint == vote(t)
+        if n % 5 == 0:
+            assert got[i].edited_fingerprint == vote(t[: len(t) - len(t) // 2] + x[: len(t) // 2])
+    marks = {r.fingerprint for r in got.values()}
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    for r in got.values():
+        assert r.near_marks == sum(m != r.fingerprint and apart(m, r.fingerprint) <= 3 for m in marks)
+
+
 def test_hamming_radius(spark):
     rng = np.random.default_rng(2)
     marks = [rng.bytes(16) for _ in range(40)]
@@ -235,9 +281,27 @@ def test_hamming_radius(spark):
     ids = sorted(set(marks))
     for radius in (2, 3, 5):
         want = {(a, b, apart(a, b)) for n, b in enumerate(ids) for a in ids[:n] if apart(a, b) <= radius}
-        got = {(bytes(r.a), bytes(r.b), r.distance) for r in simhash.within_radius(df, radius).collect()}
-        assert got == want
-
+        pairs = [(bytes(r.a), bytes(r.b), r.distance) for r in simhash.within_radius(df, radius).collect()]
+        assert set(pairs) == want and len(pairs) == len(want)
+        counts = Counter(x for a, b, _ in want for x in (a, b))
+        assert {bytes(r.fingerprint): r.near_marks for r in simhash.near_marks(df, radius).collect()} == counts
+
+
+def test_a_large_bucket(spark, monkeypatch):
+    """Fingerprints with one block in common, more than a cell holds."""
+    monkeypatch.setattr(simhash, "CELL", 20)
+    rng = np.random.default_rng(9)
+    head, base = rng.bytes(4), rng.bytes(12)
+    marks = {head + base} | {head + rng.bytes(12) for _ in range(60)}
+    for i in range(96):
+        b = np.unpackbits(np.frombuffer(base, np.uint8))
+        b[i] ^= 1
+        marks.add(head + np.packbits(b).tobytes())
+    df = spark.createDataFrame([(bytearray(m),) for m in marks], "fingerprint binary")
+    got = {bytes(r.fingerprint): r.near_marks for r in simhash.near_marks(df, 3).collect()}
+    apart = lambda a, b: (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+    want = {m: sum(m != x and apart(m, x) <= 3 for x in marks) for m in marks}
+    assert got == {m: n for m, n in want.items() if n}
 
 def test_simhash_of_odd_rows(odd, none, clashing):
     got = simhash.compare_with_next(clashing).collect()
