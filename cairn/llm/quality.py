@@ -8,7 +8,6 @@ too much of it has gone. No row meets another, so the plan is one scan without a
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +20,21 @@ SYMBOLS = "#*$%&|<>"
 # Endings of a sentence, separators of menus, and what boilerplate says.
 ENDINGS = [".", "!", "?", "…", ":", ";", '"', "'", ")", "]", "”", "’", "»", "。", "！", "？"]
 SEPARATORS = "|»›•·"
-NAVIGATION = r"(?i)^(home|menu|search|log ?in|sign ?in|sign ?up|subscribe|next|previous|share|read more|contact( us)?|about( us)?|back to top|skip to content)[.!:]?$"
-LONGEST_NAVIGATION = 20
-BOILERPLATE = ["lorem ipsum", "enable javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "licensed under", "released under"]
+# Navigation and boilerplate are in English, German, French and Spanish, in lower case.
+NAVIGATION = [
+    "home|menu|search|log ?in|sign ?in|sign ?up|subscribe|next|previous|share|read more|contact( us)?|about( us)?|back to top|skip to content",
+    "startseite|menü|suche|anmelden|registrieren|abonnieren|weiter|zurück|teilen|mehr lesen|kontakt|über uns|nach oben|zum inhalt",
+    "accueil|recherche|connexion|inscription|suivant|précédent|partager|lire la suite|à propos|haut de page|aller au contenu",
+    "inicio|menú|buscar|iniciar sesión|registrarse|suscribirse|siguiente|anterior|compartir|leer más|contacto|sobre nosotros|volver arriba|ir al contenido",
+]
+LONGEST_NAVIGATION = 25
+LINKS = r"https?://|www\."
+BOILERPLATE = [
+    "lorem ipsum|enable javascript|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|licensed under|released under",
+    "javascript aktivieren|cookie-richtlinie|datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|lizenziert unter|veröffentlicht unter der",
+    "activer javascript|politique de confidentialité|gestion des cookies|conditions d.utilisation|mentions légales|tous droits réservés|sous licence",
+    "activar javascript|política de privacidad|política de cookies|condiciones de uso|aviso legal|todos los derechos reservados|bajo licencia|bajo la licencia",
+]
 
 
 @dataclass(frozen=True)
@@ -33,7 +44,9 @@ class LineRules:
     ``symbol_percent``: a line with a larger share of ``#*$%&|<>`` has no punctuation but
     litter; ``min_separators``: so many separators, at least one to each four pieces, make
     a line a menu; ``bare_words``: a line of so many pieces needs no sentence ending (code,
-    headings, cut lines go only when shorter); ``max_lost_percent``: documents that lose a
+    headings, cut lines go only when shorter); ``boilerplate_words``: a phrase of boilerplate
+    fails a line of so many pieces at most, not a paragraph that has it; ``link_percent``: a
+    line with a larger share of links is navigation; ``max_lost_percent``: documents that lose a
     larger share of their word characters are rejected; ``min_words`` and
     ``max_repeat_percent`` are the base limits.
     """
@@ -41,6 +54,8 @@ class LineRules:
     symbol_percent: int = 10
     min_separators: int = 3
     bare_words: int = 50
+    boilerplate_words: int = 30
+    link_percent: int = 25
     max_lost_percent: int = 50
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -58,6 +73,10 @@ def _any_of(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "|^]\\-$" else c for c in chars) + "]"
 
 
+def _navigation() -> str:
+    return f"^({'|'.join(NAVIGATION)})[.!:]?$"
+
+
 def _line_stays(t: Column, rules: LineRules) -> Column:
     """Whether a trimmed line stays. Cheap tests stand before those that count characters."""
     pieces = _count(t, " \t") + 1
@@ -65,9 +84,10 @@ def _line_stays(t: Column, rules: LineRules) -> Column:
     punctuated = F.right(t, F.lit(1)).isin(ENDINGS) | (pieces >= rules.bare_words)
     littered = t.rlike(_any_of(SYMBOLS)) & (_count(t, SYMBOLS) * 100 > F.length(t) * rules.symbol_percent)
     menu = t.rlike(_any_of(SEPARATORS)) & (separators >= rules.min_separators) & (separators * 4 >= pieces)
-    menu = menu | ((F.length(t) <= LONGEST_NAVIGATION) & (pieces <= 3) & t.rlike(NAVIGATION))
     small = F.lower(t)
-    boilerplate = reduce(lambda x, y: x | y, [F.contains(small, F.lit(b)) for b in BOILERPLATE])
+    menu = menu | ((F.length(t) <= LONGEST_NAVIGATION) & (pieces <= 4) & small.rlike(_navigation()))
+    menu = menu | (t.rlike(LINKS) & (F.regexp_count(t, F.lit(LINKS)) * 100 > pieces * rules.link_percent))
+    boilerplate = (pieces <= rules.boilerplate_words) & small.rlike("|".join(BOILERPLATE))
     return (t == "") | (punctuated & ~littered & ~menu & ~boilerplate)
 
 
@@ -156,8 +176,9 @@ def _sql(rules: LineRules = LineRules()) -> str:
     stays = f"""({t} = '' OR ((right({t}, 1) IN ({ends}) OR {pieces} >= {rules.bare_words})
         AND {count(t, symbols)} * 100 <= length({t}) * {rules.symbol_percent}
         AND NOT ({count(t, seps)} >= {rules.min_separators} AND {count(t, seps)} * 4 >= {pieces})
-        AND NOT ({pieces} <= 3 AND regexp_matches({t}, '{NAVIGATION}'))
-        AND NOT regexp_matches(lower({t}), '{'|'.join(BOILERPLATE)}')))"""
+        AND NOT (length({t}) <= {LONGEST_NAVIGATION} AND {pieces} <= 4 AND regexp_matches(lower({t}), '{_navigation()}'))
+        AND NOT len(regexp_extract_all({t}, '{LINKS}')) * 100 > {pieces} * {rules.link_percent}
+        AND NOT ({pieces} <= {rules.boilerplate_words} AND regexp_matches(lower({t}), '{'|'.join(BOILERPLATE)}'))))"""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, string_split(t, chr(10)) AS lines FROM d),

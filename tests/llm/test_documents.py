@@ -67,10 +67,49 @@ def test_repeated_words(spark):
     assert r.n_repeat_words == 9
 
 
-def test_line_rules(spark):
-    rows = [(1, "Home | News | Sport | Contact | More"), (2, "A sentence that stays."), (3, "All rights reserved."), (4, "x### y*** z$$$ t%%%."), (5, "")]
-    got = {r.doc_id: r.clean_text for r in quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "", 2: "A sentence that stays.", 3: "", 4: "", 5: ""}
+def test_line_rules(spark, duck):
+    """Lines that stay and lines that go, and the SQL's verdict on them."""
+    paragraph = words(40) + " under the privacy policy of the house, which is a long story."
+    stay = ["A sentence that stays.", paragraph, "Wer zurück will, der muss weiter.", "See https://a.example.com for all that was said there.", "", words(50)]
+    go = ["Home | News | Sport | Contact | More", "All rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés !", "Todos los derechos reservados.", "x### y*** z$$$ t%%%.", "Startseite.", "Leer más:", "https://a.example.com www.b.example.com.", "No ending", "Licensed under the terms."]
+    text = [(i, x) for i, x in enumerate(stay + go)]
+    got = {r.doc_id: r.lines_removed for r in quality.clean_lines(spark.createDataFrame(text, "doc_id long, text string")).collect()}
+    assert got == {i: int(i >= len(stay)) for i in got}
+    con = duck.cursor()
+    con.execute("CREATE TEMP TABLE lines(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO lines VALUES (?, ?)", text)
+    assert dict(con.sql(quality.SQL.replace("FROM documents", "FROM lines")).project("doc_id, lines_removed").fetchall()) == got
+
+
+def clean(text):
+    """(kept, clean text) of a document, line by line in plain Python."""
+    import re
+
+    r, ws = quality.LineRules(), " \t\n\x0b\x0c\r"
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    again = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    out = []
+    for line in (text or "").split("\n"):
+        t = line.strip(ws)
+        pieces, small = sum(c in " \t" for c in t) + 1, t.lower()
+        bars = sum(c in quality.SEPARATORS for c in t)
+        bad = t[-1:] not in quality.ENDINGS and pieces < r.bare_words
+        bad |= sum(c in quality.SYMBOLS for c in t) * 100 > len(t) * r.symbol_percent
+        bad |= bars >= r.min_separators and bars * 4 >= pieces
+        bad |= len(t) <= quality.LONGEST_NAVIGATION and pieces <= 4 and bool(re.search(quality._navigation(), small))
+        bad |= len(re.findall(quality.LINKS, t)) * 100 > pieces * r.link_percent
+        bad |= pieces <= r.boilerplate_words and any(re.search(b, small) for b in quality.BOILERPLATE)
+        if not t or not bad:
+            out.append(line)
+    all_ = len("".join(w))
+    base = len(w) < r.min_words or 100 * len(again) > 50 * len(w)
+    return not base and (all_ - len("".join(re.findall(r"[^\x20\x09-\x0D]+", "\n".join(out))))) * 100 <= all_ * r.max_lost_percent, "\n".join(out)
+
+
+def test_quality_by_brute_force(spark, data, texts):
+    got = quality.clean_lines(spark.read.parquet(f"{data}/documents.parquet")).collect()
+    assert {r.doc_id: (r.kept, r.clean_text) for r in got} == {i: clean(t) for i, t in texts.items()}
 
 
 def covered(rows, length=35):

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairn.llm.packing import word_bpe
-from cairn.llm.quality import clean_lines
 from cairn.plans.durable import durable
 from tests.llm.conftest import DOCUMENT, words
-from tests.llm.test_documents import covered, near, split
+from tests.llm.test_documents import clean, covered, near, split
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +35,7 @@ def test_columns(stages):
 
 
 def test_quality(stages):
-    want = {r.doc_id: r.clean_text for r in clean_lines(stages[0]).collect() if r.kept}
+    want = {i: t for i, (kept, t) in ((i, clean(t)) for i, t in rows(stages[0]).items()) if kept}
     assert rows(stages[1]) == want and 0 < len(want) < stages[0].count()
 
 
@@ -67,8 +66,21 @@ def test_packing(stages):
 
 
 def test_run(spark, data, stages):
-    key = lambda df: Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
-    assert sum(key(corpus_pipeline.run(spark, data)).values()) >= stages[3].count()
+    """All of it, against brute force from the documents to the ids of every piece."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(word_bpe())
+    docs = {i: x for i, (kept, x) in ((i, clean(x)) for i, x in rows(stages[0]).items()) if kept}
+    top, _ = near(docs.items(), 5)
+    docs = {i: x for i, x in docs.items() if top[i] == i}
+    kept = {i: x.decode().split() for i, _, _, x in covered(docs.items())}
+    pieces = {}
+    for r in corpus_pipeline.run(spark, data).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()))
+    assert set(pieces) == set(docs)
+    for i, parts in pieces.items():
+        ids = [x for _, part in sorted(parts) for x in part]
+        assert ids[-1] == 2 and t.decode(ids[:-1]).split() == t.decode(t.encode(" ".join(kept[i]), add_special_tokens=False).ids).split()
 
 
 def test_odd_rows(spark, odd, none):
