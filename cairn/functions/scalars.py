@@ -119,6 +119,37 @@ def walk_order(path: Column) -> Column:
     return F.split(path, "/", -1)
 
 
+def config_problem(least: Column, average: Column, most: Column, normalization: Column, target: Column) -> Column:
+    """Why sizes can't be a repository's, or null."""
+    return (
+        F.when(least <= 0, "no least size")
+        .when((average <= least) | (most < average), "sizes out of order")
+        .when(average.bitwiseAND(average - 1) != 0, "average not a power of two")
+        .when(~normalization.between(0, 3), "normalization out of range")
+        .when(target <= 0, "pack target of no size")
+    )
+
+
+def longest_wait(attempt: Column, throttled: Column, base: float = 0.1, most: float = 10.0, factor: float = 3.0) -> Column:
+    """Seconds below which the wait after an attempt is drawn."""
+    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt) * F.when(throttled, F.lit(factor)).otherwise(F.lit(1.0)))
+
+
+def status_kind(status: Column) -> Column:
+    """The kind of error that an HTTP status means, by the table of ``kind_of_status``."""
+    from cairn.errors import kind_of_status
+
+    known = {s: kind_of_status(s).value for s in range(400, 600)}
+    named = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.element_at(named, status.cast("int")), F.lit(kind_of_status(0).value))
+
+
+def retryable(kind: Column) -> Column:
+    from cairn.errors import Kind
+
+    return kind.isin(Kind.THROTTLED.value, Kind.TRANSIENT.value)
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -43,6 +43,13 @@ def unreadable(blocks: DataFrame, now) -> DataFrame:
     return blocks.withColumn("why", why).filter("why is not null")
 
 
+def costs(devices: DataFrame, page: int = MOST_PAGE, price_list: float = 0.0006, price_read: float = 0.003) -> DataFrame:
+    """Requests and price of each device (size, written), by the figures of ``request_cost``."""
+    lists = F.ceil(F.col("written") / page).cast("long")
+    price = lists / 1000 * price_list + F.col("written") / 1000 * price_read
+    return devices.withColumns({"blocks": F.floor(F.col("size") / BLOCK_SIZE).cast("long"), "list_requests": lists, "get_requests": F.col("written").cast("long"), "usd": price})
+
+
 def request_cost(size: int, written: int, page: int = MOST_PAGE, price_list: float = 0.0006, price_read: float = 0.003) -> dict:
     """Requests for a device of ``size`` bytes with ``written`` blocks, and their price per thousand."""
     lists, reads = -(-written // page), written

@@ -282,6 +282,24 @@ def cdc_chunks(files: DataFrame, config: ChunkerConfig = ChunkerConfig(), path_c
     return d.mapInArrow(chunk, f"path {kind}, {CHUNK_FIELDS}" + (", data binary" if with_data else ""))
 
 
+def streamed_chunks(files: DataFrame, config: ChunkerConfig = ChunkerConfig(), read: int = 1 << 20) -> DataFrame:
+    """The chunks of files (path, content) read as streams, ``read`` bytes at a time: as ``cdc_chunks`` gives them."""
+    import io
+
+    kind = files.schema["path"].dataType.simpleString()
+
+    def chunk(batches):
+        for batch in batches:
+            for i, content in enumerate(batch.column(1).to_pylist()):
+                parts = [(o, len(d), hashlib.sha256(d).hexdigest()) for o, d in stream(io.BytesIO(content or b"").read, config, read)]
+                if parts:
+                    o, n, b = zip(*parts, strict=True)
+                    path = batch.column(0).take(pa.array([i] * len(parts)))
+                    yield pa.RecordBatch.from_arrays([path, pa.array(range(len(parts)), pa.int32()), pa.array(o, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.string())], names=["path", "idx", "offset", "length", "blob_id"])
+
+    return files.select("path", "content").mapInArrow(chunk, f"path {kind}, {CHUNK_FIELDS}")
+
+
 def fixed_blocks(files: DataFrame, size: int, path_col: str = "path", content_col: str = "content", with_data: bool = False) -> DataFrame:
     """Blocks of ``size`` bytes (the last may be shorter), in built-in expressions only."""
     d = pick(files, path=path_col, _content=content_col).withColumn("_content", F.coalesce(F.col("_content").cast("binary"), F.lit(b"")))

@@ -58,11 +58,17 @@ def run_stats(chunks: DataFrame, index: DataFrame | None = None, files: DataFram
     return out
 
 
+def over_byte_cap(files: DataFrame, cap: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """bytes, and whether reading them would pass the cap (0: none), of all files or by some columns."""
+    out = files.groupBy(*by).agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+    return out.withColumn("over", (F.lit(cap) > 0) & (F.col("bytes") > cap))
+
+
 def check_byte_cap(files: DataFrame, cap: int) -> None:
     """Refuse a run that would read more than ``cap`` bytes, before anything is written."""
-    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if cap > 0 and total > cap:
-        raise CairnError(Kind.INVALID, "backup", f"{total} bytes exceed the cap of {cap}")
+    found = over_byte_cap(files, cap).first()
+    if found.over:
+        raise CairnError(Kind.INVALID, "backup", f"{found.bytes} bytes exceed the cap of {cap}")
 
 
 def estimate(files: DataFrame, target: int) -> DataFrame:

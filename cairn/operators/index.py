@@ -45,6 +45,35 @@ def rebuild(pack_entries: DataFrame, present: DataFrame | None = None) -> DataFr
     return first_wins(pack_entries)
 
 
+def size(index: DataFrame) -> DataFrame:
+    """One row: the number of blobs that the index has."""
+    return index.agg(F.count(F.lit(1)).alias("blobs"))
+
+
+def dumped(index: DataFrame) -> DataFrame:
+    """The exchange format of each shard: shard, entries, content, its entries by blob id."""
+    import pyarrow as pa
+
+    def encoded(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("blob_id", "pack_id", "offset", "length")), strict=True))
+        return pa.table([pa.array([rows[0][0][:2]], pa.string()), pa.array([len(rows)], pa.int64()), pa.array([dump(rows)], pa.binary())], names=["shard", "entries", "content"])
+
+    return index.groupBy(shard_of(F.col("blob_id")).alias("shard")).applyInArrow(encoded, "shard string, entries long, content binary")
+
+
+def loaded(dumps: DataFrame) -> DataFrame:
+    """The index of such contents again."""
+    import pyarrow as pa
+
+    def parse(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                cols = list(zip(*load(content), strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 2 + [pa.int64()] * 2, strict=True)], names=["blob_id", "pack_id", "offset", "length"])
+
+    return dumps.select("content").mapInArrow(parse, SCHEMA)
+
+
 def shard_histogram(index: DataFrame) -> DataFrame:
     """Entries of each of the 256 shards, empty ones included."""
     shards = index.sparkSession.range(256).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("shard"))

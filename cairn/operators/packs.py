@@ -76,6 +76,56 @@ def encode(blobs: list[tuple[str, bytes]]) -> tuple[str, bytes, list[dict]]:
     return hashlib.sha256(body).hexdigest(), bytes(body), entries
 
 
+FILES = "lane string, pack long, pack_id string, blobs long, size long, content binary"
+
+
+def files(assembled: DataFrame, data: DataFrame) -> DataFrame:
+    """Pack files of assembled blobs (``data``: blob_id, data): lane, pack, pack_id, blobs, size, content.
+
+    A pack's blobs meet in one task, which holds no more than a pack and its last blob.
+    """
+
+    def encoded(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["seq"].to_pylist(), table["blob_id"].to_pylist(), table["data"].to_pylist(), strict=True), key=lambda r: r[:2])
+        pack_id, body, entries = encode([(b, d) for _, b, d in rows])
+        lane, pack = table["lane"][0].as_py(), table["pack"][0].as_py()
+        return pa.table([pa.array([lane], pa.string()), pa.array([pack], pa.int64()), pa.array([pack_id], pa.string()), pa.array([len(entries)], pa.int64()), pa.array([len(body)], pa.int64()), pa.array([body], pa.binary())], names=[f.split()[0] for f in FILES.split(", ")])
+
+    return assembled.select("lane", "pack", "seq", "blob_id").join(data.select("blob_id", "data"), "blob_id").groupBy("lane", "pack").applyInArrow(encoded, FILES)
+
+
+def problems(packs: DataFrame) -> DataFrame:
+    """pack_id and what kind of error opening a pack file (pack_id, content) gives, null if none."""
+
+    def check(batches):
+        for batch in batches:
+            kinds = []
+            for c in batch.column(1).to_pylist():
+                try:
+                    read_header(lambda o, n, c=c: c[o : o + n], len(c))
+                    kinds.append(None)
+                except CairnError as e:
+                    kinds.append(e.kind.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], names=["pack_id", "problem"])
+
+    return packs.select("pack_id", "content").mapInArrow(check, "pack_id string, problem string")
+
+
+def verified(packs: DataFrame) -> DataFrame:
+    """pack_id and how many blobs of each pack were read and hashed to their ids; an error if one doesn't."""
+
+    def read(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Reader(c).verify() for c in batch.column(1).to_pylist()], pa.int64())], names=["pack_id", "blobs"])
+
+    return packs.select("pack_id", "content").mapInArrow(read, "pack_id string, blobs long")
+
+
+def lookup(entries: DataFrame, pack_ids: DataFrame) -> DataFrame:
+    """Asked (pack_id, blob_id) with offset and length in the pack, null where it has no such blob."""
+    return pack_ids.join(entries, ["pack_id", "blob_id"], "left")
+
+
 class ShortTail(Exception):
     """A tail that doesn't hold the header; ``need`` bytes from the end would."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators import blocks, chunking, dedup, index, packs, restore, snapshots, verify
+from cairn.operators import blocks, chunking, dedup, index, objects, packs, restore, snapshots, verify
 
 BLOCK = 512
 TARGET = 65_536
@@ -284,7 +284,7 @@ def backup_estimate(spark, d):
 def byte_cap(spark, d):
     """By source, whether reading it would pass a cap of a hundred thousand bytes."""
     docs = _read(spark, d, "documents").select("source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    return docs.groupBy("source").agg(F.sum("size").alias("bytes")).withColumn("over", F.col("bytes") > 100_000)
+    return dedup.over_byte_cap(docs, 100_000, ("source",))
 
 
 def safe_paths(spark, d):
@@ -302,14 +302,14 @@ def valid_keys(spark, d):
 def list_prefix(spark, d):
     """Objects below one host's prefix, hidden ones left out."""
     o = _read(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("key"), F.octet_length("html").cast("long").alias("size"))
-    return o.filter(F.startswith("key", F.lit("www.")) & ~F.contains("key", F.lit(".tmp-")))
+    return objects.listed(o, "www.")
 
 
 def put_if_absent(spark, d):
     """Objects that a conditional create would add: benchmark items whose text no conversation turn has."""
     new = _read(spark, d, "benchmark").select("item_id", F.sha2("text", 256).alias("key"))
     there = _read(spark, d, "conversations").select(F.sha2("text", 256).alias("key"))
-    return new.join(there, "key", "left_anti").select("item_id", "key")
+    return objects.put_if_absent(there, new).select("item_id", "key")
 
 
 def get_range(spark, d):
@@ -342,7 +342,177 @@ def expired_tokens(spark, d):
     return e.crossJoin(F.broadcast(last)).select("event_id", S.expired(F.col("expiry"), F.col("now")).alias("expired"))
 
 
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects by language and number of the documents: key, size."""
+    docs = _read(spark, d, "documents")
+    return docs.select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+
+
+def object_put(spark, d):
+    """A put of an empty object for every benchmark item, under keys of which some are taken."""
+    docs = _read(spark, d, "documents").filter("doc_id % 3 = 0")
+    new = docs.select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("key"), F.lit(0).cast("long").alias("size"))
+    more = _read(spark, d, "benchmark").select(F.concat(F.lit("items/"), F.col("item_id").cast("string")).alias("key"), F.lit(0).cast("long").alias("size"))
+    return objects.put(_objects(spark, d), new.union(more))
+
+
+def object_stat(spark, d):
+    keys = _read(spark, d, "documents").select(F.concat_ws("/", "lang", F.lit("src7"), F.col("doc_id").cast("string")).alias("key"))
+    return objects.stat(_objects(spark, d), keys)
+
+
+def object_delete(spark, d):
+    keys = _read(spark, d, "documents").select(F.concat_ws("/", F.lit("fr"), "source", F.col("doc_id").cast("string")).alias("key"))
+    return objects.delete(_objects(spark, d), keys)
+
+
+def object_prefix(spark, d):
+    return objects.prefixed(_objects(spark, d), "/de/")
+
+
+def _pack_files(spark, d):
+    """The pack files of the documents' blocks, in lanes by the first digit of their ids."""
+    data = _blocks(spark, d, with_data=True).select("blob_id", "data").dropDuplicates(["blob_id"])
+    return packs.files(_packed(spark, d), data)
+
+
+def pack_files(spark, d):
+    return _pack_files(spark, d).select("lane", "pack", "pack_id", "blobs", "size")
+
+
+def pack_entries(spark, d):
+    """What the headers at the packs' tails say."""
+    return packs.entries_of(_pack_files(spark, d))
+
+
+def pack_validity(spark, d):
+    """Packs as they are, cut by a byte, with another magic, and with nothing but a trailer."""
+    f, n = _pack_files(spark, d).select("lane", "pack", "content"), F.octet_length("content")
+    cut = lambda a, b: F.substring(F.col("content"), F.lit(a) if isinstance(a, int) else a, b)
+    cases = {"whole": F.col("content"), "cut": cut(1, n - 1), "magic": F.concat(cut(1, n - 1), F.lit(b"9")), "bare": cut(n - 11, F.lit(12)), "short": cut(1, F.lit(5))}
+    made = [f.select(F.concat_ws("-", "lane", F.col("pack").cast("string"), F.lit(c)).alias("pack_id"), x.alias("content")) for c, x in cases.items()]
+    out = made[0]
+    for m in made[1:]:
+        out = out.union(m)
+    return packs.problems(out)
+
+
+def pack_verified(spark, d):
+    return packs.verified(_pack_files(spark, d))
+
+
+def pack_lookup(spark, d):
+    """The blocks of the edited documents, looked for in the pack that their first digit's lane begins with."""
+    entries = _index(spark, d)
+    asked = chunking.fixed_blocks(_edited(spark, d), BLOCK).select(F.concat(F.substring("blob_id", 1, 1), F.lit("-0")).alias("pack_id"), "blob_id").distinct()
+    return packs.lookup(entries, asked)
+
+
+def rebuild_from_packs(spark, d):
+    """An index from nothing but pack files, those of lane ``0`` lost."""
+    stored = _pack_files(spark, d)
+    return index.rebuild(packs.entries_of(stored), stored.filter("lane <> '0'"))
+
+
+def fetch_blobs(spark, d):
+    """Every block of every document, from the index to its pack and cut out of it."""
+    got = restore.fetch(_blocks(spark, d).select("path", "idx", "blob_id"), _index(spark, d), _stored(spark, d))
+    return got.select("path", "idx", "blob_id", F.octet_length("data").alias("length"), S.is_content(F.col("data"), F.col("blob_id")).alias("ok"))
+
+
+def index_size(spark, d):
+    return index.size(_index(spark, d))
+
+
+def index_delete(spark, d):
+    """The index without what the edited documents still have."""
+    return index.delete(_index(spark, d), chunking.fixed_blocks(_edited(spark, d), BLOCK))
+
+
+def _hashed_index(spark, d):
+    return _index(spark, d).withColumn("pack_id", F.sha2("pack_id", 256))
+
+
+def index_dump(spark, d):
+    return index.dumped(_hashed_index(spark, d)).select("shard", "entries", F.sha2("content", 256).alias("sha256"))
+
+
+def index_load(spark, d):
+    return index.loaded(index.dumped(_hashed_index(spark, d)))
+
+
+def _manifests(spark, d):
+    """A manifest a source: its documents as files, with their blocks."""
+    files = _files(spark, d).select("path", F.octet_length("content").cast("long").alias("size"))
+    rows = snapshots.manifest(_blocks(spark, d), files).join(_read(spark, d, "documents").select(F.col("doc_id").alias("path"), "source"), "path")
+    one = F.struct(F.lpad(F.col("path").cast("string"), 12, "0").alias("path"), "size", F.lit(420).alias("mode"), F.lit("2024-01-01T00:00:00Z").alias("mod_time"), "chunks")
+    out = rows.groupBy("source").agg(F.sort_array(F.collect_list(one)).alias("files"))
+    return out.withColumns({"kind": F.lit("files"), "created_at": F.lit("2024-01-02T03:04:05Z")})
+
+
+def snapshot_ids(spark, d):
+    return snapshots.ids(_manifests(spark, d))
+
+
+def snapshot_integrity(spark, d):
+    """Manifests under the ids that they had; of sources ending in 3 the time was changed since."""
+    m = _manifests(spark, d)
+    late = F.when(F.endswith("source", F.lit("3")), F.lit("2024-01-02T03:04:06Z")).otherwise(F.col("created_at"))
+    return snapshots.broken(m.join(snapshots.ids(m), "source").withColumn("created_at", late))
+
+
+def cdc_stream(spark, d):
+    return chunking.streamed_chunks(_files(spark, d), chunking.SMALL, read=1000)
+
+
+def unreadable_blocks(spark, d):
+    """Blocks read with tokens that ran out, data that is too long and checksums that don't hold."""
+    b = _blocks(spark, d, with_data=True)
+    stated = F.when(F.col("idx") % 5 == 2, F.lit("bad")).otherwise(S.checksum(F.col("data")))
+    data = F.when(F.col("idx") % 5 == 4, F.rpad("data", blocks.BLOCK_SIZE + 1, b"x")).otherwise(F.col("data"))
+    b = b.select("path", "idx", data.alias("data"), stated.alias("checksum"), F.when(F.col("idx") % 5 == 1, F.lit(10.0)).when(F.col("idx") % 5 == 3, F.lit(90.0)).alias("expiry"))
+    return blocks.unreadable(b, F.lit(60.0)).select("path", "idx", "why")
+
+
+def request_costs(spark, d):
+    """What reading a device of a source's documents would take: a gibibyte for each, a block for each character."""
+    docs = _read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("gib"), F.sum("n_chars").alias("written"))
+    out = blocks.costs(docs.select("source", (F.col("gib") * blocks.GIB).alias("size"), "written"))
+    return out.withColumn("usd", F.round("usd", 9))
+
+
+def walk_order(spark, d):
+    """The place of every page's path in a walk of its host, folders in order of their names."""
+    from pyspark.sql import Window
+
+    u = _read(spark, d, "pages").select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-z]+://", "").alias("p"))
+    u = u.withColumn("host", F.substring_index("p", "/", 1))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(S.walk_order(F.col("p")), "page_id"))
+    return u.select("page_id", "host", place.cast("long").alias("place"))
+
+
+def config_validity(spark, d):
+    """Chunk sizes made of the documents' numbers, most of which can't be."""
+    i = F.col("doc_id")
+    docs = _read(spark, d, "documents").select("doc_id", (i % 7 * 64).alias("least"), F.when(i % 3 == 0, F.lit(256)).otherwise(i % 5 * 100).cast("long").alias("average"), (i % 11 * 100).alias("most"), (i % 6 - 1).alias("normalization"), (i % 13).alias("target"))
+    return docs.select("doc_id", S.config_problem(*[F.col(c) for c in ("least", "average", "most", "normalization", "target")]).alias("problem"))
+
+
+def retry_waits(spark, d):
+    docs = _read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 12).alias("attempt"), (F.col("doc_id") % 2 == 1).alias("throttled"))
+    return docs.withColumn("longest", F.round(S.longest_wait(F.col("attempt"), F.col("throttled")), 6))
+
+
+def status_kinds(spark, d):
+    """Documents' numbers taken as answers of a service: the kind of error, and whether to try again."""
+    docs = _read(spark, d, "documents").select("doc_id", S.status_kind(F.col("doc_id") % 250 + 380).alias("kind"))
+    return docs.withColumn("again", S.retryable(F.col("kind")))
+
+
 NAMES = [
+    "object_put object_stat object_delete object_prefix pack_files pack_entries pack_validity pack_verified pack_lookup rebuild_from_packs",
+    "fetch_blobs index_size index_delete index_dump index_load snapshot_ids snapshot_integrity cdc_stream",
+    "unreadable_blocks request_costs walk_order config_validity retry_waits status_kinds",
     "content_address parse_ids fixed_blocks cdc_chunks dedup_stats_fixed dedup_stats_cdc incremental_dedup incremental_stats",
     "index_first_wins index_lookup index_insert rebuild_index pack_assembly pack_sizes shard_histogram shard_stats",
     "snapshot_manifest snapshot_blob_ids list_snapshots latest_snapshot resolve_prefix snapshot_validity",

@@ -82,7 +82,50 @@ def oracles(size: int, target: int) -> dict[str, str]:
     pct = lambda p: f"min(CASE WHEN r = floor((n - 1) * {p / 100}) THEN length END) AS p{p}"
     entries = 'SELECT blob_id, path::VARCHAR AS pack_id, "offset", length FROM b'
     first = f'SELECT blob_id, pack_id, "offset", length FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY pack_id, "offset") AS r FROM ({entries})) WHERE r = 1'
-    return {
+    keyed = "o AS (SELECT lang || '/' || source || '/' || doc_id AS key, octet_length(encode(coalesce(text, '')))::BIGINT AS size, lang, source, doc_id FROM documents)"
+    little = lambda x, n: " || ".join(f"substr(printf('%0{2 * n}X', {x}), {2 * i + 1}, 2)" for i in reversed(range(n)))
+    # Pack files in hex: the blobs, the header as text, its length and the magic.
+    encoded = f"""hd AS (SELECT DISTINCT blob_id, hx FROM b), pj AS (SELECT lane, pack, count(*) AS blobs, string_agg(hx, '' ORDER BY seq) AS body,
+      hex(encode('{{"version":1,"entries":[' || string_agg('{{"id":"' || k.blob_id || '","offset":' || k."offset" || ',"length":' || k.length || '}}', ',' ORDER BY seq) || ']}}')) AS head FROM k JOIN hd ON hd.blob_id = k.blob_id GROUP BY 1, 2),
+    pf AS (SELECT lane, pack, blobs, body || head || {little("length(head) // 2", 4)} || hex(encode('DBPACK01')) AS hx FROM pj),
+    pi AS (SELECT lane, pack, blobs, sha256(unhex(hx)) AS pack_id, (length(hx) // 2)::BIGINT AS size FROM pf)"""
+    with_files = f"{with_index}, {encoded}"
+    manifests = f"""{base}, c AS (SELECT path, string_agg('"' || blob_id || '"', ',' ORDER BY idx) AS x FROM b GROUP BY 1),
+    m AS (SELECT source, string_agg('{{"path":"' || lpad(doc_id::VARCHAR, 12, '0') || '","size":' || octet_length(encode(coalesce(text, ''))) || ',"mode":420,"mod_time":"2024-01-01T00:00:00Z","chunks":' || coalesce('[' || x || ']', 'null') || '}}', ',' ORDER BY lpad(doc_id::VARCHAR, 12, '0')) AS f
+      FROM documents LEFT JOIN c ON c.path = doc_id GROUP BY 1)"""
+    zeros = ",".join(f'"{x}":0' for x in ("files_total", "blocks_total", "bytes_total", "blobs_new", "blobs_deduped", "bytes_new", "bytes_deduped", "packs_written", "duration_ns"))
+    hashed = f"{with_index}, hi AS (SELECT blob_id, sha256(pack_id) AS pack_id, \"offset\", length FROM ix)"
+    status = "CASE WHEN s IN (404) THEN 'not found' WHEN s = 412 THEN 'already exists' WHEN s = 403 THEN 'permission denied' WHEN s IN (429, 503) THEN 'throttled' WHEN s = 409 OR s BETWEEN 500 AND 599 THEN 'transient' WHEN s BETWEEN 400 AND 499 THEN 'invalid' ELSE 'unknown' END"
+    added = {
+        "object_put": f"WITH {keyed} SELECT key, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE size END AS size FROM o UNION ALL SELECT 'items/' || item_id, 0 FROM benchmark",
+        "object_stat": f"WITH {keyed} SELECT lang || '/src7/' || doc_id AS key, source = 'src7' AS there, CASE WHEN source = 'src7' THEN size END AS size FROM o",
+        "object_delete": f"WITH {keyed} SELECT key, size FROM o WHERE lang <> 'fr'",
+        "object_prefix": f"WITH {keyed} SELECT source || '/' || doc_id AS key, size FROM o WHERE lang = 'de'",
+        "pack_files": f"{with_files} SELECT lane, pack, pack_id, blobs, size FROM pi",
+        "pack_entries": f'{with_files} SELECT pack_id, blob_id, "offset", length FROM k JOIN pi ON pi.lane = k.lane AND pi.pack = k.pack',
+        "pack_validity": f"{with_files} SELECT lane || '-' || pack || '-' || c AS pack_id, p AS problem FROM pi, (VALUES ('whole', NULL), ('cut', 'corrupt'), ('magic', 'corrupt'), ('bare', 'corrupt'), ('short', 'corrupt')) AS v(c, p)",
+        "pack_verified": f"{with_files} SELECT pack_id, blobs FROM pi",
+        "pack_lookup": f'{with_index}, {EDITED}, {eb} SELECT a.pack_id, a.blob_id, ix."offset", ix.length FROM (SELECT DISTINCT substr(blob_id, 1, 1) || \'-0\' AS pack_id, blob_id FROM eb) a LEFT JOIN ix ON ix.pack_id = a.pack_id AND ix.blob_id = a.blob_id',
+        "rebuild_from_packs": f"{with_files} SELECT blob_id, pack_id, \"offset\", length FROM k JOIN pi ON pi.lane = k.lane AND pi.pack = k.pack WHERE k.lane <> '0'",
+        "fetch_blobs": f"{base} SELECT path, idx, blob_id, length::INT AS length, true AS ok FROM b",
+        "index_size": f"{base} SELECT count(DISTINCT blob_id) AS blobs FROM b",
+        "index_delete": f"{with_index}, {EDITED}, {eb} SELECT * FROM ix ANTI JOIN eb USING (blob_id)",
+        "index_dump": f"""{hashed} SELECT substr(blob_id, 1, 2) AS shard, count(*) AS entries, sha256(unhex(hex(encode('DBIDX001')) || {little("count(*)", 8)} ||
+            string_agg(blob_id || pack_id || {little('"offset"', 8)} || {little("length", 8)}, '' ORDER BY blob_id))) AS sha256 FROM hi GROUP BY 1""",
+        "index_load": f"{hashed} SELECT * FROM hi",
+        "snapshot_ids": f"{manifests} SELECT source, sha256('{{\"id\":\"\",\"kind\":\"files\",\"created_at\":\"2024-01-02T03:04:05Z\",\"source\":\"' || source || '\",\"files\":[' || f || '],\"stats\":{{{zeros}}}}}') AS id FROM m",
+        "snapshot_integrity": "SELECT DISTINCT source, NOT ends_with(source, '3') AS whole FROM documents",
+        "cdc_stream": f"WITH RECURSIVE {FILES}, {content} SELECT * FROM q",
+        "unreadable_blocks": f"{base} SELECT path, idx, CASE idx % 5 WHEN 1 THEN 'expired' WHEN 4 THEN 'too long' ELSE 'checksum' END AS why FROM b WHERE idx % 5 IN (1, 2, 4)",
+        "request_costs": """SELECT source, count(*) * 1073741824 AS size, sum(n_chars)::BIGINT AS written, count(*) * 2048 AS blocks, ceil(sum(n_chars) / 10000)::BIGINT AS list_requests, sum(n_chars)::BIGINT AS get_requests,
+            round(ceil(sum(n_chars) / 10000) / 1000 * 0.0006::DOUBLE + sum(n_chars)::DOUBLE / 1000 * 0.003::DOUBLE, 9) AS usd FROM documents GROUP BY source""",
+        "walk_order": f"SELECT page_id, split_part(p, '/', 1) AS host, row_number() OVER (PARTITION BY split_part(p, '/', 1) ORDER BY {segments('p')}, page_id) AS place FROM (SELECT page_id, {bare} AS p FROM pages)",
+        "config_validity": """SELECT doc_id, CASE WHEN a <= 0 THEN 'no least size' WHEN v <= a OR m < v THEN 'sizes out of order' WHEN (v & (v - 1)) <> 0 THEN 'average not a power of two' WHEN n NOT BETWEEN 0 AND 3 THEN 'normalization out of range' WHEN t <= 0 THEN 'pack target of no size' END AS problem
+            FROM (SELECT doc_id, doc_id % 7 * 64 AS a, CASE WHEN doc_id % 3 = 0 THEN 256 ELSE doc_id % 5 * 100 END AS v, doc_id % 11 * 100 AS m, doc_id % 6 - 1 AS n, doc_id % 13 AS t FROM documents)""",
+        "retry_waits": "SELECT doc_id, doc_id % 12 AS attempt, doc_id % 2 = 1 AS throttled, round(least(10.0::DOUBLE, 0.1::DOUBLE * pow(2, doc_id % 12) * CASE WHEN doc_id % 2 = 1 THEN 3 ELSE 1 END), 6) AS longest FROM documents",
+        "status_kinds": f"SELECT doc_id, kind, kind IN ('throttled', 'transient') AS again FROM (SELECT doc_id, {status} AS kind FROM (SELECT doc_id, doc_id % 250 + 380 AS s FROM documents))",
+    }
+    return added | {
         "content_address": f"WITH {FILES} SELECT path, sha256(c) AS blob_id, substr(sha256(c), 1, 12) AS short, substr(sha256(c), 1, 2) AS shard, sha256(c) = repeat('0', 64) AS zero FROM f",
         "parse_ids": f"WITH {FILES} SELECT path, CASE WHEN regexp_full_match(t, '[0-9a-fA-F]{{64}}') THEN lower(t) END AS id FROM (SELECT path, CASE WHEN octet_length(c) % 2 = 0 THEN upper(sha256(c)) ELSE decode(c) END AS t FROM f)",
         "fixed_blocks": f'{base} SELECT path, idx, "offset", length, blob_id FROM b',
@@ -127,7 +170,7 @@ def oracles(size: int, target: int) -> dict[str, str]:
         "byte_cap": "SELECT source, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, sum(octet_length(encode(coalesce(text, '')))) > 100000 AS over FROM documents GROUP BY source",
         "safe_paths": f"SELECT page_id, {safe('p')} AS plain, {safe(chr(39) + '../' + chr(39) + ' || p')} AS above, {safe(chr(39) + '/' + chr(39) + ' || p')} AS rooted FROM (SELECT page_id, {bare} AS p FROM pages)",
         "valid_keys": f"SELECT page_id, {key_ok('u')} AS url, {key_ok('p')} AS bare FROM (SELECT page_id, coalesce(url, '') AS u, {bare} AS p FROM pages)",
-        "list_prefix": f"SELECT * FROM (SELECT {bare} AS key, octet_length(encode(html))::BIGINT AS size FROM pages) WHERE starts_with(key, 'www.') AND NOT contains(key, '.tmp-')",
+        "list_prefix": f"SELECT * FROM (SELECT {bare} AS key, octet_length(encode(html))::BIGINT AS size FROM pages) WHERE starts_with(key, 'www.') AND NOT starts_with(regexp_extract(key, '[^/]*$'), '.tmp-')",
         "put_if_absent": "SELECT item_id, sha256(text) AS key FROM benchmark WHERE sha256(text) NOT IN (SELECT sha256(text) FROM conversations WHERE text IS NOT NULL)",
         "get_range": f"""WITH {FILES} SELECT path, substr(h, 21, 32) AS part, substr(h, 2 * (n - n // 10) + 1) AS tail, CASE WHEN n >= 2 THEN substr(h, 2 * (n - 2) + 1) END AS past, '' AS none, NULL::VARCHAR AS before
             FROM (SELECT path, hex(c) AS h, octet_length(c) AS n FROM f)""",
