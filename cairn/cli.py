@@ -33,7 +33,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-bytes", type=int, default=0, help="refuse to read more (0: no limit)")
     p.add_argument("--skip-unreadable", action="store_true", help="skip what can't be read")
     p.add_argument("--chunk-workers", type=int, default=0, help="cores for tasks (0: all)")
-    p.add_argument("--upload-workers", type=int, default=0, help="accepted; tasks write packs")
+    p.add_argument("--upload-workers", type=int, default=0, help="tasks that write packs (0: as Spark deals)")
+    p.add_argument("--estimate", action="store_true", help="tell files, bytes and requests without reading them")
     p.add_argument("-v", action="store_true", help="log more")
     p = command("restore", "write a snapshot's files")
     p.add_argument("--snapshot", required=True, help='id, its first eight characters or more, or "latest"')
@@ -73,46 +74,68 @@ def run(args: argparse.Namespace) -> int:
     spark = session(getattr(args, "chunk_workers", 0) or getattr(args, "workers", 0))
     store, began = LocalStore(args.repo), time.monotonic()
     if args.name == "init":
-        r = Repository.create(spark, store)
-        print(f"initialised repository at {args.repo} (format version {r.config.format_version})")
+        layout = Repository.create(spark, store).config.format_version
+        print(f"new repository below {args.repo}, layout {layout}")
         return 0
     r = Repository.open(spark, store)
-    if args.name == "backup":
-        told = (lambda x: print("progress:", ", ".join(f"{k} {v}" for k, v in x.items()), file=sys.stderr)) if args.v else None
-        s = r.backup(args.source, args.dry_run, args.max_bytes, args.skip_unreadable, progress=told)
-        n = s["stats"]
-        total = n["bytes_new"] + n["bytes_deduped"]
-        print("dry run: nothing was written" if args.dry_run else f"snapshot {s['id'][:16]}")
-        print(f"  files            {n['files_total']}")
-        print(f"  source bytes     {human_bytes(n['bytes_total'])}")
-        print(f"  blobs stored     {n['blobs_new']} ({human_bytes(n['bytes_new'])})")
-        print(f"  blobs deduped    {n['blobs_deduped']} ({human_bytes(n['bytes_deduped'])})")
-        print(f"  dedup ratio      {100 * n['bytes_deduped'] / total if total else 0:.1f}%")
-        print(f"  packs written    {n['packs_written']}")
-        print(f"  duration         {n['duration_ns'] / 1e9:.3f}s")
-    elif args.name == "restore":
-        got = r.restore(args.snapshot, args.target, args.overwrite)
-        print(f"restored {got['files']} files ({human_bytes(got['bytes'])}) from snapshot {got['snapshot'][:16]} in {time.monotonic() - began:.3f}s")
-    elif args.name == "snapshots":
-        known = r.list_snapshots()
-        print(f"{'ID':<18}  {'CREATED':<20}  {'FILES':>8}  {'SIZE':>10}  SOURCE" if known else "no snapshots")
-        for s in known:
-            print(f"{s['id'][:16]:<18}  {s['created_at'][:19].replace('T', ' '):<20}  {s['stats']['files_total']:>8}  {human_bytes(s['stats']['bytes_total']):>10}  {s['source']}")
-    elif args.name == "verify":
-        report = r.verify(args.full)
-        print(report.summary())
-        for p in report.problems:
-            print(f"  problem: {p}", file=sys.stderr)
-        if report.orphan_packs:
-            print(f'  {len(report.orphan_packs)} orphan packs (harmless; "cairn gc" reclaims them)')
-        if not report.ok:
-            raise CairnError(Kind.CORRUPT, "verify", "verification failed")
-    elif args.name == "gc":
-        got = r.collect_garbage(args.dry_run)
-        print(f"{'would reclaim' if got['dry_run'] else 'reclaimed'} {got['packs']} packs ({human_bytes(got['bytes'])})")
+    say = {"backup": backup, "restore": restore, "snapshots": snapshots, "verify": verify, "gc": gc}[args.name]
+    spark.sparkContext.setJobGroup(GROUP, f"cairn {args.name}", interruptOnCancel=True)
+    try:
+        for line in say(r, args):
+            print(line)
+    except KeyboardInterrupt:
+        spark.sparkContext.cancelJobGroup(GROUP)  # tasks that still run stop too
+        raise
+    if args.name in ("backup", "restore"):
+        print(f"in {time.monotonic() - began:.1f} s")
     return 0
 
 
+GROUP = "cairn"
+
+
+def backup(r, args):
+    if args.estimate:
+        e = r.estimate(args.source, args.skip_unreadable)
+        yield f"would read {e['files']} files of {human_bytes(e['bytes'])} and make {e['requests']} requests at most"
+        return
+    told = (lambda x: print(", ".join(f"{k}={v}" for k, v in x.items()), file=sys.stderr)) if args.v else None
+    s = r.backup(args.source, args.dry_run, args.max_bytes, args.skip_unreadable, progress=told, pack_tasks=args.upload_workers)
+    n = s["stats"]
+    yield f"read {n['files_total']} files, {human_bytes(n['bytes_total'])}"
+    yield f"new: {n['blobs_new']} blobs, {human_bytes(n['bytes_new'])}, in {n['packs_written']} packs"
+    total = n["bytes_new"] + n["bytes_deduped"]
+    yield f"known: {n['blobs_deduped']} blobs, {human_bytes(n['bytes_deduped'])}, {100 * n['bytes_deduped'] / total if total else 0:.0f} % of all"
+    yield "kept nothing, as asked (--dry-run)" if args.dry_run else f"kept as {s['id']}"
+
+
+def restore(r, args):
+    got = r.restore(args.snapshot, args.target, args.overwrite)
+    yield f"wrote {got['files']} files, {human_bytes(got['bytes'])}, of {got['snapshot']} below {args.target}"
+
+
+def snapshots(r, args):
+    """A line for each, fields between tabs: id, time, files, bytes, tree."""
+    for s in r.list_snapshots():
+        yield "\t".join([s["id"], s["created_at"], str(s["stats"]["files_total"]), str(s["stats"]["bytes_total"]), s["source"]])
+
+
+def verify(r, args):
+    report = r.verify(args.full)
+    yield report.summary()
+    for p in report.problems:
+        print(p, file=sys.stderr)
+    if report.orphan_packs:
+        yield f"{len(report.orphan_packs)} packs are in no snapshot; gc frees them"
+    if not report.ok:
+        raise CairnError(Kind.CORRUPT, "verify", "the repository is damaged")
+
+
+def gc(r, args):
+    got = r.collect_garbage(args.dry_run)
+    yield f"{'to free' if got['dry_run'] else 'freed'}: {got['packs']} packs, {human_bytes(got['bytes'])}"
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 when done, 1 for a failure, 2 for wrong arguments, 130 when interrupted."""
     try:
@@ -120,7 +143,7 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as e:
         return int(e.code or 0)
     except KeyboardInterrupt:
-        print("interrupted; no snapshot was written", file=sys.stderr)
+        print("stopped; what was begun is not a snapshot", file=sys.stderr)
         return 130
     except Exception as e:
         if kind_of(e) is Kind.CANCELED:

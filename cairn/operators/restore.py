@@ -25,10 +25,9 @@ def rebuild(files: DataFrame, blobs: DataFrame) -> DataFrame:
     A file of nearly 2 GiB or more must be written chunk by chunk instead (``ordered``).
     """
     good = F.min(is_content(F.col("data"), F.col("blob_id"))).alias("good")
-    parts = blobs.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "data"))).alias("p"), good)
+    parts = blobs.groupBy("path").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY idx)").alias("p"), good)
     out = files.select("path", "size").join(parts, "path", "left")
-    # concat of binaries: the parts' bytes, joined in order.
-    content = F.coalesce(F.aggregate(F.col("p.data"), F.lit(b""), lambda a, x: F.concat(a, x)), F.lit(b""))
+    content = F.coalesce("p", F.lit(b""))
     out = out.select("path", "size", content.alias("content"), F.coalesce("good", F.lit(True)).alias("good"))
     return out.select("path", "size", "content", (F.col("good") & (F.octet_length("content") == F.col("size"))).alias("ok"))
 

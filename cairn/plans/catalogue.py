@@ -60,8 +60,7 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """The packs' bytes: pack_id, content, of the index's blobs in the order of their offsets."""
     data = _blocks(spark, d, with_data=True).select("blob_id", "data").dropDuplicates(["blob_id"])
-    parts = _index(spark, d).join(data, "blob_id").groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("p"))
-    return parts.select("pack_id", F.aggregate(F.col("p.data"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    return _index(spark, d).join(data, "blob_id").groupBy("pack_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY offset)").alias("content"))
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:

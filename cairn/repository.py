@@ -209,10 +209,10 @@ class Repository:
 
     # Runs.
 
-    def backup(self, source: str, dry_run: bool = False, max_bytes: int = 0, skip_unreadable: bool = False, hostname: str | None = None, progress: Callable[[dict], None] | None = None) -> dict:
+    def backup(self, source: str, dry_run: bool = False, max_bytes: int = 0, skip_unreadable: bool = False, hostname: str | None = None, progress: Callable[[dict], None] | None = None, pack_tasks: int = 0) -> dict:
         """Store a tree; the snapshot, with an empty id after a dry run.
 
-        ``progress`` is told what tasks observed as they read (files, bytes, chunks), and
+        ``pack_tasks`` bounds the tasks that write packs. ``progress`` is told what tasks observed as they read (files, bytes, chunks), and
         then what of it was new.
         """
         began = time.monotonic_ns()
@@ -231,8 +231,10 @@ class Repository:
         if progress:
             progress({k: stats[k] for k in ("blobs_new", "blobs_deduped")})
         fresh = dedup.new_blobs(ids, self.index_table())
-        plan = packs.assemble(fresh, self.config.pack_target_size, lane_digits=0)
-        written = self._write_packs(plan, chunks, dry_run)
+        # As many lanes as their packs stay mostly full: sixteen of one digit, and so on.
+        lanes = next((d for d in (3, 2, 1) if stats["bytes_new"] >= 4 * 16**d * self.config.pack_target_size), 0)
+        plan = durable(packs.assemble(fresh, self.config.pack_target_size, lane_digits=lanes), "plan")
+        written = self._write_packs(plan, chunks, dry_run, pack_tasks)
         by_path = {r.path: list(r.chunks) for r in snapshots.manifest(ids, listed).collect()}
         entries = [{"path": r.path, "size": r.size, "mode": r.mode, "mod_time": r.mod_time, "chunks": by_path[r.path]} for r in listed.collect()]
         discard(chunks)
@@ -244,11 +246,16 @@ class Repository:
         self.save_index()
         return self.save_snapshot(snapshot)
 
-    def _write_packs(self, plan: DataFrame, chunks: DataFrame, dry_run: bool) -> int:
+    def estimate(self, source: str, skip_unreadable: bool = False) -> dict:
+        """Files, bytes and requests of a backup, from the listing alone."""
+        return dedup.estimate(files.entries(self.spark, source, skip_unreadable), self.config.pack_target_size).first().asDict()
+
+    def _write_packs(self, plan: DataFrame, chunks: DataFrame, dry_run: bool, tasks: int = 0) -> int:
         """Have the packs written, one group of rows to a pack; the number of packs."""
         if dry_run:
             return packs.pack_rows(plan).count()
-        data = chunks.groupBy("blob_id").agg(F.first("data").alias("data"))
+        # Only the data of new blobs is moved, one copy of each from every task.
+        data = chunks.select("blob_id", "data").join(plan.select("blob_id"), "blob_id", "left_semi").dropDuplicates(["blob_id"])
         root = str(self.store.root) if isinstance(self.store, LocalStore) else None
         fsync = getattr(self.store, "fsync", True)
 
@@ -263,7 +270,9 @@ class Repository:
 
         if root is None:
             raise CairnError(Kind.UNSUPPORTED, "backup", "tasks write packs to a folder that they share")
-        done = plan.select("lane", "pack", "seq", "blob_id").join(data, "blob_id").groupBy("lane", "pack").applyInArrow(write, index.SCHEMA).collect()
+        rows = plan.select("lane", "pack", "seq", "blob_id").join(data, "blob_id")
+        rows = rows.repartition(tasks, "lane", "pack") if tasks > 0 else rows
+        done = rows.groupBy("lane", "pack").applyInArrow(write, index.SCHEMA).collect()
         for r in done:
             self.entries.setdefault(r.blob_id, (r.blob_id, r.pack_id, r.offset, r.length))
         return len({r.pack_id for r in done})

@@ -18,7 +18,12 @@ from cairn.repository import INDEX, PACKS, Config, Repository, nanoseconds, now
 from cairn.sources.files import rfc3339
 from cairn.sources.stores import LocalStore
 
-SIZES = {"empty.bin": 0, "tiny.bin": 1, "small.txt": 500, "under-min.bin": 16383, "exactly-min.bin": 16384, "one-chunk.bin": 100 << 10, "many-chunks.bin": 2 << 20, "nested/a/b/deep.bin": 300 << 10, "nested/a/sibling.bin": 64 << 10}
+LIMITS = ChunkerConfig()
+#: Files of sizes at and around each limit of the chunker, alternately in two folders, and some of many chunks.
+SIZES = {f"{'x/' * (i % 3)}s{n}": n for i, n in enumerate(sorted({0, 7, *[limit + d for limit in (LIMITS.min_size, LIMITS.avg_size, LIMITS.max_size) for d in (-1, 0, 1)], 5 * LIMITS.max_size}))}
+
+
+MODED = next(p for p, n in SIZES.items() if n == 7)
 
 
 def fill(root: Path, sizes=SIZES):
@@ -45,13 +50,13 @@ def same(a: Path, b: Path):
 
 
 def test_round_trip(repo, source, tmp_path):
-    os.chmod(source / "tiny.bin", 0o640)
+    os.chmod(source / MODED, 0o640)
     s = repo.backup(str(source))
     assert [f["path"] for f in s["files"]] == sorted(SIZES, key=lambda p: p.split("/"))
     assert s["stats"]["bytes_total"] == sum(SIZES.values()) == s["stats"]["bytes_new"] + s["stats"]["bytes_deduped"]
     got = repo.restore("latest", str(tmp_path / "out"))
     assert got["files"] == len(SIZES) and same(source, tmp_path / "out")
-    a, b = (source / "tiny.bin").stat(), (tmp_path / "out" / "tiny.bin").stat()
+    a, b = (source / MODED).stat(), (tmp_path / "out" / MODED).stat()
     assert a.st_mtime_ns == b.st_mtime_ns and b.st_mode & 0o777 == 0o640
     with pytest.raises(Exception, match="already exists"):
         repo.restore("latest", str(tmp_path / "out"))
@@ -145,6 +150,16 @@ def test_damage_is_found(spark, repo, source):
         repo.verify()
 
 
+def test_lanes(spark, tmp_path):
+    """Enough new bytes are dealt into lanes, and come back."""
+    fill(tmp_path / "many", {f"f{i}": 1 << 18 for i in range(8)})
+    config = Config(created_at=now(), chunker_min_size=256, chunker_avg_size=1024, chunker_max_size=4096, pack_target_size=20_000)
+    r = Repository.create(spark, LocalStore(tmp_path / "r", fsync=False), config)
+    assert r.backup(str(tmp_path / "many"))["stats"]["packs_written"] > 64
+    r.restore("latest", str(tmp_path / "o"))
+    assert same(tmp_path / "many", tmp_path / "o") and r.verify(full=True).ok
+
+
 def test_garbage(spark, repo, source, tmp_path):
     kept = repo.backup(str(source))
     fill(tmp_path / "more", {"m": 1 << 20})
@@ -185,11 +200,27 @@ def test_configs(spark, tmp_path):
         assert e.value.kind is kind
 
 
-@pytest.mark.parametrize("path", ["../escape.txt", "a/../../escape.txt", "/etc/passwd", ""])
+def outside():
+    """Paths that lead, or could lead, out of a target: a step up at each place, roots, nothing, NUL."""
+    parts = ["p", "q", "r"]
+    yield from ("/".join([*parts[:i], "..", *parts[i:]]) for i in range(len(parts) + 1))
+    yield from ("", "/", "/".join(["", *parts]), "p\0q", "..")
+
+
+@pytest.mark.parametrize("path", list(outside()))
 def test_restore_stays_below_its_target(repo, source, tmp_path, path):
+    """A manifest that names such a path is refused before a byte is written."""
+    from cairn.operators import snapshots
     from cairn.repository import safe_path
 
-    assert not safe_path(path) and safe_path("ok/file.txt")
+    assert not safe_path(path) and safe_path("..p/q..")
+    good = repo.backup(str(source))
+    bad = good | {"id": "", "files": [*good["files"][:2], good["files"][0] | {"path": path}]}
+    bad["id"] = snapshots.compute_id(bad)
+    repo.store.put("snapshots/" + bad["id"], snapshots.canonical(bad, indent=2).encode())
+    with pytest.raises(CairnError):
+        repo.restore(bad["id"], str(tmp_path / "t" / "u"))
+    assert not (tmp_path / "t").exists()
 
 
 def test_times():
@@ -200,12 +231,17 @@ def test_times():
 def test_command_line(spark, source, tmp_path, capsys):
     r, out = str(tmp_path / "r"), str(tmp_path / "o")
     assert cli.main(["init", "--repo", r]) == 0 and cli.main(["init", "--repo", r]) == 1
-    assert cli.main(["snapshots", "--repo", r]) == 0 and "no snapshots" in capsys.readouterr().out
-    assert cli.main(["backup", "--repo", r, "--source", str(source)]) == 0
+    capsys.readouterr()
+    assert cli.main(["snapshots", "--repo", r]) == 0 and not capsys.readouterr().out
+    assert cli.main(["backup", "--repo", r, "--source", str(source), "--estimate"]) == 0
+    assert f"{len(SIZES)} files" in capsys.readouterr().out
+    assert cli.main(["backup", "--repo", r, "--source", str(source), "--upload-workers", "2"]) == 0
     assert cli.main(["backup", "--repo", r, "--source", str(source), "--dry-run"]) == 0
     text = capsys.readouterr().out
-    assert "dedup ratio" in text and "dry run" in text
-    assert cli.main(["list", "--repo", r]) == 0 and str(source) in capsys.readouterr().out
+    assert "known: 0 blobs" in text and "new: 0 blobs" in text and "kept nothing" in text
+    assert cli.main(["list", "--repo", r]) == 0
+    fields = capsys.readouterr().out.strip().split("\t")
+    assert len(fields) == 5 and fields[2:] == [str(len(SIZES)), str(sum(SIZES.values())), str(source)]
     assert cli.main(["restore", "--repo", r, "--snapshot", "latest", "--target", out]) == 0 and same(source, Path(out))
     assert cli.main(["verify", "--full", "--repo", r]) == 0 and capsys.readouterr().out.count("ok: 1 snapshots") == 1
     assert cli.main(["gc", "--dry-run", "--repo", r]) == 0 and cli.main(["gc", "--repo", r]) == 0
