@@ -91,7 +91,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tu
     under = pairs.select("_host", "_path", F.explode(levels).alias("_suffix"))
     keys = s.select(F.col("host").alias("_suffix")).distinct()
     under = under.join(keys, "_suffix", "left_semi").withColumn("_key", _reversed(F.col("_suffix")))
-    counted = under.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / rows_per_sweep).cast("int").alias("_sweeps"))
+    counts = durable(under.groupBy("_key").agg(F.count(F.lit(1)).alias("__n")), "suffixes")
+    counted = counts.select("_key", F.ceil(F.col("__n") / rows_per_sweep).cast("int").alias("_sweeps"))
+    total = int(counts.agg(F.sum("__n")).first()[0] or 0)
 
     start = s.select(_reversed(F.col("host")).alias("_key"), F.encode("path", "UTF-8").alias("_at"), F.lit(1).alias("_kind"), "stack")
     # A rule's end gives the stack back as it was before: the rules around it.
@@ -99,7 +101,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tu
     events = start.unionByName(end).join(counted, "_key").withColumn("_sweep", F.explode(F.sequence(F.lit(0), F.col("_sweeps") - 1)))
     none = F.lit(None)
     events = events.select("_key", "_sweep", "_at", "_kind", "stack", none.cast("string").alias("_host"), none.cast("string").alias("_path"))
-    rows = under.join(counted, "_key").select(
+    rows = join_unique(under, counted, "_key", total, inner=True, counts=counts).select(
         "_key",
         F.pmod(F.xxhash64("_host", "_path"), F.col("_sweeps")).cast("int").alias("_sweep"),
         F.encode("_path", "UTF-8").alias("_at"),
@@ -108,8 +110,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tu
         "_host",
         "_path",
     )
-    sweep = Window.partitionBy("_key", "_sweep").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = events.unionByName(rows).withColumn("_stack", F.last("stack", ignorenulls=True).over(sweep)).filter("_kind = 2 and size(_stack) > 0")
+    # One column, so that rows that a join has dealt by suffix are dealt again by sweep.
+    sweep = Window.partitionBy("_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = events.unionByName(rows).withColumn("_part", F.struct("_key", "_sweep")).withColumn("_stack", F.last("stack", ignorenulls=True).over(sweep)).filter("_kind = 2 and size(_stack) > 0")
     top = F.element_at("_stack", -1)
     best = F.max(F.struct(F.length(top["rule"]).alias("n"), (F.length(top["rule"]) - top["n"]).alias("h"), top["rule"].alias("rule"), top["verdict"].alias("verdict")))
     found = swept.groupBy("_host", "_path").agg(best.alias("_best"))

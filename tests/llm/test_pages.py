@@ -143,6 +143,23 @@ def test_nested_rules(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, *want), url
 
 
+def test_a_hot_suffix_is_swept_in_parts(spark, monkeypatch):
+    """However a join has dealt them, the URLs below one suffix are in many tasks."""
+    rows = [(i, f"http://h{i}.com/{i % 50}", None) for i in range(4_000)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plans, write = [], urls.durable
+        monkeypatch.setattr(urls, "durable", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+        out = urls.judge_urls(spark.createDataFrame(rows, PAGE), urls.rule_table(spark), rows_per_sweep=100)
+        assert any("hashpartitioning(_part" in p for p in plans) and out.filter("rule = 'com/' and verdict = 'allow'").count() == 4_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_main_text(spark, data, duck):
     pages = dict(duck.sql("SELECT page_id, html FROM pages").fetchall())
     for r in html.op8_main_text(spark, data).collect():
