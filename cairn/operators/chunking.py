@@ -81,7 +81,7 @@ class ChunkerConfig:
 
 
 SMALL = ChunkerConfig(64, 256, 1024, 2)
-SEGMENT = 1 << 16  # bytes whose hashes fit a core's cache
+SEGMENT = 1 << 15  # bytes whose hashes fit a core's cache
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -93,14 +93,29 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def scan(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, ``rolling`` of the segment there), in buffers that the next segment uses again."""
+    most = min(len(data), SEGMENT + 63)
+    place, hashes, moved = np.empty(most, np.intp), np.empty(most, U), np.empty(most, U)
+    for start in range(0, len(data), SEGMENT):
+        before = min(63, start)
+        part = data[start - before : start + SEGMENT]
+        n = len(part)
+        place[:n] = part
+        h = np.take(GEAR, place[:n], out=hashes[:n], mode="clip")
+        for w in (1, 2, 4, 8, 16, 32):
+            if n > w:
+                np.add(h[w:], np.left_shift(h[:-w], U(w), out=moved[: n - w]), out=h[w:])
+        yield start, h[before:]
+
+
 def _hits(data: np.ndarray, masks: tuple[int, int]) -> list[np.ndarray]:
     """Places whose hash passes each mask; a segment at a time, so memory is bounded."""
     out: list[list[np.ndarray]] = [[], []]
-    for start in range(0, len(data), SEGMENT):
-        before = min(63, start)
-        h = rolling(data[start - before : start + SEGMENT])[before:]
+    held = np.empty(min(len(data), SEGMENT), U)
+    for start, h in scan(data):
         for k, mask in enumerate(masks):
-            out[k].append(np.flatnonzero((h & U(mask)) == 0) + start)
+            out[k].append(np.flatnonzero(np.bitwise_and(h, U(mask), out=held[: len(h)]) == 0) + start)
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
@@ -156,9 +171,8 @@ def cuts_of(files: list[bytes], config: ChunkerConfig) -> list[np.ndarray]:
     sizes = np.array([len(f) for f in files], np.int64)
     data = np.frombuffer(b"".join(files), np.uint8)
     h = np.empty(len(data), U)
-    for start in range(0, len(data), SEGMENT):
-        before = min(63, start)
-        h[start : start + SEGMENT] = rolling(data[start - before : start + SEGMENT])[before:]
+    for start, part in scan(data):
+        h[start : start + len(part)] = part
     strict, loose = (U(m) for m in config.masks)
     never = np.iinfo(np.int64).max
     strict_hits, loose_hits = (np.append(np.flatnonzero((h & m) == 0), never) for m in (strict, loose))
