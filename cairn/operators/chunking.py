@@ -170,12 +170,13 @@ def cuts_of(files: list[bytes], config: ChunkerConfig) -> list[np.ndarray]:
     """
     sizes = np.array([len(f) for f in files], np.int64)
     data = np.frombuffer(b"".join(files), np.uint8)
-    h = np.empty(len(data), U)
+    h = np.zeros(len(data) + 63, U)
     for start, part in scan(data):
         h[start : start + len(part)] = part
+    after = np.lib.stride_tricks.sliding_window_view(h, 63)
     strict, loose = (U(m) for m in config.masks)
     never = np.iinfo(np.int64).max
-    strict_hits, loose_hits = (np.append(np.flatnonzero((h & m) == 0), never) for m in (strict, loose))
+    strict_hits, loose_hits = (np.append(np.flatnonzero((h[: len(data)] & m) == 0), never) for m in (strict, loose))
     first = np.cumsum(sizes) - sizes
     file, at, end = np.arange(len(files)), first.copy(), first + sizes
     keep = sizes > 0
@@ -187,10 +188,15 @@ def cuts_of(files: list[bytes], config: ChunkerConfig) -> list[np.ndarray]:
         go = np.flatnonzero(a < top)
         if len(go):
             b, t, m = a[go], top[go], normal[go]
-            places = b[:, None] + np.arange(63)
-            own = h[np.minimum(places, len(h) - 1)] - (h[b - 1][:, None] << WARM)
-            near = ((own & np.where(places < m[:, None], strict, loose)) == 0) & (places < t[:, None])
-            found = np.where(near.any(axis=1), b + near.argmax(axis=1), never)
+            own = after[b]
+            own -= h[b - 1][:, None] << WARM
+            if config.avg_size - config.min_size >= 63:  # all these tests stand before the average
+                own &= strict
+            else:
+                own &= np.where(b[:, None] + np.arange(63) < m[:, None], strict, loose)
+            near = own == 0
+            step = near.argmax(axis=1)
+            found = np.where(near[np.arange(len(b)), step] & (b + step < t), b + step, never)
             warm = np.minimum(b + 63, t)
             later = strict_hits[np.searchsorted(strict_hits, warm)]
             late = loose_hits[np.searchsorted(loose_hits, np.maximum(warm, m))]
