@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators import blocks, chunking, dedup, index, objects, packs, restore, snapshots, verify
+from cairn.plans.durable import durable
 
 BLOCK = 512
 TARGET = 65_536
@@ -69,9 +70,9 @@ def _refs(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).select(F.lit("s1").alias("snapshot_id"), "blob_id").union(now)
 
 
-def _present(spark: SparkSession, d: str) -> DataFrame:
-    """Packs in the store: lane ``f``'s are lost, and one per lane ``0`` to ``3`` is a stray."""
-    size = _index(spark, d).groupBy("pack_id").agg(F.sum("length").alias("size"))
+def _present(spark: SparkSession, at: DataFrame) -> DataFrame:
+    """Packs in the store of an index: lane ``f``'s are lost, and one per lane ``0`` to ``3`` is a stray."""
+    size = at.groupBy("pack_id").agg(F.sum("length").alias("size"))
     stray = spark.range(4).select(F.concat(F.lit("stray-"), F.col("id").cast("string")).alias("pack_id"), (F.col("id") * 100 + 7).alias("size"))
     return size.filter(~F.startswith("pack_id", F.lit("f"))).union(stray)
 
@@ -134,7 +135,8 @@ def index_insert(spark, d):
 
 
 def rebuild_index(spark, d):
-    return index.rebuild(_index(spark, d), _present(spark, d))
+    at = durable(_index(spark, d), "index")
+    return index.rebuild(at, _present(spark, at))
 
 
 def pack_assembly(spark, d):
@@ -193,15 +195,18 @@ def verify_dangling(spark, d):
 
 
 def verify_missing(spark, d):
-    return verify.missing_packs(_refs(spark, d), _index(spark, d), _present(spark, d))
+    at = durable(_index(spark, d), "index")
+    return verify.missing_packs(_refs(spark, d), at, _present(spark, at))
 
 
 def verify_orphans(spark, d):
-    return verify.orphan_packs(_refs(spark, d), _index(spark, d), _present(spark, d))
+    at = durable(_index(spark, d), "index")
+    return verify.orphan_packs(_refs(spark, d), at, _present(spark, at))
 
 
 def verify_summary(spark, d):
-    return verify.summary(_refs(spark, d), _index(spark, d), _present(spark, d))
+    at = durable(_index(spark, d), "index")
+    return verify.summary(_refs(spark, d), at, _present(spark, at))
 
 
 def verify_full(spark, d):
@@ -216,11 +221,11 @@ def verify_full(spark, d):
 
 def gc_plan(spark, d):
     """What a collection would free: of all present packs, and of those that nothing needs."""
-    refs, at = _blocks(spark, d).select(F.lit("s1").alias("snapshot_id"), "blob_id"), _index(spark, d)
+    refs, at = _blocks(spark, d).select(F.lit("s1").alias("snapshot_id"), "blob_id"), durable(_index(spark, d), "index")
     size = at.groupBy("pack_id").agg(F.sum("length").alias("size"))
-    stray = _present(spark, d).filter(F.startswith("pack_id", F.lit("stray")))
+    stray = _present(spark, at).filter(F.startswith("pack_id", F.lit("stray")))
     whole = verify.reclaimable(refs, at, size.union(stray)).withColumn("case", F.lit("whole"))
-    return whole.union(verify.reclaimable(refs, at, _present(spark, d)).withColumn("case", F.lit("lost")))
+    return whole.union(verify.reclaimable(refs, at, _present(spark, at)).withColumn("case", F.lit("lost")))
 
 
 def restore_files(spark, d):
