@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cairn.functions import scalars as S
 from cairn.operators import blocks, chunking, dedup, index, objects, packs, restore, snapshots, verify
 from cairn.plans.durable import durable
+from cairn.sources import devices
 
 BLOCK = 512
 TARGET = 65_536
@@ -255,6 +256,12 @@ def sparse_blocks(spark, d):
     return blocks.listed(held.select(F.concat("path", F.lit(":"), F.col("idx")).alias("block_index"), "blob_id"))
 
 
+def device_blocks(spark, d):
+    """A device with a block for every document, two of three written, listed and read in tasks."""
+    n = _read(spark, d, "documents").count()
+    return devices.table(spark, devices.BlockSource(devices.PatternService(n), "snap"))
+
+
 def listing_order(spark, d):
     """Places where the conversations' turns, taken as a block listing by their roles' lengths, don't rise."""
     c = _read(spark, d, "conversations").select(F.col("conv_id").alias("snapshot"), F.col("turn").alias("place"), F.length("role").alias("block_index"))
@@ -521,7 +528,7 @@ NAMES = [
     "index_first_wins index_lookup index_insert rebuild_index pack_assembly pack_sizes shard_histogram shard_stats",
     "snapshot_manifest snapshot_blob_ids list_snapshots latest_snapshot resolve_prefix snapshot_validity",
     "verify_dangling verify_missing verify_orphans verify_summary verify_full gc_plan restore_files restore_totals",
-    "changed_blocks sparse_blocks listing_order checksum_verify boundary_resync chunk_size_distribution",
+    "changed_blocks sparse_blocks device_blocks listing_order checksum_verify boundary_resync chunk_size_distribution",
     "backup_estimate byte_cap safe_paths valid_keys list_prefix put_if_absent get_range human_bytes page_sizes pack_keys expired_tokens",
 ]
 

@@ -160,6 +160,7 @@ def oracles(size: int, target: int) -> dict[str, str]:
         "restore_totals": f"WITH {FILES} SELECT count(*) AS files, sum(octet_length(c))::BIGINT AS bytes, 0::BIGINT AS failed FROM f",
         "changed_blocks": f"{base}, {EDITED}, {eb} SELECT eb.path, eb.idx AS block_index, eb.blob_id, b.blob_id IS NULL AS is_new FROM eb LEFT JOIN b ON b.path = eb.path AND b.idx = eb.idx WHERE b.blob_id IS NULL OR b.blob_id <> eb.blob_id",
         "sparse_blocks": f"{base} SELECT path || ':' || idx AS block_index, blob_id FROM b WHERE substr(hx, 1, 2) <> '20'",
+        "device_blocks": "SELECT i AS block_index, sha256('snap ' || i) AS blob_id, length('snap ' || i)::BIGINT AS length FROM range((SELECT count(*) FROM documents)) AS r(i) WHERE i % 3 <> 0",
         "listing_order": "SELECT snapshot, place, block_index FROM (SELECT conv_id AS snapshot, turn AS place, length(role)::INT AS block_index, lag(length(role)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE block_index <= p",
         "checksum_verify": f"{base} SELECT path, idx, base64(unhex(blob_id)) AS checksum, idx <> 3 AS ok FROM b",
         "boundary_resync": f"{base}, p AS (SELECT path, unhex('AB' || hex(c)) AS c FROM f), {blocks('pb', 'p', size)}, {content}, {cdc('w', 'p')} {moved('content', 'q', 'w')} UNION ALL {moved('fixed', 'b', 'pb')}",

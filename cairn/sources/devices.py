@@ -1,15 +1,20 @@
-"""Block devices: a paged listing service, checked reads, and a fake with faults for tests."""
+"""Block devices: a paged listing service, checked reads, a data source that reads in tasks, and fakes."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
 from cairn.errors import CairnError, Kind
 from cairn.operators.blocks import BLOCK_SIZE, LEAST_PAGE, MOST_PAGE, volume_size
+from cairn.plans.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -60,8 +65,11 @@ class BlockSource:
             if not token:
                 return
 
-    def list_blocks(self) -> Iterator[BlockRef]:
-        for b in self._pages(lambda t: self.service.list_blocks(self.snapshot, t, MOST_PAGE)):
+    def list_blocks(self, first: int = 0, end: int | None = None) -> Iterator[BlockRef]:
+        """Written blocks in order, from ``first`` on and before ``end``; pages are asked for as they are needed."""
+        for b in self._pages(lambda t: self.service.list_blocks(self.snapshot, t, MOST_PAGE, first)):
+            if end is not None and b["index"] >= end:
+                return
             yield BlockRef(b["index"], b["token"], b.get("expiry"))
 
     def list_changed(self, since: str) -> Iterator[ChangedRef]:
@@ -96,10 +104,56 @@ def check(data: bytes, stated: str, algorithm: str = "SHA256") -> None:
         raise CairnError(Kind.CORRUPT, "checksum", "doesn't hold")
 
 
-def table(spark, source: BlockSource):
-    """The device as block_index, blob_id, length; blocks are read one by one, never held."""
-    rows = ((r.index, hashlib.sha256(d).hexdigest(), len(d)) for r in source.list_blocks() for d in [source.read_block(r)])
-    return spark.createDataFrame(list(rows), "block_index long, blob_id string, length long")
+DEVICE = "block_index long, blob_id string, length long"
+
+
+class BlockReader(DataSourceReader):
+    """Reads a device in tasks, each a range of block indexes.
+
+    A task lists its own range and reads a block when its token is at hand, so no listing
+    passes through the driver and no token waits longer than the rest of its page. A
+    snapshot doesn't change: a task that runs again gives the same rows.
+    """
+
+    def __init__(self, source: BlockSource, parts: int, with_data: bool):
+        self.source, self.parts, self.with_data = source, parts, with_data
+
+    def partitions(self) -> list[InputPartition]:
+        # Of an empty device there is one range as well: without any, Spark reads one that isn't given.
+        blocks = max(1, -(-self.source.size() // self.source.block_size))
+        step = max(1, -(-blocks // self.parts))
+        return [InputPartition((i, min(i + step, blocks))) for i in range(0, blocks, step)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for ref in self.source.list_blocks(*partition.value):
+            data = self.source.read_block(ref)
+            row = (ref.index, hashlib.sha256(data).hexdigest(), len(data))
+            yield (*row, data) if self.with_data else row
+
+
+def table(spark: SparkSession, source: BlockSource, parts: int = 0, with_data: bool = False) -> DataFrame:
+    """The written blocks of a device: block_index, blob_id, length, and data if asked for.
+
+    ``source`` goes to the tasks, so its service must be one that can be pickled. There are
+    ``parts`` ranges, or four to a core. Nothing is held but a page of the listing and a block.
+    """
+    ship(spark)
+    ranges = parts or 4 * spark.sparkContext.defaultParallelism
+    short = f"cairn-device-{uuid.uuid4().hex}"
+
+    class Device(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return short
+
+        def schema(self) -> str:
+            return DEVICE + (", data binary" if with_data else "")
+
+        def reader(self, schema) -> BlockReader:
+            return BlockReader(source, ranges, with_data)
+
+    spark.dataSource.register(Device)
+    return spark.read.format(short).load()
 
 
 @dataclass
@@ -129,9 +183,9 @@ class FakeService:
     def _expiry(self) -> float | None:
         return None if self.lifetime is None else self.now + self.lifetime
 
-    def list_blocks(self, snapshot: str, token: str | None, page: int) -> dict:
+    def list_blocks(self, snapshot: str, token: str | None, page: int, first: int = 0) -> dict:
         self._call()
-        return self._paged([{"index": i, "token": f"{snapshot}:{i}", "expiry": self._expiry()} for i in sorted(self.snapshots[snapshot])], token)
+        return self._paged([{"index": i, "token": f"{snapshot}:{i}", "expiry": self._expiry()} for i in sorted(self.snapshots[snapshot]) if i >= first], token)
 
     def list_changed(self, first: str, second: str, token: str | None, page: int) -> dict:
         self._call()
@@ -146,3 +200,22 @@ class FakeService:
         data = self.snapshots[snapshot][index]
         stated = base64.b64encode(hashlib.sha256(data).digest()).decode()
         return {"data": data[:-1] + b"!" if index in self.corrupt else data, "length": len(data), "checksum": stated, "algorithm": "SHA256"}
+
+
+@dataclass
+class PatternService:
+    """A device whose blocks follow from their index: ``blocks`` of them, but every ``hole``-th; needs no memory."""
+
+    blocks: int
+    hole: int = 3
+
+    def list_blocks(self, snapshot: str, token: str | None, page: int, first: int = 0) -> dict:
+        start = int(token) if token else first
+        end = min(start + page, self.blocks)
+        rows = [{"index": i, "token": f"{snapshot}:{i}"} for i in range(start, end) if i % self.hole]
+        gib = -(-self.blocks * BLOCK_SIZE // volume_size(1))
+        return {"blocks": rows, "next": str(end) if end < self.blocks else None, "volume_gib": gib}
+
+    def read_block(self, snapshot: str, index: int, token: str) -> dict:
+        data = f"{snapshot} {index}".encode()
+        return {"data": data, "length": len(data), "checksum": base64.b64encode(hashlib.sha256(data).digest()).decode()}

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import threading
 
@@ -151,4 +152,24 @@ def test_block_faults():
 
 
 def test_device_table(spark):
-    assert devices.table(spark, devices.BlockSource(device(), "s1", clock=lambda: 0)).count() == 5
+    source = devices.BlockSource(device(), "s1", clock=lambda: 0)
+    for parts in (0, 1, 3):
+        rows = devices.table(spark, source, parts, with_data=True).collect()
+        assert {r.block_index: bytes(r.data) for r in rows} == source.service.snapshots["s1"]
+        assert all(r.blob_id == hashlib.sha256(r.data).hexdigest() and r.length == len(r.data) for r in rows) and len(rows) == 5
+    assert devices.table(spark, devices.BlockSource(devices.FakeService({"s1": {}}), "s1")).count() == 0
+    assert devices.table(spark, devices.BlockSource(devices.PatternService(0), "s1")).count() == 0
+
+
+def test_device_is_read_in_tasks(spark):
+    source = devices.BlockSource(devices.PatternService(25_000), "s")
+    out = devices.table(spark, source, 7)
+    assert out.rdd.getNumPartitions() == 7
+    assert sorted(r.block_index for r in out.collect()) == [i for i in range(25_000) if i % 3]
+    with pytest.raises(Exception, match="doesn't hold"):
+        devices.table(spark, devices.BlockSource(device(corrupt={9}), "s1", clock=lambda: 0)).collect()
+
+
+def test_listing_of_a_range():
+    s = devices.BlockSource(device(), "s1", clock=lambda: 0)
+    assert [r.index for r in s.list_blocks(3, 9)] == [3, 4] and [r.index for r in s.list_blocks(5)] == [9, 700]
