@@ -54,7 +54,7 @@ def packed(source: str, target: int) -> str:
     ix AS (SELECT blob_id, lane || '-' || pack AS pack_id, "offset", length FROM k)"""
 
 
-def _stats(source: str, extra: str = "", stored: str = "false") -> str:
+def stats(source: str, extra: str = "", stored: str = "false") -> str:
     return f"""SELECT count(*) AS chunks, count(DISTINCT CASE WHEN NOT s THEN blob_id END) AS blobs_new, count(*) - count(DISTINCT CASE WHEN NOT s THEN blob_id END) AS blobs_deduped,
       bytes_new, (sum(length) - bytes_new)::BIGINT AS bytes_deduped, CASE WHEN sum(length) > 0 THEN (sum(length) - bytes_new)::DOUBLE / sum(length)::DOUBLE ELSE 0 END AS dedup_ratio{extra}
       FROM (SELECT *, {stored} AS s FROM {source}), (SELECT coalesce(sum(length), 0)::BIGINT AS bytes_new FROM (SELECT DISTINCT blob_id, length FROM {source} WHERE NOT {stored})) GROUP BY bytes_new"""
@@ -130,10 +130,10 @@ def oracles(size: int, target: int) -> dict[str, str]:
         "parse_ids": f"WITH {FILES} SELECT path, CASE WHEN regexp_full_match(t, '[0-9a-fA-F]{{64}}') THEN lower(t) END AS id FROM (SELECT path, CASE WHEN octet_length(c) % 2 = 0 THEN upper(sha256(c)) ELSE decode(c) END AS t FROM f)",
         "fixed_blocks": f'{base} SELECT path, idx, "offset", length, blob_id FROM b',
         "cdc_chunks": f"WITH RECURSIVE {FILES}, {content} SELECT * FROM q",
-        "dedup_stats_fixed": f"{base} {_stats('b')}",
-        "dedup_stats_cdc": f"WITH RECURSIVE {FILES}, {content} {_stats('q')}",
+        "dedup_stats_fixed": f"{base} {stats('b')}",
+        "dedup_stats_cdc": f"WITH RECURSIVE {FILES}, {content} {stats('q')}",
         "incremental_dedup": f"{base}, {OLD}, {ob} SELECT blob_id, max(length) AS length, count(*) AS copies FROM b WHERE blob_id NOT IN (SELECT blob_id FROM ob) GROUP BY 1",
-        "incremental_stats": f"{base}, {OLD}, {ob}, t AS (SELECT count(*) AS files_total, coalesce(sum(octet_length(c)), 0)::BIGINT AS bytes_total FROM f) SELECT * FROM ({_stats('b', stored='(blob_id IN (SELECT blob_id FROM ob))')}), t",
+        "incremental_stats": f"{base}, {OLD}, {ob}, t AS (SELECT count(*) AS files_total, coalesce(sum(octet_length(c)), 0)::BIGINT AS bytes_total FROM f) SELECT * FROM ({stats('b', stored='(blob_id IN (SELECT blob_id FROM ob))')}), t",
         "index_first_wins": f"{base} {first}",
         "index_lookup": f'{with_index}, {EDITED}, {eb} SELECT path, idx, eb.blob_id, pack_id, ix."offset", ix.length FROM eb LEFT JOIN ix ON ix.blob_id = eb.blob_id',
         "index_insert": f"{base}, {OLD}, {ob} SELECT * FROM ({first}) WHERE blob_id NOT IN (SELECT blob_id FROM ob)",

@@ -4,19 +4,20 @@ import json
 
 import pytest
 
-from cairn.plans import catalogue
+from cairn.plans import catalogue, runs
 from tests.conftest import same_rows
 
-ORACLES = catalogue.oracle_sql()
+QUERIES = catalogue.queries() | runs.queries()
+ORACLES = catalogue.oracle_sql() | runs.oracle_sql()
 
 
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(catalogue.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(name, spark, data, duck):
-    same_rows(catalogue.queries()[name](spark, data), duck, ORACLES[name])
+    same_rows(QUERIES[name](spark, data), duck, ORACLES[name])
 
 
 def test_entry(spark):
@@ -56,7 +57,7 @@ def test_without_the_corpus_operators(tmp_path, pipeline):
     ask = "import __spark_entry__ as e, json; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
     out = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
     names, sql = json.loads(out.stdout.splitlines()[-1])
-    assert names == sorted(catalogue.queries()) and sql == sorted(ORACLES)
+    assert names == sorted(QUERIES) and sql == sorted(ORACLES)
 
 
 def test_restore_and_verify_read_packs(spark, data, monkeypatch):
@@ -70,3 +71,25 @@ def test_restore_and_verify_read_packs(spark, data, monkeypatch):
     assert catalogue.restore_files(spark, data).filter("not ok").count() > 0
     langs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id path", "lang")
     assert catalogue.verify_full(spark, data).join(langs, "path").filter("lang <> 'fr'").count() > 0
+
+
+def test_runs_leave_no_folders(spark, data):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from cairn.plans.durable import shared_root
+
+    runs.tree_files(spark, data)
+    assert not list(Path(urlparse(shared_root(spark)).path, "cairn-runs").iterdir())
+
+
+def test_runs_over_odd_rows(spark, tmp_path):
+    """Null and empty texts are empty files, without language or source they lie in ``none``; no rows make no files."""
+    rows = [(0, None, None, None), (1, "", "en", ""), (2, "é" * 5000, "", "s"), (3, "é" * 5000, "fr", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for n, part in enumerate((docs, docs.limit(0))):
+        part.write.parquet(str(tmp_path / str(n) / "documents.parquet"))
+        back = {r.path: r.size for r in runs.backup_restore(spark, str(tmp_path / str(n))).filter("verified").collect()}
+        assert back == ({} if n else {"none/none/0.txt": 0, "en/none/1.txt": 0, "none/s/2.txt": 10_000, "fr/s/3.txt": 10_000})
+        made = {r.path: r for r in runs.store_objects(spark, str(tmp_path / str(n))).collect()}
+        assert set(made) == (set() if n else {"en/none/1.txt", "none/s/2.txt"})
