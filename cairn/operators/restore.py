@@ -11,11 +11,13 @@ from cairn.functions.scalars import is_content
 def fetch(refs: DataFrame, index: DataFrame, packs: DataFrame) -> DataFrame:
     """path, idx, blob_id, data of referenced blobs, cut from their packs.
 
-    Locations are joined first; a pack's bytes move once to where its entries are.
+    Ids are in lower-case hex and meet as bytes, which are half as long. Locations are joined
+    first; a pack's bytes move once to where its entries are.
     """
-    located = refs.join(index, "blob_id")
+    blob = F.unhex("blob_id").alias("blob")
+    located = refs.select("path", "idx", blob).join(index.select(blob, "pack_id", "offset", "length"), "blob")
     data = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
-    return located.join(packs.select("pack_id", "content"), "pack_id").select("path", "idx", "blob_id", data.alias("data"))
+    return located.join(packs.select("pack_id", "content"), "pack_id").select("path", "idx", F.lower(F.hex("blob")).alias("blob_id"), data.alias("data"))
 
 
 def rebuild(files: DataFrame, blobs: DataFrame) -> DataFrame:

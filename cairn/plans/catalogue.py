@@ -59,10 +59,11 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).select("blob_id", at.alias("pack_id"), "offset", "length")
 
 
-def _stored(spark: SparkSession, d: str) -> DataFrame:
-    """The packs' bytes: pack_id, content, of the index's blobs in the order of their offsets."""
-    data = _blocks(spark, d, with_data=True).select("blob_id", "data").dropDuplicates(["blob_id"])
-    return _index(spark, d).join(data, "blob_id").groupBy("pack_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY offset)").alias("content"))
+def _stored(spark: SparkSession, d: str, at: DataFrame) -> DataFrame:
+    """The packs' bytes: pack_id, content, of an index's blobs in the order of their offsets."""
+    blob = F.unhex("blob_id").alias("blob")
+    data = _blocks(spark, d, with_data=True).select(blob, "data").dropDuplicates(["blob"])
+    return at.select(blob, "pack_id", "offset").join(data, "blob").groupBy("pack_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY offset)").alias("content"))
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +232,8 @@ def gc_plan(spark, d):
 
 def restore_files(spark, d):
     files = _files(spark, d).select("path", F.octet_length("content").cast("long").alias("size"))
-    blobs = restore.fetch(_blocks(spark, d).select("path", "idx", "blob_id"), _index(spark, d), _stored(spark, d))
+    at = _index(spark, d)
+    blobs = restore.fetch(_blocks(spark, d).select("path", "idx", "blob_id"), at, _stored(spark, d, at))
     out = restore.rebuild(files, blobs)
     return out.select("path", "size", S.content_id(F.col("content")).alias("content_id"), "ok")
 
@@ -427,7 +429,8 @@ def rebuild_from_packs(spark, d):
 
 def fetch_blobs(spark, d):
     """Every block of every document, from the index to its pack and cut out of it."""
-    got = restore.fetch(_blocks(spark, d).select("path", "idx", "blob_id"), _index(spark, d), _stored(spark, d))
+    at = _index(spark, d)
+    got = restore.fetch(_blocks(spark, d).select("path", "idx", "blob_id"), at, _stored(spark, d, at))
     return got.select("path", "idx", "blob_id", F.octet_length("data").alias("length"), S.is_content(F.col("data"), F.col("blob_id")).alias("ok"))
 
 
