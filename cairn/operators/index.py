@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.errors import CairnError, Kind
+from cairn.errors import CairnError, Kind, kind_of_os
 from cairn.functions.scalars import shard_of
 
 SCHEMA = "blob_id string, pack_id string, offset long, length long"
@@ -119,3 +120,98 @@ def load(data: bytes) -> list[tuple[str, str, int, int]]:
     return list(out.values())
 
 
+
+
+PART = 100_000
+
+
+def _dtype():
+    import numpy as np
+
+    return np.dtype([("blob_id", "S32"), ("pack_id", "S32"), ("offset", "<u8"), ("length", "<u8")])
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The table of a dump in a file, read by tasks in parts; what ``load`` refuses is refused here."""
+    import numpy as np
+
+    def corrupt(why: str):
+        raise CairnError(Kind.CORRUPT, "index", why)
+
+    try:
+        with open(path, "rb") as f:
+            start, total = f.read(16), os.fstat(f.fileno()).st_size
+    except OSError as e:
+        raise CairnError(kind_of_os(e), "index", e) from e
+    if len(start) < 16 or total < 16 + min(struct.unpack_from("<Q", start, 8)[0], MOST_ENTRIES) * ENTRY.size:
+        load(start)  # says what is wrong
+    (count,) = struct.unpack_from("<Q", start, 8)
+    if start[:8] != MAGIC or count > MOST_ENTRIES:
+        load(start)
+    if total > 16 + count * ENTRY.size:
+        corrupt("bytes after the last entry")
+    kind, size, last, rising = _dtype(), ENTRY.size, b"", True
+    for at in range(0, count, PART):
+        rows = np.fromfile(path, kind, min(PART, count - at), offset=16 + at * size)
+        if ((rows["offset"] | rows["length"]) >> np.uint64(63)).any():
+            corrupt("negative offset or length")
+        ids = np.ascontiguousarray(rows["blob_id"])
+        rising = rising and bool((at == 0 or ids[0] > last) and (ids[1:] > ids[:-1]).all())
+        last = ids[-1]
+
+    def parse(batches):
+        import pyarrow as pa
+
+        def hexed(column):
+            text = np.ascontiguousarray(column).tobytes().hex().encode()
+            return pa.Array.from_buffers(pa.string(), len(column), [None, pa.py_buffer(np.arange(len(column) + 1, dtype=np.int32) * 64), pa.py_buffer(text)])
+
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                for at in range(part * PART, min(count, (part + 1) * PART), 10_000):
+                    rows = np.fromfile(path, _dtype(), min(10_000, count - at), offset=16 + at * size)
+                    cols = [hexed(rows["blob_id"]), hexed(rows["pack_id"]), *(pa.array(rows[c].astype(np.int64)) for c in ("offset", "length"))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(at, at + len(rows)))], names=["blob_id", "pack_id", "offset", "length", "place"])
+
+    parts = -(-count // PART)
+    d = spark.range(0, parts, 1, max(1, min(parts, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(parse, f"{SCHEMA}, place long")
+    if not rising:  # the first of each blob; ids that rise have no other
+        best = F.min(F.struct("place", "pack_id", "offset", "length")).alias("at")
+        d = d.groupBy("blob_id").agg(best).select("blob_id", "at.*")
+    return d.select("blob_id", "pack_id", "offset", "length")
+
+
+def write(index: DataFrame, path: str) -> None:
+    """``dump`` of a table, by blob id, into a file that tasks can open: each writes its shards where they belong."""
+    counts = {r.shard: r.n for r in shard_histogram(index).collect()}
+    begin, at, size = {}, 16, ENTRY.size
+    for shard in sorted(counts):
+        begin[shard], at = at, at + counts[shard] * size
+    with open(path, "wb") as f:
+        f.write(MAGIC + struct.pack("<Q", (at - 16) // size))
+        f.truncate(at)
+    raw = index.select(F.unhex("blob_id").alias("blob_id"), F.unhex("pack_id").alias("pack_id"), "offset", "length")
+
+    def put(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        done: dict[str, int] = {}
+        for batch in batches:
+            rows = np.empty(batch.num_rows, _dtype())
+            for i, name in enumerate(rows.dtype.names):
+                rows[name] = batch.column(i).to_pylist() if i < 2 else batch.column(i).to_numpy()
+            heads = np.frombuffer(rows.tobytes(), np.uint8)[::size]
+            ends = [*(np.flatnonzero(np.diff(heads)) + 1).tolist(), len(rows)]
+            with open(path, "r+b") as f:
+                for a, b in zip([0, *ends], ends, strict=False):
+                    if a < b:
+                        shard = f"{heads[a]:02x}"
+                        f.seek(begin[shard] + done.get(shard, 0) * size)
+                        f.write(rows[a:b].tobytes())
+                        done[shard] = done.get(shard, 0) + b - a
+        yield pa.RecordBatch.from_arrays([pa.array([sum(done.values())], pa.int64())], names=["n"])
+
+    # A task that runs again writes the same bytes to the same places.
+    dealt = raw.repartition(F.substring("blob_id", 1, 1)).sortWithinPartitions("blob_id")
+    dealt.mapInArrow(put, "n long").agg(F.sum("n")).collect()

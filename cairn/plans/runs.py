@@ -97,10 +97,13 @@ def backup_restore(spark: SparkSession, d: str) -> DataFrame:
     """Files that came back from a repository: backed up, verified blob by blob, restored and read again."""
     with Folder(spark) as folder:
         base = _fill(spark, d, folder / "src")
-        Repository.create(spark, LocalStore(folder / "repo", fsync=False), CONFIG).backup(base)
+        first = Repository.create(spark, LocalStore(folder / "repo", fsync=False), CONFIG)
+        first.backup(base)
+        first.close()
         repo = Repository.open(spark, LocalStore(folder / "repo", fsync=False))
         whole = repo.verify(full=True).ok
         repo.restore("latest", str(folder / "out"))
+        repo.close()
         back = files.read(spark, str(folder / "out"))
         return durable(back.select("path", "size", S.content_id(F.col("content")).alias("content_id"), F.lit(whole).alias("verified")), "restored")
 
@@ -112,6 +115,7 @@ def backup_stats(spark: SparkSession, d: str) -> DataFrame:
         repo = Repository.create(spark, LocalStore(folder / "repo", fsync=False), CONFIG)
         names = ["files_total", "bytes_total", "blobs_new", "blobs_deduped", "bytes_new", "bytes_deduped"]
         told = [repo.backup(base)["stats"] for _ in range(2)]
+        repo.close()
     rows = [(run, *[stats[n] for n in names]) for run, stats in enumerate(told, 1)]
     return spark.createDataFrame(rows, "run long, " + ", ".join(f"{n} long" for n in names))
 
@@ -122,12 +126,13 @@ def garbage_collected(spark: SparkSession, d: str) -> DataFrame:
         base = _fill(spark, d, folder / "src")
         repo = Repository.create(spark, LocalStore(folder / "repo", fsync=False), CONFIG)
         snapshot = repo.backup(base)
-        held = sum(n for _, n in repo.present_packs()[0])
+        held = repo.packs().agg(F.sum("size")).first()[0] or 0
         tried = repo.collect_garbage()
         repo.store.delete(f"snapshots/{snapshot['id']}")
         orphans = len(repo.verify().orphan_packs)
         gone = repo.collect_garbage()
-        row = (tried["packs"], gone["packs"] == orphans == snapshot["stats"]["packs_written"], gone["bytes"] == held, len(repo.present_packs()[0]), len(repo.entries))
+        row = (tried["packs"], gone["packs"] == orphans == snapshot["stats"]["packs_written"], gone["bytes"] == held, repo.packs().count(), repo.index_table().count())
+        repo.close()
     return spark.createDataFrame([row], "packs_freed_before long, all_packs_freed boolean, all_bytes_freed boolean, packs_left long, blobs_left long")
 
 

@@ -5,15 +5,21 @@ them into packs and has tasks write the pack files; the manifest comes last, by
 creation, and makes the run visible. The index is an object that can always be rebuilt from
 the packs' headers, and entries count only for packs that exist, so a run that died leaves
 packs that a later one adopts or a collection removes.
+
+The driver holds names and sizes of packs. Files, blobs and index entries stay in tables: the tree is
+listed, the index read and written, and manifests are read in tasks. Only a manifest's text passes
+through the driver when it is written, part by part, since its id is one hash of it all.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import socket
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
@@ -26,7 +32,7 @@ from cairn.operators import dedup, index, packs, snapshots
 from cairn.operators.chunking import ChunkerConfig, cdc_chunks
 from cairn.plans.durable import discard, durable
 from cairn.sources import files
-from cairn.sources.stores import LocalStore, Store
+from cairn.sources.stores import HIDDEN, LocalStore, Store
 
 CONFIG, INDEX, SNAPSHOTS, PACKS = "config", "index/index", "snapshots/", "packs/"
 VERSION = 1
@@ -69,6 +75,29 @@ def is_id(text: str) -> bool:
     return len(text) == 64 and all(c in "0123456789abcdefABCDEF" for c in text)
 
 
+class Fetched(Sequence):
+    """A list whose members come from where they are kept whenever it is looked into."""
+
+    def __init__(self, fetch: Callable[[], Iterable], size: int | None = None):
+        self.fetch, self.size = fetch, size
+
+    def __iter__(self) -> Iterator:
+        return iter(self.fetch())
+
+    def __len__(self) -> int:
+        if self.size is None:
+            self.size = sum(1 for _ in self)
+        return self.size
+
+    def __getitem__(self, i):
+        return list(self)[i]
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Sequence) and len(self) == len(other) and all(a == b for a, b in zip(self, other, strict=True))
+
+    __hash__ = None
+
+
 @dataclass
 class Report:
     """What verification found; orphans never make it fail."""
@@ -77,9 +106,9 @@ class Report:
     packs: int = 0
     blobs_referenced: int = 0
     blobs_read: int = 0
-    missing_packs: list[str] = field(default_factory=list)
-    dangling_blobs: list[str] = field(default_factory=list)
-    orphan_packs: list[str] = field(default_factory=list)
+    missing_packs: Sequence[str] = field(default_factory=list)
+    dangling_blobs: Sequence[str] = field(default_factory=list)
+    orphan_packs: Sequence[str] = field(default_factory=list)
     problems: list[str] = field(default_factory=list)
 
     @property
@@ -94,18 +123,25 @@ class Report:
 
 
 class Repository:
-    """Opened with ``create`` or ``open``; ``root`` is where tasks write packs, on a shared path."""
+    """Opened with ``create`` or ``open``; ``root`` is where tasks write packs, on a shared path.
+
+    ``tables`` hold the index, each blob in one of them; ``close`` deletes them.
+    """
 
-    def __init__(self, spark: SparkSession, store: Store, config: Config, entries: list[tuple]):
+    def __init__(self, spark: SparkSession, store: Store, config: Config):
         self.spark, self.store, self.config = spark, store, config
-        self.entries = {e[0]: e for e in entries}
+        self.tables: list[DataFrame] = []
+
+    def close(self) -> None:
+        discard(*self.tables)
+        self.tables = []
 
     @classmethod
     def create(cls, spark: SparkSession, store: Store, config: Config | None = None) -> Repository:
         config = (config or Config(created_at=now())).validate()
         if not store.create(CONFIG, json.dumps(asdict(config), indent=2).encode()):
             raise CairnError(Kind.ALREADY_EXISTS, "init", "there is one already")
-        return cls(spark, store, config, [])
+        return cls(spark, store, config)
 
     @classmethod
     def open(cls, spark: SparkSession, store: Store) -> Repository:
@@ -120,16 +156,15 @@ class Repository:
             config = Config(**{k: known[k] for k in Config.__dataclass_fields__ if k in known})
         except (ValueError, TypeError) as e:
             raise CairnError(Kind.CORRUPT, "open", e) from e
-        out = cls(spark, store, config.validate(), [])
-        present = {p for p, _ in out.present_packs()[0]}
+        out = cls(spark, store, config.validate())
+        present = out.packs()
         try:
-            out.entries = {e[0]: e for e in index.load(store.get(INDEX)) if e[1] in present}
-            stale = present - {e[1] for e in out.entries.values()}
+            stored = index.read(spark, out.path(INDEX)).join(present, "pack_id", "left_semi").select("blob_id", "pack_id", "offset", "length")
+            out.tables = [durable(stored, "index")]
         except CairnError as e:
             if e.kind not in (Kind.NOT_FOUND, Kind.CORRUPT):
                 raise
-            out.entries, stale = {}, present
-        out.adopt(sorted(stale))
+        out.adopt(present.join(out.index_table().select("pack_id").distinct(), "pack_id", "left_anti"))
         return out
 
     # Packs and index.
@@ -142,32 +177,70 @@ class Repository:
             (good if is_id(name) else stray).append((name, o.size) if is_id(name) else o.key)
         return good, stray
 
-    def header(self, pack_id: str, size: int) -> list[dict]:
-        return packs.read_header(lambda o, n: self.store.get_range(pack_key(pack_id), o, n), size)
+    def path(self, key: str) -> str:
+        """Where tasks find an object."""
+        if not isinstance(self.store, LocalStore):
+            raise CairnError(Kind.UNSUPPORTED, "repository", "tasks read and write packs in a folder that they share")
+        return str(self.store._path(key).absolute())
+
+    def packs(self) -> DataFrame:
+        """pack_id, size of the packs in the store."""
+        import pyarrow as pa
 
-    def adopt(self, pack_ids: list[str]) -> None:
+        found = [(o.key.rpartition("/")[2], o.size) for o in self.store.list(PACKS) if is_id(o.key.rpartition("/")[2])]
+        columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.int64()))]
+        return self.spark.createDataFrame(pa.table(columns, names=["pack_id", "size"]))
+
+    def headers(self, present: DataFrame) -> DataFrame:
+        """The index entries that packs (pack_id, size) hold, by their headers."""
+        root = self.path(CONFIG).removesuffix(CONFIG)
+
+        def read(batches):
+            import pyarrow as pa
+
+            store = LocalStore(root)
+            for batch in batches:
+                for p, size in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                    found = packs.read_header(lambda o, n, p=p: store.get_range(pack_key(p), o, n), size)
+                    cols = [[e["id"] for e in found], [p] * len(found), [e["offset"] for e in found], [e["length"] for e in found]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 2 + [pa.int64()] * 2, strict=True)], names=["blob_id", "pack_id", "offset", "length"])
+
+        dealt = present.select("pack_id", "size").repartition(4 * self.spark.sparkContext.defaultParallelism)
+        return dealt.mapInArrow(read, index.SCHEMA)
+
+    def adopt(self, present: DataFrame) -> None:
         """Take packs into the index by their headers; the first to hold a blob keeps it."""
-        for p in pack_ids:
-            for e in self.header(p, self.store.stat(pack_key(p)).size):
-                self.entries.setdefault(e["id"], (e["id"], p, e["offset"], e["length"]))
+        if not present.isEmpty():
+            self.tables.append(durable(index.insert(self.index_table(), self.headers(present)), "adopted"))
 
     def rebuild_index(self) -> None:
-        self.entries = {}
-        self.adopt(sorted(p for p, _ in self.present_packs()[0]))
+        self.close()
+        self.adopt(self.packs())
         self.save_index()
 
     def save_index(self) -> None:
-        self.store.put(INDEX, index.dump(self.entries[k] for k in sorted(self.entries)))
+        self.path(INDEX)
+        self.store.fill(INDEX, functools.partial(index.write, self.index_table()))
 
     def index_table(self) -> DataFrame:
-        return self.spark.createDataFrame(list(self.entries.values()), index.SCHEMA)
+        if len(self.tables) > 8:  # a plan of many runs would be long
+            whole = durable(functools.reduce(DataFrame.unionAll, self.tables), "index")
+            discard(*self.tables)
+            self.tables = [whole]
+        return functools.reduce(DataFrame.unionAll, self.tables) if self.tables else self.spark.createDataFrame([], index.SCHEMA)
+
+    @property
+    def entries(self) -> dict[str, tuple]:
+        """All of the index on the driver, for repositories that fit there."""
+        return {r.blob_id: tuple(r) for r in self.index_table().collect()}
 
     def blob(self, blob_id: str) -> bytes:
         import hashlib
 
-        if blob_id not in self.entries:
+        at = self.index_table().filter(F.col("blob_id") == blob_id).first()
+        if at is None:
             raise CairnError(Kind.NOT_FOUND, "blob", blob_id[:12])
-        _, p, o, n = self.entries[blob_id]
+        _, p, o, n = at
         data = self.store.get_range(pack_key(p), o, n)
         if hashlib.sha256(data).hexdigest() != blob_id:
             raise CairnError(Kind.CORRUPT, "blob", f"{blob_id[:12]} doesn't hash to its id")
@@ -175,16 +248,46 @@ class Repository:
 
     # Manifests.
 
-    def save_snapshot(self, snapshot: dict) -> dict:
-        snapshots.validate(snapshot)
-        snapshot = snapshot | {"id": snapshots.compute_id(snapshot)}
-        self.store.create(SNAPSHOTS + snapshot["id"], snapshots.canonical(snapshot, indent=2).encode())
-        return snapshot
+    def save_snapshot(self, snapshot: dict, rows: DataFrame) -> dict:
+        """Store a manifest of ``rows`` (path, size, mode, mod_time, chunks); it comes back with its id, and ``files`` that are fetched."""
+        import hashlib
+
+        self.path(SNAPSHOTS + "x")
+        bare, empty = snapshot | {"id": "", "files": []}, rows.isEmpty()
+        snapshots.validate(bare)
+        compact, indented = (((snapshots.canonical(bare, n), "") if empty else snapshots.around(bare, "files", n)) for n in (None, 2))
+        now, id_ = hashlib.sha256(compact[0].encode()), ""
+
+        def write(path: str) -> None:
+            nonlocal id_
+            # The id stands before what it is the hash of: its place is filled in at the end.
+            hole = "0" * 64
+            begin = indented[0].replace('"id": ""', f'"id": "{hole}"', 1).encode()
+            with open(path, "wb") as f:
+                f.write(begin)
+                if not empty:
+                    for i, r in enumerate(snapshots.texts(snapshots.ordered(rows), 2).toLocalIterator(prefetchPartitions=True)):
+                        now.update(((snapshots.between() if i else "") + r.compact).encode())
+                        f.write(((snapshots.between(2) if i else "") + r.indented).encode())
+                now.update(compact[1].encode())
+                f.write(indented[1].encode())
+                id_ = now.hexdigest()
+                f.seek(begin.index(hole.encode()))
+                f.write(id_.encode())
+
+        spare = f"{SNAPSHOTS}{HIDDEN}{uuid.uuid4().hex}"  # named when its id is known
+        self.store.fill(spare, write)
+        try:
+            self.store.fill(SNAPSHOTS + id_, lambda path: os.replace(self.path(spare), path), anew=True)
+        finally:
+            self.store.delete(spare)
+        return bare | {"id": id_, "files": Fetched(lambda: self.load_snapshot(id_)["files"], snapshot["stats"]["files_total"])}
 
     def load_snapshot(self, snapshot_id: str) -> dict:
         try:
             s = json.loads(self.store.get(SNAPSHOTS + snapshot_id))
-            for f in s.get("files") or []:
+            s["files"] = s.get("files") or []
+            for f in s["files"]:
                 f["chunks"] = f["chunks"] or []
         except (ValueError, KeyError, TypeError) as e:
             raise CairnError(Kind.CORRUPT, "snapshot", e) from e
@@ -193,7 +296,30 @@ class Repository:
         return s
 
     def list_snapshots(self) -> list[dict]:
-        return [self.load_snapshot(o.key[len(SNAPSHOTS) :]) for o in sorted(self.store.list(SNAPSHOTS), key=lambda o: o.key)]
+        """Each manifest by id, read and checked in tasks; ``files`` and ``blocks`` are fetched when they are looked into."""
+        names = sorted(o.key.removeprefix(SNAPSHOTS) for o in self.store.list(SNAPSHOTS))
+        paths = [(self.path(SNAPSHOTS + n),) for n in names]
+
+        def check(row):
+            try:
+                return json.dumps(snapshots.head(row.file)), None, None
+            except CairnError as e:
+                return None, e.kind.value, str(e.cause)
+
+        out = []
+        if paths:
+            d = self.spark.createDataFrame(paths, "file string").repartition(min(len(paths), 4 * self.spark.sparkContext.defaultParallelism))
+            for doc, kind, why in d.rdd.map(check).collect():
+                if doc is None:
+                    raise CairnError(Kind(kind), "snapshot", why)
+                out.append(json.loads(doc))
+        lazy = lambda s, k: Fetched(lambda: self.load_snapshot(s["id"]).get(k) or [])
+        return [s | {k: lazy(s, k) for k in ("files", "blocks")} for s in sorted(out, key=lambda s: s["id"])]
+
+    def references(self, known: list[dict]) -> DataFrame:
+        """snapshot, place, path, size, mode, mod_time, chunks of manifests that were listed."""
+        paths = self.spark.createDataFrame([(self.path(SNAPSHOTS + s["id"]),) for s in known], "file string")
+        return snapshots.rows(paths.repartition(max(1, min(len(known), 4 * self.spark.sparkContext.defaultParallelism))))
 
     def resolve(self, ref: str) -> dict:
         known = self.list_snapshots()
@@ -216,9 +342,9 @@ class Repository:
         then what of it was new.
         """
         began = time.monotonic_ns()
-        tree = files.read(self.spark, source, skip_unreadable)
         listed = files.entries(self.spark, source, skip_unreadable)
         dedup.check_byte_cap(listed, max_bytes)
+        tree = files.read(self.spark, source, skip_unreadable, listed=listed)
         # Chunked once: ids and bytes are written, so that what is hashed is what is packed.
         seen, cut = Observation(), Observation()
         tree = tree.observe(seen, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
@@ -235,16 +361,17 @@ class Repository:
         lanes = next((d for d in (3, 2, 1) if stats["bytes_new"] >= 4 * 16**d * self.config.pack_target_size), 0)
         plan = durable(packs.assemble(fresh, self.config.pack_target_size, lane_digits=lanes), "plan")
         written = self._write_packs(plan, chunks, dry_run, pack_tasks)
-        by_path = {r.path: list(r.chunks) for r in snapshots.manifest(ids, listed).collect()}
-        entries = [{"path": r.path, "size": r.size, "mode": r.mode, "mod_time": r.mod_time, "chunks": by_path[r.path]} for r in listed.collect()]
-        discard(chunks)
+        rows = durable(listed.join(snapshots.manifest(ids, listed).select("path", "chunks"), "path"), "manifest")
+        discard(chunks, plan)
         keys = ("files_total", "bytes_total", "blobs_new", "blobs_deduped", "bytes_new", "bytes_deduped")
         numbers = {k: stats[k] for k in keys} | {"blocks_total": 0, "packs_written": written, "duration_ns": time.monotonic_ns() - began}
-        snapshot = {"id": "", "kind": "files", "created_at": now(), "source": os.path.abspath(source), "hostname": hostname or socket.gethostname(), "files": entries, "stats": numbers}
+        snapshot = {"id": "", "kind": "files", "created_at": now(), "source": os.path.abspath(source), "hostname": hostname or socket.gethostname(), "stats": numbers}
         if dry_run:
-            return snapshot
+            return snapshot | {"files": Fetched(lambda: (r.asDict() for r in snapshots.ordered(rows).toLocalIterator()), stats["files_total"])}
         self.save_index()
-        return self.save_snapshot(snapshot)
+        saved = self.save_snapshot(snapshot, rows)
+        discard(rows)
+        return saved
 
     def estimate(self, source: str, skip_unreadable: bool = False) -> dict:
         """Files, bytes and requests of a backup, from the listing alone."""
@@ -272,10 +399,11 @@ class Repository:
             raise CairnError(Kind.UNSUPPORTED, "backup", "tasks write packs to a folder that they share")
         rows = plan.select("lane", "pack", "seq", "blob_id").join(data, "blob_id")
         rows = rows.repartition(tasks, "lane", "pack") if tasks > 0 else rows
-        done = rows.groupBy("lane", "pack").applyInArrow(write, index.SCHEMA).collect()
-        for r in done:
-            self.entries.setdefault(r.blob_id, (r.blob_id, r.pack_id, r.offset, r.length))
-        return len({r.pack_id for r in done})
+        done = durable(rows.groupBy("lane", "pack").applyInArrow(write, index.SCHEMA), "written")
+        written = done.agg(F.count_distinct("pack_id")).first()[0]
+        if written:
+            self.tables.append(done)
+        return written
 
     def restore(self, ref: str, target: str, overwrite: bool = False) -> dict:
         """Write a snapshot's files below ``target``, each checked against its ids and size."""
@@ -283,71 +411,107 @@ class Repository:
         if snapshot["kind"] != "files":
             raise CairnError(Kind.UNSUPPORTED, "restore", "a blocks snapshot has no files")
         base = Path(target).resolve()
-        rows = snapshot.get("files") or []
-        for f in rows:
-            if not safe_path(f["path"]):
-                raise CairnError(Kind.INVALID, "restore", f["path"])
-        locations = {c: self.entries.get(c) for f in rows for c in f["chunks"]}
-        lost = [c for c, at in locations.items() if at is None]
+        rows = durable(self.references([snapshot]), "files")
+        parts = F.split("path", "/")
+        bad = rows.filter((F.length("path") == 0) | F.startswith("path", F.lit("/")) | F.contains("path", F.lit("\0")) | F.array_contains(parts, "..")).first()
+        if bad:
+            raise CairnError(Kind.INVALID, "restore", bad.path)
+        # A file's blobs with their locations are gathered, in order; all are known before a byte is written.
+        refs = rows.select("place", F.posexplode("chunks").alias("idx", "blob_id"))
+        at = F.struct("idx", "blob_id", "pack_id", "offset", "length")
+        found = refs.join(self.index_table(), "blob_id", "left").groupBy("place").agg(F.sort_array(F.collect_list(at)).alias("parts"))
+        work = durable(rows.drop("chunks", "snapshot").join(found, "place", "left"), "work")
+        lost = work.select(F.explode("parts").alias("p")).filter("p.pack_id IS NULL").agg(F.count_distinct("p.blob_id")).first()[0]
         if lost:
-            raise CairnError(Kind.NOT_FOUND, "restore", f"{len(lost)} blobs are not in the index")
-        root, total = str(self.store.root), 0
-        work = [(f["path"], f["size"], f["mode"], f["mod_time"], [[c, *locations[c][1:]] for c in f["chunks"]]) for f in rows]
-        schema = "path string, size long, mode int, mod_time string, parts array<struct<blob_id: string, pack_id: string, offset: long, length: long>>"
+            raise CairnError(Kind.NOT_FOUND, "restore", f"{lost} blobs are not in the index")
+        root = str(self.store.root)
         base.mkdir(parents=True, exist_ok=True)
         where = str(base)
 
         def put(row):
-            return write_file(LocalStore(root), where, row, overwrite)
+            return 1, write_file(LocalStore(root), where, row, overwrite)
 
-        if work:
-            d = self.spark.createDataFrame(work, schema)
-            total = d.repartition(max(1, min(len(work), 4 * self.spark.sparkContext.defaultParallelism)), "path").rdd.map(put).sum()
-        return {"files": len(rows), "bytes": int(total), "snapshot": snapshot["id"]}
+        count, total = work.rdd.map(put).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        discard(rows, work)
+        return {"files": count, "bytes": int(total), "snapshot": snapshot["id"]}
 
     def verify(self, full: bool = False) -> Report:
         """Look for references without blobs, blobs without packs and packs without references."""
-        present, stray = self.present_packs()
-        report = Report(packs=len(present), problems=[f"{k} is not a pack" for k in sorted(stray)])
+        return self._inspect(full)[0]
+
+    def _inspect(self, full: bool = False) -> tuple[Report, DataFrame]:
+        """The report, and pack_id, size of the packs that nothing references."""
+        stray = [o.key for o in self.store.list(PACKS) if not is_id(o.key.rpartition("/")[2])]
+        present = self.packs()
+        report = Report(packs=present.count(), problems=[f"{k} is not a pack" for k in sorted(stray)])
         known = self.list_snapshots()
         report.snapshots = len(known)
-        referenced = dict.fromkeys(c for s in known for f in s.get("files") or [] for c in f["chunks"]) | dict.fromkeys(b["blob"] for s in known for b in s.get("blocks") or [])
-        report.blobs_referenced = len(referenced)
-        there, used, missing = {p for p, _ in present}, set(), set()
-        on_disk = self._stored_index()
-        for b in referenced:
-            at = on_disk.get(b)
-            if at is None:
-                report.dangling_blobs.append(b)
-                continue
-            used.add(at[1])
-            if at[1] not in there:
-                missing.add(at[1])
-            elif full:
-                try:
-                    self.entries[b] = at
-                    self.blob(b)
-                    report.blobs_read += 1
-                except CairnError as e:
-                    report.problems.append(str(e))
-        report.missing_packs, report.orphan_packs = sorted(missing), sorted(there - used)
-        report.dangling_blobs.sort()
-        return report
-
-    def _stored_index(self) -> dict[str, tuple]:
-        """What the index object says, packs that are gone included."""
-        try:
-            return {e[0]: e for e in index.load(self.store.get(INDEX))} | self.entries
-        except CairnError:
-            return dict(self.entries)
+        if not known:
+            report.orphan_packs = self._fetched(present.select("pack_id"))
+            return report, present
+        referenced = self.references(known).select(F.explode("chunks").alias("blob_id")).distinct()
+        at = durable(referenced.join(self.index_table(), "blob_id", "left"), "located")
+        other = at.filter("pack_id IS NULL").select("blob_id")
+        if not other.isEmpty():  # what the index object says, packs that are gone included
+            try:
+                other = other.join(index.read(self.spark, self.path(INDEX)), "blob_id", "left")
+                first = at
+                at = durable(first.filter("pack_id IS NOT NULL").unionByName(other), "located")
+                discard(first)
+            except CairnError as e:
+                if e.kind not in (Kind.NOT_FOUND, Kind.CORRUPT):
+                    raise
+        report.blobs_referenced = at.count()
+        used = at.filter("pack_id IS NOT NULL").select("pack_id").distinct()
+        report.dangling_blobs = self._fetched(at.filter("pack_id IS NULL").select("blob_id"))
+        report.missing_packs = self._fetched(used.join(present, "pack_id", "left_anti"))
+        orphans = present.join(used, "pack_id", "left_anti")
+        orphans = self.spark.createDataFrame(orphans.toArrow())  # no longer read from what goes
+        report.orphan_packs = self._fetched(orphans.select("pack_id"))
+        if full:
+            read = durable(self._read_blobs(at.join(present, "pack_id", "left_semi").select("blob_id", "pack_id", "offset", "length")), "read")
+            report.blobs_read = read.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            report.problems += [r.problem for r in read.filter("problem IS NOT NULL").collect()]
+            discard(read)
+        if not report.dangling_blobs and not report.missing_packs:
+            discard(at)  # else the report fetches from it
+        return report, orphans
+
+    @staticmethod
+    def _fetched(names: DataFrame) -> Sequence[str]:
+        n = names.count()
+        return Fetched(lambda: (r[0] for r in names.orderBy(names.columns[0]).toLocalIterator()), n) if n else []
+
+    def _read_blobs(self, at: DataFrame) -> DataFrame:
+        """n, problem: how many blobs were read and hashed to their ids, and a row for each that didn't."""
+        root = str(self.store.root)
+
+        def read(batches):
+            import hashlib
+
+            import pyarrow as pa
+
+            store = LocalStore(root)
+            for batch in batches:
+                good, bad = 0, []
+                for b, p, o, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    try:
+                        if hashlib.sha256(store.get_range(pack_key(p), o, n)).hexdigest() != b:
+                            raise CairnError(Kind.CORRUPT, "blob", f"{b[:12]} doesn't hash to its id")
+                        good += 1
+                    except CairnError as e:
+                        bad.append(str(e))
+                yield pa.RecordBatch.from_arrays([pa.array([good] + [0] * len(bad), pa.int64()), pa.array([None, *bad], pa.string())], names=["n", "problem"])
+
+        # One pack's blobs lie in one task, in their order.
+        return at.repartition("pack_id").sortWithinPartitions("pack_id", "offset").mapInArrow(read, "n long, problem string")
 
     def collect_garbage(self, dry_run: bool = False) -> dict:
         """Delete packs that nothing references; refused unless the repository verifies."""
-        report = self.verify()
+        report, orphans = self._inspect()
         if not report.ok:
             raise CairnError(Kind.CORRUPT, "gc", report.summary())
-        sizes = dict(self.present_packs()[0])
-        out = {"packs": len(report.orphan_packs), "bytes": sum(sizes[p] for p in report.orphan_packs), "dry_run": dry_run}
+        out = {"packs": len(report.orphan_packs), "bytes": orphans.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], "dry_run": dry_run}
         if not dry_run and report.orphan_packs:
             # The index goes first: were it to outlive the packs, a later run would trust it.
             self.store.delete(INDEX)
@@ -382,7 +546,7 @@ def write_file(store: Store, base: str, row, overwrite: bool) -> int:
         raise CairnError(Kind.ALREADY_EXISTS, "restore", row.path) from e
     try:
         with out:
-            for p in row.parts:
+            for p in row.parts or ():
                 data = store.get_range(pack_key(p.pack_id), p.offset, p.length)
                 if hashlib.sha256(data).hexdigest() != p.blob_id:
                     raise CairnError(Kind.CORRUPT, "restore", f"{row.path}: {p.blob_id[:12]}")
