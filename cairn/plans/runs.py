@@ -2,8 +2,8 @@
 
 The documents are files of a tree, ``lang/source/doc_id.txt``, that tasks write into the shared
 folder; a null text is an empty file, and a null language or source the folder ``none``. What a
-run gives is written before its folders go. As in the command line the tree is listed, and index
-and manifests are held, on the driver, and the shared folder must be a path of a file system.
+run gives is written before its folders go. The shared folder must be a path of a file system;
+``tree_files`` and ``store_objects`` list their files on the driver.
 """
 
 from __future__ import annotations
